@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slipwright.llm import decontaminate, simhash
+from slipwright.llm import bpe, decontaminate, pii, quality, simhash
 from slipwright.llm.common import stored, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     return simhash.keep_first(docs)
@@ -18,7 +24,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination)]
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", redaction), ("bpe", tokens)]
 
 #: SQL has no fingerprints, trees or merges: the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
