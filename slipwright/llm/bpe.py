@@ -78,9 +78,19 @@ class PieceEncoder:
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
 
 
+_encoders: dict[tuple[str, str], PieceEncoder] = {}
+
+
+def encoder_of(path: str, pattern: str) -> PieceEncoder:
+    """The process's encoder: later tasks of a worker find the pieces that earlier ones have met."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = PieceEncoder(path, pattern)
+    return _encoders[path, pattern]
+
+
 def _encode_whole(path: str, pattern: str):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for batch in text_slices(batches, max_bytes=2 << 20):
             keys = [batch.column(c) for c in batch.schema.names if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]
@@ -108,7 +118,7 @@ def _split(chunk: int, zone: int):
 def _mark(path: str, pattern: str, chunk: int, zone: int):
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the starts of matches in the zone around the first cut, and around the last."""
-        encoder = PieceEncoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for batch in text_slices(batches):
             heads, tails = [], []
             for k, low, text in zip(*(batch.column(c).to_pylist() for c in ("k", "low", "text"))):

@@ -50,7 +50,7 @@ class UnitEncoder:
     space and the parts encoded alone. Parts repeat a lot; the ids of up to ``keep`` of them are remembered.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,6 +58,8 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep, self.known = keep, {}
+        breaks = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
+        self.line_break = breaks[1] if len(breaks) == 3 else -1
         self.uneven = f"^ | $|[{SPACES}] | [{SPACES}]"
         self.parts = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
@@ -65,13 +67,29 @@ class UnitEncoder:
         out = list(map(self.known.get, units))
         new = [u for u, ids in zip(units, out) if ids is None]
         if new:
-            found = {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            found = self._new_ids(new)
             if len(self.known) + len(found) > self.keep:
                 self.known.clear()
             self.known.update(found)
             out = [found[u] if ids is None else ids for u, ids in zip(units, out)]
         return out
 
+    def _new_ids(self, units: list[str]) -> dict[str, bytes]:
+        """Units without a line break go in one text, a break between them: it is always a token of its own there."""
+        found: dict[str, bytes] = {}
+        plain = [u for u in units if u and "\n" not in u and u[-1] not in SPACES]
+        parts = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        for part, encoded in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(x) for x in parts], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_break)
+            if len(cuts) == len(part) - 1:
+                edges = [0, *((cuts + 1) * 4).tolist(), 4 * len(ids) + 4]
+                raw = ids.tobytes()
+                found.update((u, raw[a : b - 4]) for u, a, b in zip(part, edges, edges[1:]))
+        rest = [u for u in units if u not in found]
+        found.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return found
+
     def _encode(self, units: pa.Array, spaced: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and number of ids by row; spaced: the unit has a space before it that was cut off."""
         coded = pc.dictionary_encode(units)
@@ -116,6 +134,16 @@ class UnitEncoder:
         return out, counts
 
 
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def encoder_of(path: str) -> UnitEncoder:
+    """The process's encoder of a file: later tasks of a worker find the units that earlier ones have met."""
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(path)
+    return _encoders[path]
+
+
 class ShardWriter:
     """Writes frames of whole documents to an open file, then the seek table."""
 
@@ -183,7 +211,7 @@ def _file(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_bytes: int = 1 << 20) -> DataFrame:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_ids: int = 1 << 16) -> DataFrame:
     """Writes ``docs`` (doc_id, text) as a store under ``folder``; returns its manifest, one row per shard.
 
     Documents are dealt by range of (doc_id, hash of text), so shards follow each other in order and even one doc_id
@@ -199,8 +227,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, f
         from pyspark import TaskContext
 
         shard, writer, sink, path, n_docs, n_ids = TaskContext.get().partitionId(), None, None, None, 0, 0
-        encoder = UnitEncoder(tokenizer)
-        for batch in text_slices(batches, max_bytes=frame_bytes):
+        encoder = encoder_of(tokenizer)
+        for batch in text_slices(batches):
             if writer is None:
                 store, where = _file(folder)
                 store.create_dir(where, recursive=True)
@@ -214,7 +242,11 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, f
             here = np.ones(len(all_ids), bool)
             here[ends] = False
             all_ids[here] = ids
-            writer.frame(batch.column("doc_id").to_pylist(), counts + 1, all_ids)
+            part = ends // frame_ids
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            doc_ids, edges = batch.column("doc_id").to_pylist(), np.concatenate([[0], ends + 1])
+            for a, b in zip(cuts, cuts[1:]):
+                writer.frame(doc_ids[a:b], counts[a:b] + 1, all_ids[edges[a] : edges[b]])
             n_docs, n_ids = n_docs + len(counts), n_ids + len(all_ids)
         if writer is not None:
             writer.close()
