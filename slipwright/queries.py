@@ -323,3 +323,238 @@ def jamo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return _name_pairs(spark, sf_dir).select("a", "b", N.names_match(a, b).alias("matches"), N.similar(a, b).alias("similar"))
+
+
+# -- the model's reading and evidence -------------------------------------------------------------------------------
+
+from slipwright.operators import evidence as E  # noqa: E402
+from slipwright.operators import items as I  # noqa: E402
+from slipwright.operators import solve as S  # noqa: E402
+from slipwright.plans import jobs  # noqa: E402
+from slipwright.plans.storage import stored  # noqa: E402
+from slipwright.streaming import joins  # noqa: E402
+
+CLAIMED = """claimed AS (SELECT rid, CAST(row_number() OVER (PARTITION BY rid ORDER BY item_no) AS INT) AS item_no, item_no AS src_no, name, quantity, CASE WHEN (rid + item_no) % 13 = 0 THEN CAST(floor(price / quantity) AS BIGINT) ELSE price END AS price, discount
+  FROM items WHERE (rid + item_no) % 17 <> 0 AND rid % 23 <> 0)"""
+COUNTS = """counts AS (SELECT rid, amount, count(*) AS n, count_if(row_no >= last) AS n_summary FROM (SELECT DISTINCT t.rid, t.row_no, abs(t.amount) AS amount, t.amount AS signed, g.last FROM tok t JOIN region g USING (rid) WHERE t.amount IS NOT NULL) GROUP BY rid, amount)"""
+
+
+@query(f"""WITH {ITEMS}, {CLAIMED} SELECT t.rid, t.rid % 23 <> 0 AS ok, CASE WHEN t.rid % 23 <> 0 AND t.rid % 4 <> 0 THEN 'store ' || t.rid END AS store_name, CASE WHEN t.rid % 23 <> 0 THEN printed_total ELSE 0 END AS total_amount, count(c.rid) AS n_items, CAST(coalesce(sum(c.price), 0) AS BIGINT) AS price
+  FROM totals t LEFT JOIN claimed c USING (rid) GROUP BY t.rid, printed_total""")
+def vlm_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model output parsed, placeholders scrubbed, leaves coerced."""
+    receipts, items = jobs.read_responses(A.vlm_responses(spark, sf_dir))
+    sums = items.groupBy("rid").agg(F.count("*").alias("n_items"), F.sum("price").alias("price"))
+    out = receipts.join(sums, "rid", "left")
+    return out.select("rid", "ok", "store_name", F.coalesce("total_amount", F.lit(0)).alias("total_amount"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("price", F.lit(0)).alias("price"))
+
+
+@query(f"WITH {ITEMS} SELECT rid, CAST(8 + 5 * n + 2 * (SELECT count(*) FROM items i WHERE i.rid = t.rid AND i.discount > 0) - 2 * n - 1 + CASE WHEN fee > 0 THEN 2 ELSE 0 END AS BIGINT) AS n_lines, rid % 23 <> 0 AS ok FROM totals t")
+def readings_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both readings of a receipt; the model's may be unreadable."""
+    lines = A.ocr_lines(spark, sf_dir).groupBy("rid").agg(F.count("*").alias("n_lines"))
+    receipts, _ = jobs.read_responses(A.vlm_responses(spark, sf_dir))
+    return lines.join(receipts.select("rid", "ok"), "rid", "left").select("rid", "n_lines", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
+@query(f"WITH {PARSED}, {COUNTS} SELECT * FROM counts")
+def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.amount_counts(_parsed(spark, sf_dir))
+
+
+@query(f"WITH {PARSED}, {COUNTS} SELECT rid, amount FROM counts WHERE n_summary >= 2 AND amount >= 1000")
+def repeated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.repeated(E.amount_counts(_parsed(spark, sf_dir)))
+
+
+@query(f"WITH {OCR} SELECT rid, bool_or(regexp_matches(text, '배달|배민|쿠팡이츠|요기요|땡겨요')) AS delivery, false AS fee_unread, false AS unit_price_header FROM ocr GROUP BY rid")
+def receipt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.flags(_parsed(spark, sf_dir), A.ocr_lines(spark, sf_dir))
+
+
+_CUTS = "cuts AS (SELECT rid, discount AS amount, count(*) AS n FROM items WHERE discount >= 100 GROUP BY rid, discount)"
+
+
+@query(f"""WITH {ITEMS}, {_CUTS} SELECT rid, 'discount' AS kind, amount, n FROM cuts UNION ALL SELECT rid, 'paid', printed_total, 1 FROM totals WHERE printed_total >= 1000""")
+def evidence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paid amounts and the multiset of discounts."""
+    return E.evidence(_parsed(spark, sf_dir)).filter("kind <> 'unlabelled'")
+
+
+@query(f"""WITH {ITEMS}, {CLAIMED}, {_CUTS} SELECT rid, amount, n - m AS n FROM (SELECT c.rid, c.amount, c.n, (SELECT count(*) FROM claimed x WHERE x.rid = c.rid AND x.discount = c.amount) AS m FROM cuts c) WHERE n > m""")
+def discounts_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = A.claimed(spark, sf_dir).filter("discount > 0").select("rid", F.col("discount").alias("amount"))
+    return E.unused_discounts(E.evidence(_parsed(spark, sf_dir)), used)
+
+
+@query(f"""WITH {ITEMS}, p AS (SELECT DISTINCT rid, price FROM items), g AS (SELECT rid, sum(price) AS target FROM items GROUP BY rid UNION SELECT rid, sum(price) FROM items WHERE item_no <= 3 GROUP BY rid),
+  h AS (SELECT a.rid, target FROM p a JOIN p b ON a.rid = b.rid AND a.price < b.price JOIN g ON g.rid = a.rid AND a.price + b.price = target AND b.price < target
+    UNION SELECT a.rid, target FROM p a JOIN p b ON a.rid = b.rid AND a.price < b.price JOIN p c ON c.rid = a.rid AND b.price < c.price JOIN g ON g.rid = a.rid AND a.price + b.price + c.price = target
+    UNION SELECT a.rid, target FROM p a JOIN p b ON a.rid = b.rid AND a.price < b.price JOIN p c ON c.rid = a.rid AND b.price < c.price JOIN p d ON d.rid = a.rid AND c.price < d.price JOIN g ON g.rid = a.rid AND a.price + b.price + c.price + d.price = target)
+  SELECT rid, CAST(max(target) AS BIGINT) AS target FROM h GROUP BY rid""")
+def split_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts that two to four parts add up to (E7): item prices as parts, sums of items as targets."""
+    items = A.items(spark, sf_dir)
+    goals = items.groupBy("rid").agg(F.sum("price").alias("amount")).union(items.filter("item_no <= 3").groupBy("rid").agg(F.sum("price").alias("amount")))
+    return E.split_payments(items.select("rid", F.col("price").alias("amount")), goals)
+
+
+@query(f"""WITH {ITEMS} SELECT rid, printed_total AS value, tier FROM totals, (SELECT unnest([0, 1, 2]) AS tier) WHERE (tier = 1 OR (tier = 0 AND printed_total >= 1000) OR (tier = 2 AND rid % 23 <> 0))""")
+def paid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir)[2]
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(evidence, amount counts, paid candidates), each from stored tables."""
+    rows = stored(_parsed(spark, sf_dir), "rows")
+    found, counts = stored(E.evidence(rows), "evidence"), stored(E.amount_counts(rows), "counts")
+    receipts, _ = jobs.read_responses(A.vlm_responses(spark, sf_dir))
+    claims = stored(receipts.filter("ok").select("rid", "total_amount"), "claims")
+    return found, counts, E.paid_candidates(found, counts, stored(layout.total_label(rows), "totals"), claims)
+
+
+# -- repairs of the item list ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ITEMS} SELECT rid, item_no, label AS name, price FROM labelled WHERE ({_LEVEL}) < 2")
+def label_rows_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.drop_label_rows(A.labelled(spark, sf_dir).withColumnRenamed("label", "name"))[0]
+
+
+@query(f"""WITH {ITEMS}, g AS (SELECT rid, item_no, price % 5 * 100 + 100 AS amount, regexp_matches({_HANGUL}, '포인트|상품권|캐시|기프트|마일리지|예치금|선불|현금|머니') AS tender FROM labelled WHERE item_no % 2 = 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY rid, amount, tender ORDER BY item_no) AS k FROM g)
+  SELECT rid, item_no, amount, CASE WHEN tender THEN 'tender' WHEN amount = 200 AND k <= 1 THEN 'counted' ELSE 'discount' END AS action FROM k""")
+def negative_items_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.labelled(spark, sf_dir).select("rid", "item_no", F.col("label").alias("name"), F.when(F.col("item_no") % 2 == 0, -(F.col("price") % 5 * 100 + 100)).otherwise(F.col("price")).alias("price"))
+    counted = rows.select("rid").distinct().select("rid", F.lit(200).cast("bigint").alias("amount"), F.lit(1).alias("n"))
+    return I.fold_negatives(rows, counted)
+
+
+@query(f"""WITH {ITEMS}, m AS (SELECT rid, max(price) AS amount FROM items WHERE item_no <= 3 GROUP BY rid), s AS (SELECT i.*, sum(price - discount) OVER (PARTITION BY rid) - (price - discount) AS others, count(*) OVER (PARTITION BY rid) AS c FROM items i)
+  SELECT rid, item_no, price FROM s JOIN m USING (rid) WHERE NOT (item_no % 2 = 0 AND price >= amount AND others > 0 AND c >= 2)""")
+def total_echoes_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = A.items(spark, sf_dir)
+    totals = items.filter("item_no <= 3").groupBy("rid").agg(F.max("price").alias("amount"))
+    rows = items.withColumns({"options": F.lit(0).cast("bigint"), "from_ocr": F.col("item_no") % 2 == 0})
+    return I.drop_total_echoes(rows, totals).select("rid", "item_no", "price")
+
+
+@query(f"WITH {ITEMS} SELECT rid, CASE WHEN printed_total % 20000 > 15000 THEN 0 ELSE printed_total % 20000 END AS fee FROM totals")
+def fees_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.totals(spark, sf_dir).select("rid", I.cap_fee(F.col("printed_total") % 20000).alias("fee"))
+
+
+@query(f"""WITH {ITEMS}, k AS (SELECT rid, item_no, CASE WHEN rid % 2 = 0 THEN item_no WHEN rid % 3 = 0 THEN 10 - item_no % 3 END AS no FROM items),
+  r AS (SELECT *, lag(no) OVER (PARTITION BY rid ORDER BY item_no) AS before FROM k) SELECT rid, count(no) >= 3 AND bool_and(no IS NULL OR before IS NULL OR no > before) AND count(no) >= 0.6 * count(*) AS numbered FROM r GROUP BY rid""")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, rid = F.col("item_no"), F.col("rid")
+    no = F.when(rid % 2 == 0, k).when(rid % 3 == 0, 10 - k % 3)
+    return I.has_line_numbers(A.items(spark, sf_dir).select("rid", "item_no", F.concat_ws(" ", F.lpad(no.cast("string"), 3, "0"), "name").alias("name")))
+
+
+@query(f"""WITH {ITEMS} SELECT rid, item_no * 2 AS item_no, name, price, quantity FROM items""")
+def barcode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and barcode lines apart on every third line put together again."""
+    cut = (F.col("rid") + F.col("item_no")) % 3 == 0
+    none = F.lit(None)
+    head = F.struct((F.col("item_no") * 2).alias("item_no"), F.col("name").alias("name"), F.when(cut, none).otherwise(F.col("price")).cast("bigint").alias("price"), F.when(cut, none).otherwise(F.col("quantity")).cast("int").alias("quantity"))
+    tail = F.struct((F.col("item_no") * 2 + 1).alias("item_no"), F.lit("8801234567890").alias("name"), F.col("price").alias("price"), F.col("quantity").alias("quantity"))
+    rows = A.items(spark, sf_dir).select("rid", F.explode(F.when(cut, F.array(head, tail)).otherwise(F.array(head))).alias("x")).select("rid", "x.*")
+    return I.pair_barcode_prices(rows).select("rid", "item_no", "name", "price", "quantity")
+
+
+@query(f"WITH {ITEMS} SELECT rid, item_no, CASE WHEN quantity BETWEEN 2 AND 50 AND (rid + item_no) % 3 = 0 THEN price * quantity ELSE price END AS price FROM items")
+def unit_price_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.items(spark, sf_dir).withColumn("layout_price", F.when((F.col("rid") + F.col("item_no")) % 3 == 0, F.col("price") * F.col("quantity")))
+    return I.scale_unit_prices(rows)[0].select("rid", "item_no", "price")
+
+
+@query()
+def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed items claimed by items of the model."""
+    return I.match_items(A.claimed(spark, sf_dir), A.items(spark, sf_dir))
+
+
+@query(f"WITH {ITEMS}, {CLAIMED} SELECT rid, count(*) AS n FROM items WHERE rid % 23 <> 0 AND (rid + item_no) % 17 = 0 AND (SELECT count(*) FROM claimed c WHERE c.rid = items.rid) > 0 GROUP BY rid")
+def recovered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many printed items are without a partner as the model missed lines."""
+    items = A.items(spark, sf_dir)
+    seen = A.claimed(spark, sf_dir)
+    shown = items.join(seen.select("rid").distinct(), "rid").withColumn("name_conf", F.lit(0.9))
+    every = I.match_items(seen.drop("name").join(items.select("rid", F.col("item_no").alias("src_no"), "name"), ["rid", "src_no"]), shown)
+    return I.unmatched(shown, every).groupBy("rid").agg(F.count("*").alias("n"))
+
+
+# -- reconciliation -------------------------------------------------------------------------------------------------
+
+_EDITS = f"""{CLAIMED}, {_CUTS}, {COUNTS},
+cand AS (SELECT rid, printed_total AS value, tier FROM totals, (SELECT unnest([0, 1, 2]) AS tier) WHERE tier = 1 OR (tier = 0 AND printed_total >= 1000) OR (tier = 2 AND rid % 23 <> 0)),
+tax AS (SELECT DISTINCT value, unnest([CAST(floor(value / 11) AS BIGINT), CAST(ceil(value / 11) AS BIGINT), CAST(round_even(value / 11, 0) AS BIGINT)]) AS v FROM cand),
+odd AS (SELECT rid, value AS amount FROM cand UNION SELECT rid, v FROM cand JOIN tax USING (value) UNION SELECT rid, value - v FROM cand JOIN tax USING (value) UNION SELECT rid, amount FROM counts WHERE n_summary > 0),
+unused AS (SELECT c.rid, c.amount FROM cuts c LEFT JOIN (SELECT rid, discount, count(*) AS m FROM claimed GROUP BY ALL) u ON u.rid = c.rid AND u.discount = c.amount WHERE c.n > coalesce(m, 0)),
+cl AS (SELECT *, count(*) OVER (PARTITION BY rid) AS c FROM claimed),
+found AS (SELECT rid, 'drop_item' AS kind, 1.5 AS cost, item_no, 0 AS amount, -(price - discount) AS delta, 3 AS pref FROM cl WHERE c > 1 AND (price BETWEEN 1 AND 99 OR EXISTS (SELECT 1 FROM odd o WHERE o.rid = cl.rid AND o.amount = cl.price AND o.amount <> 0))
+  UNION ALL SELECT rid, 'unit_price', 1.2, item_no, price * (quantity - 1), price * (quantity - 1), 5 FROM cl WHERE quantity BETWEEN 2 AND 50 AND price > 0 AND EXISTS (SELECT 1 FROM counts o WHERE o.rid = cl.rid AND o.amount = cl.price * cl.quantity)
+  UNION ALL SELECT rid, 'drop_item_discount', 1.2 - 0.001 * (item_no - 1), item_no, 0, discount, 7 FROM cl WHERE discount > 0
+  UNION ALL SELECT rid, 'add_discount', 1.0, -1, amount, -amount, 1 FROM unused),
+edits AS (SELECT rid, CAST(row_number() OVER (PARTITION BY rid ORDER BY cost, pref, item_no, amount) AS INT) AS edit_id, kind, CAST(cost AS DOUBLE) AS cost, CAST(item_no AS INT) AS item_no, CAST(amount AS BIGINT) AS amount, CAST(delta AS BIGINT) AS delta, pref FROM found),
+base AS (SELECT c.rid, CAST(sum(c.price - c.discount) + max(t.fee) AS BIGINT) AS computed FROM claimed c JOIN totals t USING (rid) GROUP BY c.rid),
+needs AS (SELECT rid, value, tier, value - computed AS needed FROM cand JOIN base USING (rid) WHERE tier < 2),
+combos AS (SELECT rid, value, tier, 0.0 AS cost, '' AS kinds, '' AS ids, '' AS pref FROM needs WHERE needed = 0
+  UNION ALL SELECT n.rid, value, tier, cost, kind, CAST(edit_id AS VARCHAR), lpad(CAST(pref AS VARCHAR), 2, '0') FROM needs n JOIN edits e ON e.rid = n.rid AND e.delta = n.needed WHERE needed <> 0
+  UNION ALL SELECT n.rid, value, tier, a.cost + b.cost, a.kind || ',' || b.kind, a.edit_id || ',' || b.edit_id, lpad(CAST(least(a.pref, b.pref) AS VARCHAR), 2, '0') || ',' || lpad(CAST(greatest(a.pref, b.pref) AS VARCHAR), 2, '0')
+    FROM needs n JOIN edits a ON a.rid = n.rid JOIN edits b ON b.rid = n.rid AND a.edit_id < b.edit_id AND a.delta + b.delta = n.needed WHERE needed <> 0 AND (a.kind = 'add_discount' OR b.kind = 'add_discount' OR a.item_no <> b.item_no))"""
+
+
+def _solver(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, candidates, edits) of the derived receipts."""
+    found, counts, candidates = _evidence(spark, sf_dir)
+    candidates = stored(candidates, "candidates")
+    seen = A.claimed(spark, sf_dir)
+    used = seen.filter("discount > 0").select("rid", F.col("discount").alias("amount"))
+    items = seen.withColumns({"options": F.lit(0).cast("bigint"), "layout_price": F.lit(0).cast("bigint"), "from_ocr": F.lit(False)})
+    base = seen.groupBy("rid").agg(F.sum(F.col("price") - F.col("discount")).alias("_s")).join(A.totals(spark, sf_dir), "rid").select("rid", (F.col("_s") + F.col("fee")).alias("computed"))
+    return stored(base, "base"), candidates, stored(S.edits(items, candidates, counts, E.unused_discounts(found, used)), "edits")
+
+
+@query(f"WITH {PARSED}, {_EDITS} SELECT rid, edit_id, kind, cost, item_no, amount, delta FROM edits")
+def edit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solver(spark, sf_dir)[2]
+
+
+@query(f"WITH {PARSED}, {_EDITS} SELECT rid, value, tier, CAST(cost AS DOUBLE) AS cost, kinds, ids AS edit_ids FROM combos")
+def edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combinations that balance."""
+    base, candidates, found = _solver(spark, sf_dir)
+    needs = candidates.filter("tier < 2").join(base, "rid").withColumn("needed", F.col("value") - F.col("computed"))
+    return S.balancing(found, needs).select("rid", "value", "tier", "cost", F.array_join("kinds", ",").alias("kinds"), F.array_join(F.col("edit_ids").cast("array<string>"), ",").alias("edit_ids"))
+
+
+@query(f"""WITH {PARSED}, {_EDITS}, bal AS (SELECT DISTINCT rid FROM needs WHERE tier = 1 AND needed = 0),
+  low AS (SELECT *, min(tier) OVER (PARTITION BY rid) AS lt FROM combos), least AS (SELECT *, min(round(cost * 1000000)) OVER (PARTITION BY rid) AS lc FROM low WHERE tier = lt),
+  top AS (SELECT *, count(DISTINCT value) OVER (PARTITION BY rid) AS nv, row_number() OVER (PARTITION BY rid ORDER BY pref, string_split(ids, ',')::INT[]) AS k FROM (SELECT *, nullif(ids, '') AS i2 FROM least WHERE round(cost * 1000000) = lc) WHERE i2 IS NOT NULL
+    UNION ALL SELECT *, 1, 1 FROM (SELECT *, nullif(ids, '') AS i2 FROM least WHERE round(cost * 1000000) = lc) WHERE i2 IS NULL)
+  SELECT rid, value AS paid, tier, CAST(cost AS DOUBLE) AS cost, kinds FROM top WHERE nv = 1 AND k = 1""")
+def solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most one solution a receipt."""
+    return S.solve(*_solver(spark, sf_dir)).select("rid", "paid", "tier", "cost", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query()
+def merged_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole merge of both readings."""
+    return jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir))["receipts"]
+
+
+@query()
+def corrections_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.summary(jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir))["corrections"])
+
+
+@query()
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified receipts whose total is the true sum."""
+    got = jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir))["receipts"]
+    truth = A.items(spark, sf_dir).groupBy("rid").agg(F.count("*").alias("true_items"))
+    rows = got.join(truth, "rid", "left")
+    return rows.groupBy("items_verified").agg(F.count("*").alias("receipts"), F.count_if(F.col("n_items") == F.col("true_items")).alias("all_items"), F.sum("n_edits").alias("edits"))

@@ -105,3 +105,12 @@ def vlm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.to_json(F.struct(store.alias("store_name"), F.col("items"), F.col("printed_total").alias("total_amount")))
     fenced = F.when(rid % 2 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).otherwise(json)
     return whole.select("rid", F.when(rid % 23 == 0, F.substring(json, 1, 25)).otherwise(fenced).alias("raw"))
+
+
+def claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rid, item_no, src_no, name, quantity, price, discount): what the model's JSON says, with the printed discount."""
+    rid, k = F.col("rid"), F.col("item_no")
+    seen = items(spark, sf_dir).filter(((rid + k) % 17 != 0) & (rid % 23 != 0))
+    price = F.when((rid + k) % 13 == 0, F.floor(F.col("price") / F.col("quantity")).cast("bigint")).otherwise(F.col("price"))
+    place = F.row_number().over(Window.partitionBy("rid").orderBy("item_no"))
+    return seen.select("rid", place.alias("item_no"), k.alias("src_no"), "name", "quantity", price.alias("price"), "discount")
