@@ -109,6 +109,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, fil
                     ahead.append((first, row))
                     return
                 state["n"] += 1
+                state["new"] = True
                 yield row
 
         done: list[tuple] = []
@@ -118,9 +119,14 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, fil
             if row is None:
                 break
             ahead.append((first, row))
-            state = {"n": 0}
+            state = {"n": 0, "new": False}
             part, before, text, loss, at = 0, 0, [], [], 0
             for piece in program({"messages": messages(state)}):
+                if state["new"]:  # a turn begins with this piece: the only place where a part may end
+                    state["new"] = False
+                    if at >= part_chars:
+                        done.append((row["conv_id"], part, state["n"] - 1 - before, "".join(text), loss))
+                        part, before, text, loss, size, at = part + 1, state["n"] - 1, [], [], size + at, 0
                 if piece is Mark.START:
                     loss.append({"a": at, "b": at})
                 elif piece is Mark.END:
@@ -128,9 +134,6 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, fil
                 else:
                     text.append(piece)
                     at += len(piece)
-                    if at >= part_chars and piece.endswith("</turn>\n"):
-                        done.append((row["conv_id"], part, state["n"] - before, "".join(text), loss))
-                        part, before, text, loss, size, at = part + 1, state["n"], [], [], size + at, 0
                 if size > part_chars:
                     yield _formatted(done)
                     done, size = [], 0
