@@ -262,7 +262,7 @@ def test_decontamination(spark, docs):
 
 
 def test_toxicity(spark, docs):
-    calm = [(k, f"the women and men of group {k} walk and talk", 0) for k in range(150)]
+    calm = [(k, f"such a calm{"abcdefgh"[k % 8]} person {k} women", 0) for k in range(150)]
     rude = [(k, f"such a vequ{'abcdefgh'[k % 8]}x person {k} women", 1) for k in range(150, 300)]
     df = spark.createDataFrame(calm + rude, "doc_id long, text string, toxic int")
     probe = [(1000, "some vequax thing"), (1001, "muslim women walk"), (1002, "jewish men walk")]
