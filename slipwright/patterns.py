@@ -68,3 +68,31 @@ PRINTED_MIDNIGHT = r"(?<![0-9:])00\s*:\s*00(?![0-9])|(?:오전|AM|am)\s*12\s*:\s
 ONSETS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 CODAS = "∅ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
+
+# Confusable letters of blurred print, by place in the syllable (∅: no last consonant)
+ONSET_GROUPS = ["ㅈㅊ", "ㅂㅍ", "ㅁㅂ", "ㄱㅋ", "ㄷㅌ", "ㅅㅆ", "ㅈㅉ", "ㄱㄲ", "ㅇㅎ", "ㄴㄹ"]
+VOWEL_GROUPS = ["ㅏㅓ", "ㅗㅜ", "ㅐㅔ", "ㅑㅕ"]
+CODA_GROUPS = ["ㅁㅂ", "ㄴㄹ", "ㄱㄲ", "∅ㅇ"]
+
+# Printed dates: with separators (two shapes in one pattern), after a label without separators, in Korean
+PRINTED_DATE = (
+    r"(?<![\d])(\d{4}|\d{2})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{2})(?:(?!\d)|(?=\d{1,2}\s*:\s*\d{2}))\s*(?:(\d{1,2})\s*:\s*(\d{2})(?!\d))?"
+    r"|(?<![\d])(\d{4}|\d{2})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{1})(?!\d)"
+)
+LABELLED_DATE = (
+    r"(?:판\s*매|거\s*래|결\s*제|주\s*문|승\s*인|발\s*행|구\s*매)\s*[일입](?:\s*[자시])?\s*[:：]?\s*"
+    r"(20\d{2}|\d{2})(\d{2})(\d{2})(?:(?!\d)|(?=\d{1,2}\s*:\s*\d{2}))(?:\s*(\d{1,2})\s*:\s*(\d{2})(?!\d))?"
+)
+KOREAN_DATE = r"(?<!\d)(\d{4}|\d{2})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일"
+DATE_LABEL = r"판\s*매\s*[일입]|거\s*래\s*[일입]|[일입]\s*시(?!\s*불)|결\s*제\s*[일입]|주\s*문\s*[일입]|승\s*인\s*[일입]|날\s*짜|발\s*행\s*[일입]|구\s*매\s*[일입]|DATE|Date"
+PRINTED_WEEKDAY = r"([월화수목금토일])\s*요\s*일|[\[(]\s*([월화수목금토일])\s*[\])]"
+WEEKDAYS = "월화수목금토일"
+OLDEST_DAYS = 366 * 8
+
+# Slant of a photo: least distance (px), band, support and angle in degrees
+SKEW_MIN_DX, SKEW_BAND, SKEW_MIN_SUPPORT, SKEW_MIN_SHARE, SKEW_MIN_DEG, SKEW_MAX_DEG = 80.0, 0.008, 5, 0.25, 0.8, 12.0
+
+# Option marks as the model writes them, and as they are printed and misread
+ITEM_MARKER = r"^[▶►▸>›»└+*~]\s*|^-\s+"
+OCR_OPTION_ROW = r"^\s*(?:[ㄴ└#+>›»▶►▸※]|L(?=[가-힣(\[]))\s*(.+)$"
+NAME_MARKER = r"^[#ㄴ└+>›»▶►▸※\s]+"
