@@ -100,6 +100,12 @@ def match_items(seen: DataFrame, printed: DataFrame) -> DataFrame:
     # an equal price is no reason for an item that some name matches
     named = Window.partitionBy("rid", "v_no")
     pairs = pairs.withColumn("_named", F.min("why").over(named)).filter("why < 3 or _named = 3")
+    return greedy(pairs)
+
+
+def greedy(pairs: DataFrame) -> DataFrame:
+    """(rid, p_no, v_no): each p_no in order takes its best v_no, by (why, v_no), that none before it took.
+    ``pairs``: (rid, p_no, v_no, why)."""
     wishes = pairs.groupBy("rid", "p_no").agg(F.array_sort(F.collect_list(F.struct("why", "v_no"))).alias("wishes"))
     lists = wishes.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("p_no", "wishes"))).alias("all"))
     start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<struct<p_no:int,v_no:int>>").alias("pairs"))

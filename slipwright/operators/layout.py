@@ -213,7 +213,7 @@ def layout_items(assembled: DataFrame) -> DataFrame:
     mine = assembled.filter(F.col("item_id") > 0)
     item = lambda c: F.max(F.when(F.col("role") == "item", F.col(c))).alias(c)
     cuts = F.array_sort(F.collect_list(F.when(F.col("role") == "item_discount", F.struct("row_no", F.abs("price").alias("amount")))))
-    options = F.array_sort(F.collect_list(F.when(F.col("role") == "option", F.struct("row_no", L.without_marks(F.col("name")).alias("name"), "price", "mark"))))
+    options = F.array_sort(F.collect_list(F.when(F.col("role") == "option", F.struct("row_no", L.without_marks(F.col("name")).alias("name"), "price", "mark", L.strongly_marked(F.col("name")).alias("strong")))))
     found = mine.groupBy("rid", "item_id").agg(item("name"), item("quantity"), item("price"), item("name_conf"), cuts.alias("cuts"), options.alias("options"))
     return found.select("rid", "item_id", "name", "quantity", "price", "name_conf", F.aggregate("cuts", F.lit(0).cast("bigint"), lambda s, c: s + c["amount"]).alias("discount"), F.transform("cuts", lambda c: c["amount"]).alias("discounts"), F.col("options"))
 
