@@ -3,10 +3,12 @@
 Generators propose spans with high recall and overlaps: the base forms (email, ip, card, phone) whether they pass their
 check or not, phone numbers without a country code, spelled-out addresses, and assigned secrets. Base forms that pass
 their check are always redacted. For the others, boosted trees score what the candidate looks like (digits, separators,
-neighbours, words before it); the trees are fitted to tell candidates that pass their check from those that don't, over
-all candidates of the corpus, which Spark first adds up by feature values (a table whose size is bounded by the number
-of value combinations, ``MAX_CELLS``). For each kind the threshold is the lowest one whose precision on held-out
-documents is surely ``precision`` or more; a kind without such a threshold adds nothing.
+neighbours, words before it); the trees are fitted to tell true candidates from others, over all candidates of the
+corpus, which Spark first adds up by feature values (see ``cells`` for the size of that table). A base form is true if
+it passes its check; a span of an extra generator if its format does (``_likely``), and it teaches nothing where a base
+span of its kind overlaps it. For each kind and generator the threshold is the lowest one whose precision is surely
+``precision`` or more, by trees that have not seen the document (five folds of documents, each left out once); a
+generator without such a threshold adds nothing.
 
 Defined cases: a null text is an empty one and has no spans; places are code points, ends exclusive; a span of the
 method that a base span of its kind overlaps is dropped; repeated rows each have their own row; an empty table, or one
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored
+from .common import stored
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 # Patterns of the kinds. Possessive repeats and the look-behind change no match; they keep the search
@@ -43,11 +45,12 @@ MORE_NEEDS = {"email": r"[(\[]at[)\]]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "secr
 CONTEXT = r"(?i)(?:(phone|tel|call|fax|mobile)|(card|visa|credit|account)|(mail|contact|write)|(host|server|address)|(token|secret|password|key))\W{0,3}(?:\w{0,8}\W{0,3}){0,2}$"
 CONTEXT_CHARS = 24
 PRECISION = 0.95
+FOLDS = 5
 MAX_CELLS = 500_000
 
 _SPAN = "array<struct<start:int,end:int,found:string>>"
-FEATURES = ["kind", "digits", "signs", "bracket", "letters", "left", "right", "context"]
-_CANDIDATE = "array<struct<start:int,end:int,kind:int,base:boolean,digits:int,signs:int,bracket:int,letters:int,left:int,right:int,context:int>>"
+FEATURES = ["kind", "more", "digits", "signs", "bracket", "letters", "left", "right", "context"]
+_CANDIDATE = "array<struct<start:int,end:int,kind:int,base:boolean,truth:boolean,more:int,digits:int,signs:int,bracket:int,letters:int,left:int,right:int,context:int>>"
 
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
@@ -95,13 +98,24 @@ def _passes(kind: str, found: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+def _likely(kind: str, found: Column) -> Column:
+    """The weak label of a span of an extra generator: does its format agree with its kind?"""
+    if kind == "email":  # a domain ends with letters
+        return found.rlike(r"(?:\.|[)\]]) ?[A-Za-z]{2,}$")
+    if kind == "phone":  # no area or exchange begins with 0 or 1
+        return _digits(found).rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+    value = F.regexp_extract(found, "[A-Za-z0-9_/+-]+$", 0)  # random keys mix letters and digits, words don't
+    return (F.length(_digits(value)) >= 3) & value.rlike("[A-Za-z]")
+
+
 def _side(c: Column) -> Column:
     """0 none, 1 space, 2 letter or digit, 3 quote or bracket, 4 other."""
     return F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike(r"^\s$"), 1).when(c.rlike(r"^[\p{L}\p{N}_]$"), 2).when(c.rlike(r"^[\"'()\[\]]$"), 3).otherwise(4)
 
 
-def _described(text: Column, kind: int, spans: Column, base: Column | None) -> Column:
-    """Candidates: spans with their features; base: whether a span is of a base form that passes."""
+def _described(text: Column, kind: int, spans: Column, base: bool) -> Column:
+    """Candidates: spans of a base form or an extra generator, with their features and labels; base: it is of a base
+    form that passes."""
 
     def describe(s: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT_CHARS + 1), F.least(F.lit(CONTEXT_CHARS), s["start"]))
@@ -110,8 +124,9 @@ def _described(text: Column, kind: int, spans: Column, base: Column | None) -> C
             context = F.when(F.regexp_extract(before, CONTEXT, k) != "", k).otherwise(context)
         found = s["found"]
         signs = F.length(F.regexp_replace(found, r"[^ ().@-]", ""))
+        truth = _passes(KINDS[kind], found) if base else _likely(KINDS[kind], found)
         return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), (F.lit(False) if base is None else _passes(KINDS[kind], found)).alias("base"),
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), (truth if base else F.lit(False)).alias("base"), truth.alias("truth"), F.lit(int(not base)).alias("more"),
             F.least(F.length(_digits(found)), F.lit(20)).alias("digits"), F.least(signs, F.lit(7)).alias("signs"), found.contains("(").cast("int").alias("bracket"), found.rlike("[A-Za-z]").cast("int").alias("letters"),
             _side(F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1)))).alias("left"), _side(F.substring(text, s["end"] + 1, F.lit(1))).alias("right"), context.alias("context"),
         )
@@ -121,23 +136,32 @@ def _described(text: Column, kind: int, spans: Column, base: Column | None) -> C
 
 def candidates(text: Column) -> Column:
     """All proposed spans of a text with their features, base forms that pass marked."""
-    parts = [_described(text, k, _matches(text, BASE[kind], NEEDS[kind]), F.lit(True)) for k, kind in enumerate(KINDS) if kind in BASE]
-    parts += [_described(text, k, _matches(text, MORE[kind], MORE_NEEDS[kind]), None) for k, kind in enumerate(KINDS) if kind in MORE]
+    parts = [_described(text, k, _matches(text, BASE[kind], NEEDS[kind]), True) for k, kind in enumerate(KINDS) if kind in BASE]
+    parts += [_described(text, k, _matches(text, MORE[kind], MORE_NEEDS[kind]), False) for k, kind in enumerate(KINDS) if kind in MORE]
     return F.concat(*parts)
 
 
 # -- boosted trees over the cells of the feature table --------------------------------------------------------------
 
 
-def cells(found: DataFrame) -> list[tuple[tuple[int, ...], bool, int, int]]:
-    """(feature values, held out, candidates, passing ones) over all candidates of ``found`` (doc_id, _candidates).
+def _uncovered(found: Column) -> Column:
+    """Candidates without those that aren't base spans and that a base span of their kind overlaps."""
+
+    def kept(base: Column) -> Column:
+        return F.filter(found, lambda c: c["base"] | ~F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+    return F.flatten(F.transform(F.array(F.filter(found, lambda c: c["base"])), kept))
+
+
+def cells(found: DataFrame) -> list[tuple[tuple[int, ...], int, int, int]]:
+    """(feature values, fold, candidates, true ones) over all uncovered candidates of ``found`` (doc_id, _candidates).
 
     Card runs of fewer than 12 digits and other things no check could pass teach nothing and are left out.
     """
-    rows = found.select(held_out(F.col("doc_id")).alias("held"), F.explode("_candidates").alias("c")).filter(~((F.col("c.kind") == 2) & (F.col("c.digits") < 12)))
-    table = rows.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], "held").agg(F.count("*").alias("n"), F.sum(F.col("c.base").cast("long")).alias("y"))
-    # bounded: at most as many rows as there are combinations of feature values
-    return sorted((tuple(r[f] for f in FEATURES), r["held"], r["n"], r["y"]) for r in table.limit(MAX_CELLS).collect())
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(1)).cast("int")
+    rows = found.select(fold.alias("fold"), F.explode(_uncovered(F.col("_candidates"))).alias("c")).filter(~((F.col("c.kind") == 2) & (F.col("c.digits") < 12)))
+    table = rows.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], "fold").agg(F.count("*").alias("n"), F.sum(F.col("c.truth").cast("long")).alias("y"))
+    return sorted((tuple(r[f] for f in FEATURES), r["fold"], r["n"], r["y"]) for r in table.limit(MAX_CELLS).collect())
 
 
 Tree = tuple  # (leaf value,) or (feature, threshold, tree of values up to it, tree of larger ones)
@@ -179,7 +203,11 @@ def _at(tree: Tree, values: tuple[int, ...]) -> float:
 
 def boost(table: list[tuple], trees: int = 20, depth: int = 3, rate: float = 0.4, ridge: float = 1.0) -> list[Tree]:
     """Newton boosting of the logistic loss over weighted cells; the leaves hold margins."""
-    rows = [(values, n, y) for values, held, n, y in table if not held]
+    added: dict[tuple[int, ...], list[int]] = {}
+    for values, _, n, y in table:
+        cell = added.setdefault(values, [0, 0])
+        cell[0], cell[1] = cell[0] + n, cell[1] + y
+    rows = [(values, n, y) for values, (n, y) in added.items()]
     margins, out = [0.0] * len(rows), []
     for _ in range(trees if rows else 0):
         tree = _scaled(_grow([(v, n, y, 1 / (1 + math.exp(-m))) for (v, n, y), m in zip(rows, margins)], depth, ridge), rate)
@@ -192,16 +220,24 @@ def _scaled(tree: Tree, rate: float) -> Tree:
     return (tree[0] * rate,) if len(tree) == 1 else (tree[0], tree[1], _scaled(tree[2], rate), _scaled(tree[3], rate))
 
 
-def calibrate(table: list[tuple], trees: list[Tree], precision: float = PRECISION) -> dict[int, float]:
-    """For each kind the lowest margin at which held-out candidates, passing or not, pass at the wanted precision."""
+def calibrate(table: list[tuple], precision: float = PRECISION) -> dict[tuple[int, int], float]:
+    """For each kind and generator the lowest margin at which its candidates are true at the wanted precision, each
+    scored by trees of the other folds; any margin will do if all of them together are that precise."""
+    scored: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    for fold in sorted({row[1] for row in table}):
+        trees = boost([row for row in table if row[1] != fold])
+        for values, own, n, y in table:
+            if own == fold:
+                scored.setdefault(values[:2], []).append((sum(_at(t, values) for t in trees), n, y))
     out = {}
-    for kind in range(len(KINDS)):
-        scored = sorted(((sum(_at(t, values) for t in trees), n, y) for values, held, n, y in table if held and values[0] == kind), reverse=True)
+    for source, found in scored.items():
+        found.sort(reverse=True)
         total = passing = 0
-        for k, (margin, n, y) in enumerate(scored):
+        for k, (margin, n, y) in enumerate(found):
             total, passing = total + n, passing + y
-            if _surely(passing, total) >= precision and (k + 1 == len(scored) or scored[k + 1][0] < margin):
-                out[kind] = margin
+            last = k + 1 == len(found)
+            if _surely(passing, total) >= precision and (last or found[k + 1][0] < margin):
+                out[source] = -math.inf if last else margin
     return out
 
 
@@ -221,20 +257,19 @@ def _margin(c: Column, trees: list[Tree]) -> Column:
     return total
 
 
-def selected(trees: list[Tree], thresholds: dict[int, float]) -> Column:
+def selected(trees: list[Tree], thresholds: dict[tuple[int, int], float]) -> Column:
     """Of ``_candidates``: base spans, and spans of the method that no base span of their kind overlaps."""
     base = F.filter("_candidates", lambda c: c["base"])
 
     def wanted(c: Column) -> Column:
         enough = F.lit(False)
         margin = _margin(c, trees)
-        for kind, threshold in thresholds.items():
-            enough = enough | ((c["kind"] == kind) & (margin >= threshold - 1e-9))
-        covered = F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        for (kind, more), threshold in thresholds.items():
+            enough = enough | ((c["kind"] == kind) & (c["more"] == more) & (margin >= threshold - 1e-9))
         short = (c["kind"] == 2) & (c["digits"] < 12)
-        return ~c["base"] & ~short & enough & ~covered
+        return ~c["base"] & ~short & enough
 
-    return F.array_distinct(F.concat(base, F.filter("_candidates", wanted)))
+    return F.array_distinct(F.concat(base, F.filter(_uncovered(F.col("_candidates")), wanted)))
 
 
 def _listed(spans: Column) -> Column:
@@ -256,7 +291,7 @@ def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
         return F.size(F.filter(base, lambda c: c["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
     counts = [number(kind) for kind in range(len(BASE))]
-    return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(selected(trees, calibrate(table, trees, precision))).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(selected(trees, calibrate(table, precision))).alias("spans"))
 
 
 def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
@@ -265,7 +300,7 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     marked = docs.withColumn("_candidates", candidates(text))
     table = cells(marked.select("doc_id", "_candidates"))
     trees = boost(table)
-    spans = F.array_sort(F.transform(selected(trees, calibrate(table, trees, precision)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    spans = F.array_sort(F.transform(selected(trees, calibrate(table, precision)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

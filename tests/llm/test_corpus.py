@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from slipwright.llm import bpe, chat_format, decontaminate, licenses, media, pii, quality, simhash, token_store, toxicity
 from slipwright.llm.chat_template import TemplateError, compile_template, fold_body, parse, render
@@ -127,6 +128,23 @@ def test_pii(spark, docs):
     assert pii.find(empty(docs)).count() == 0
 
 
+def test_pii_extra_spans(spark):
+    texts = [(k, f'set token = "{hashlib.sha1(str(k).encode()).hexdigest()}" or call (415) 55{k % 10}-{1000 + k} but not +1 (415) 555-{1000 + k} now') for k in range(100)]
+    words = [(100 + k, f"old_token password = {'internationalisation' * (1 + k % 2)}, code ({k % 100:03d}) 0{k % 90 + 10}-{1000 + k};") for k in range(100)]
+    df = spark.createDataFrame(texts + words, "doc_id long, text string")
+    table = pii.cells(df.select("doc_id", pii.candidates(F.col("text")).alias("_candidates")))
+    seen = {}
+    for values, _, n, y in table:
+        seen[values[:2]] = [a + b for a, b in zip(seen.get(values[:2], [0, 0]), (n, y))]
+    assert seen[pii.KINDS.index("phone"), 1] == [200, 100] and seen[pii.KINDS.index("secret"), 1] == [200, 100] and seen[pii.KINDS.index("phone"), 0] == [100, 100]
+    found = {r.doc_id: r for r in pii.find(df).collect()}
+    for k, text in texts:
+        at = text.index("token"), text.index("(415)"), text.index("+1")
+        assert found[k].spans == f"secret:{at[0]}:{at[0] + 49},phone:{at[1]}:{at[1] + 14},phone:{at[2]}:{at[2] + 17}" and found[k].n_phone == 1
+    assert all(found[k].spans == "" for k, _ in words)
+    assert {r.text for r in pii.redact(df).collect() if r.doc_id < 100} == {'set <SECRET>" or call <PHONE> but not <PHONE> now'}
+
+
 def test_licenses(spark, docs):
     got = rows(licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
     expected = []
