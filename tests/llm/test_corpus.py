@@ -145,6 +145,12 @@ def test_pii_extra_spans(spark):
     assert {r.text for r in pii.redact(df).collect() if r.doc_id < 100} == {'set <SECRET>" or call <PHONE> but not <PHONE> now'}
 
 
+def test_pii_keeps_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_CELLS", 1, raising=False)
+    df = spark.createDataFrame([(k, f"card {'4' * (12 + k)}, ip 1.2.3.{k}") for k in range(8)], "doc_id long, text string")
+    assert sum(row[2] for row in pii.cells(df.select("doc_id", pii.candidates(F.col("text")).alias("_candidates")))) == 16
+
+
 def test_licenses(spark, docs):
     got = rows(licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
     expected = []
