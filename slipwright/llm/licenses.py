@@ -2,9 +2,10 @@
 
 The index holds, for every word of the licence templates that isn't a stop word, its places in each template. A file's
 postings are its words that the index knows, with their places. Document frequencies over all files give each word its
-IDF, and a file looks up its ``top`` rarest ones: every pair of a place in the file and a place in a template votes for
-the difference of both, and the share of the looked-up words that agree on one difference is the template's score. A
-template counts if the score reaches ``least`` and its mandatory phrase stands in the file word by word.
+IDF. For each template whose mandatory phrase stands in the file word by word, the file looks up all places of the
+``top`` rarest of that template's words that it has: every pair of a place in the file and a place in the template votes
+for the difference of both, and the share of the looked-up words that agree on one difference is the template's score.
+A template counts if the score reaches ``least``. Words of other licences take no place from a template's own.
 
 Base phrases are labels of their own: every place where their words stand one after another.
 
@@ -93,6 +94,14 @@ def frequencies(found: DataFrame) -> tuple[int, dict[str, int]]:
     return found.count(), {r["word"]: r["count"] for r in rows.collect()}
 
 
+def _lookup(text: str, top: int) -> Column:
+    """The postings of the ``top`` rarest words of a template that the file has."""
+    own = sorted({w for w in text.split() if w not in STOP})
+    rare = F.slice(F.filter("ranked", lambda w: w.isin(own)), 1, top)
+    # an array of one: the rarest words are found once, not for each posting
+    return F.flatten(F.transform(F.array(rare), lambda r: F.filter("postings", lambda p: F.array_contains(r, p["word"]))))
+
+
 def _score(lookup: Column, text: str) -> Column:
     """Share of the looked-up words that agree best on one difference of places."""
     at: dict[str, list[int]] = {}
@@ -115,14 +124,14 @@ def scan(docs: DataFrame, top: int = TOP, least: float = LEAST) -> DataFrame:
     found = stored(postings(docs), "postings")
     n, seen = frequencies(found)
     idf = F.create_map(*[x for w in INDEX_WORDS for x in (F.lit(w), F.lit(math.log((1 + n) / (1 + seen.get(w, 0)))))])
-    # the rarest distinct words that the file has, and all their places
+    # the distinct words that the file has, rarest first
     ranked = F.array_sort(F.transform(F.array_distinct(F.transform("postings", lambda p: p["word"])), lambda w: F.struct((-F.element_at(idf, w)).alias("rank"), w.alias("word"))))
-    rare = F.transform(F.slice(ranked, 1, top), lambda r: r["word"])
-    rows = found.withColumn("rare", rare).withColumn("lookup", F.filter("postings", lambda p: F.array_contains(F.col("rare"), p["word"])))
+    # only files with a mandatory phrase look anything up
+    rows = found.withColumn("ranked", F.when(F.exists("keys", lambda k: k), F.transform(ranked, lambda r: r["word"])))
     scores = []
     for k, (_, _, text) in enumerate(TEMPLATES):
         known = len({w for w in text.split() if w not in STOP})
-        share = _score(F.col("lookup"), text) / F.least(F.lit(top), F.lit(known))
+        share = _score(_lookup(text, top), text) / F.least(F.lit(top), F.lit(known))
         scores.append(F.when(F.col("keys")[k], F.least(share, F.lit(1.0))).otherwise(0.0))
     rows = rows.withColumn("scores", F.array(*scores))
     every = F.flatten("base")

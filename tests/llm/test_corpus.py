@@ -165,6 +165,16 @@ def test_licenses(spark, docs):
     assert licenses.scan(empty(docs)).count() == 0
 
 
+def test_licenses_side_by_side(spark):
+    notice = {label: text for label, _, text in licenses.TEMPLATES if label in ("lgpl", "bsd", "mpl")} | {"mit": next(t for _, key, t in licenses.TEMPLATES if key.startswith("permission"))}
+    stray = "no restriction, deal, charge, person, source, binary, 2, 0, mozilla, copyright conditions, distributed, permitted, modification "
+    cases = [("lgpl", "bsd"), ("mpl", "mit"), ("lgpl", "mpl"), ("bsd", "mit"), ("bsd", "lgpl", "mit", "mpl")]
+    texts = [(k, " filler words between ".join(notice[x] for x in case)) for k, case in enumerate(cases)] + [(10, stray * 3 + notice["lgpl"])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(df).collect()}
+    assert all(set(case) <= got[k] for k, case in enumerate(cases)) and got[10] == {"lgpl"}
+
+
 def test_media(spark, docs):
     for r in media.media_digests(docs).collect():
         raw = next(t for d, t in TEXTS if d == r.doc_id) or ""
