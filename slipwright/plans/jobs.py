@@ -38,7 +38,7 @@ def reconcile(items: DataFrame, computed: DataFrame, candidates: DataFrame, coun
     ``items`` as for ``solve.edits``; ``computed``: (rid, computed)."""
     found = stored(solve.edits(items, candidates, counts, unused, restorable), "edits")
     solutions = stored(solve.solve(computed, candidates, found), "solutions")
-    return {"edits": found, "solutions": solutions, "items": solve.apply_edits(items, found, solutions)}
+    return {"edits": found, "solutions": solutions, "items": solve.apply_edits(items, found, solutions, restorable), "discounts": solve.added_discounts(found, solutions)}
 
 
 def merge(lines: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
@@ -61,18 +61,18 @@ def merge(lines: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
     fixed, scaled = I.scale_unit_prices(stored(full, "full"))
     line = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
     base = fixed.groupBy("rid").agg(F.sum(line).alias("_items")).join(printed["fees"], "rid", "left").join(printed["discounts"].select("rid", F.col("discount").alias("_off")), "rid", "left")
-    base = base.select("rid", (F.col("_items") + F.coalesce(I.cap_fee(F.col("delivery_fee")), zero) - F.coalesce("_off", zero)).alias("computed"))
+    base = base.select("rid", F.coalesce("_off", zero).alias("_off"), (F.col("_items") + F.coalesce(I.cap_fee(F.col("delivery_fee")), zero) - F.coalesce("_off", zero)).alias("computed"))
     base = stored(base, "computed")
     counts = stored(evidence.amount_counts(printed["rows"]), "counts")
     found = stored(evidence.evidence(printed["rows"]), "evidence")
     unused = evidence.unused_discounts(found, fixed.filter("discount > 0").select("rid", F.col("discount").alias("amount")))
     candidates = evidence.paid_candidates(found, counts, printed["totals"], receipts.filter("ok").select("rid", "total_amount"))
     candidates, unused = stored(candidates, "candidates"), stored(unused, "unused")
-    restorable = missing.filter("not recovered").select("rid", F.col("item_no").alias("ref"), "name", "price")
+    restorable = missing.filter("not recovered").select("rid", F.col("item_no").alias("ref"), "name", "quantity", "price")
     done = reconcile(fixed, base, candidates, counts, unused, restorable)
     left = done["items"].groupBy("rid").agg(F.count("*").alias("n_items"), F.bool_and(line > 0).alias("_positive"))
-    out = receipts.join(done["solutions"], "rid", "left").join(left, "rid", "left").join(base, "rid", "left")
+    out = receipts.join(done["solutions"], "rid", "left").join(left, "rid", "left").join(base, "rid", "left").join(done["discounts"], "rid", "left")
     total = F.coalesce("paid", "total_amount")
     verified = F.coalesce(F.col("tier") < 2, F.lit(False))
-    result = out.select("rid", "ok", "error", "store_name", total.alias("total_amount"), F.coalesce("n_items", F.lit(0)).alias("n_items"), verified.alias("total_verified"), (verified & F.coalesce("_positive", F.lit(False))).alias("items_verified"), F.size(F.coalesce("edit_ids", F.array().cast("array<int>"))).alias("n_edits"))
+    result = out.select("rid", "ok", "error", "store_name", total.alias("total_amount"), F.coalesce("n_items", F.lit(0)).alias("n_items"), verified.alias("total_verified"), (verified & F.coalesce("_positive", F.lit(False))).alias("items_verified"), F.size(F.coalesce("edit_ids", F.array().cast("array<int>"))).alias("n_edits"), (F.coalesce("_off", zero) + F.coalesce("added_discount", zero)).alias("discount"))
     return {"receipts": result, "items": done["items"], "corrections": dropped.unionByName(recovered).unionByName(scaled), "edits": done["edits"], "solutions": done["solutions"]}

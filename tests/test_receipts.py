@@ -10,6 +10,7 @@ from slipwright.functions import labels as L
 from slipwright.functions import money as M
 from slipwright.functions import names as N
 from slipwright.operators import layout
+from slipwright.operators import solve as S
 from slipwright.queries import ORACLES, QUERIES
 from slipwright.streaming import joins
 
@@ -70,6 +71,27 @@ def test_stream_join(spark, tmp_path):
     assert got[1] == "{}" and got.get(2) is None
 
 
+def test_edits_add_up(spark):
+    columns = "rid string, item_no int, name string, quantity int, price long, discount long, options long, layout_price long, from_ocr boolean"
+    rows = [("add", 1, "참치김밥", 1, 3000, 0, 0, 0, False), ("scale", 1, "콜라", 2, 1500, 0, 100, 0, False), ("scale", 2, "사이다", 3, 700, 0, 0, 0, False), ("scale", 3, "물", 1, 900, 0, 0, 0, False), ("cut", 1, "라면", 1, 5000, 0, 0, 0, False)]
+    items = spark.createDataFrame(rows, columns)
+    paid = {"add": 7500, "scale": 2 * 1600 + 3 * 700 + 900, "cut": 4200}
+    candidates = spark.createDataFrame([(r, v, 1) for r, v in paid.items()], "rid string, value long, tier int")
+    counts = spark.createDataFrame([], "rid string, amount long, n long, n_summary long")
+    unused = spark.createDataFrame([("cut", 800)], "rid string, amount long")
+    restorable = spark.createDataFrame([("add", 4, "떡볶이", 1, 4500)], "rid string, ref int, name string, quantity int, price long")
+    header = spark.createDataFrame([("scale",)], "rid string")
+    line = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
+    base = items.groupBy("rid").agg(F.sum(line).alias("computed"))
+    found = S.edits(items, candidates, counts, unused, restorable, header)
+    solutions = S.solve(base, candidates, found)
+    after = S.apply_edits(items, found, solutions, restorable)
+    off = S.added_discounts(found, solutions)
+    sums = after.groupBy("rid").agg(F.sum(line).alias("s")).join(off, "rid", "left").select("rid", F.col("s") - F.coalesce("added_discount", F.lit(0)))
+    assert {r.rid: r.paid for r in solutions.collect()} == paid and {r[0]: r[1] for r in sums.collect()} == paid
+    assert {(r.item_no, r.name, r.from_ocr) for r in after.filter("rid = 'add'").collect()} == {(1, "참치김밥", False), (1004, "떡볶이", True)}
+
+
 FAST = ["balance_check", "money_parse", "label_levels", "fee_labels", "rows_clustered", "row_parse", "item_assembly", "receipt_discount", "vlm_parsed", "evidence_kinds", "solve"]
 
 
