@@ -32,13 +32,14 @@ def read_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return receipts.drop("vlm"), items
 
 
-def reconcile(items: DataFrame, computed: DataFrame, candidates: DataFrame, counts: DataFrame, unused: DataFrame, restorable: DataFrame | None = None) -> dict[str, DataFrame]:
+def reconcile(items: DataFrame, computed: DataFrame, candidates: DataFrame, counts: DataFrame, unused: DataFrame, restorable: DataFrame | None = None, found: DataFrame | None = None, current: DataFrame | None = None) -> dict[str, DataFrame]:
     """Workload C: the chosen edits of each receipt and its items after them.
 
-    ``items`` as for ``solve.edits``; ``computed``: (rid, computed)."""
-    found = stored(solve.edits(items, candidates, counts, unused, restorable), "edits")
-    solutions = stored(solve.solve(computed, candidates, found), "solutions")
-    return {"edits": found, "solutions": solutions, "items": solve.apply_edits(items, found, solutions, restorable), "discounts": solve.added_discounts(found, solutions)}
+    ``items`` as for ``solve.edits``; ``computed``: (rid, computed); ``found`` and ``current``: its ``evidence`` and
+    ``current``."""
+    edits = stored(solve.edits(items, candidates, counts, unused, restorable, evidence=found, current=current), "edits")
+    solutions = stored(solve.solve(computed, candidates, edits), "solutions")
+    return {"edits": edits, "solutions": solutions, "items": solve.apply_edits(items, edits, solutions, restorable), "discounts": solve.added_discounts(edits, solutions)}
 
 
 def merge(lines: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
@@ -69,7 +70,10 @@ def merge(lines: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
     candidates = evidence.paid_candidates(found, counts, printed["totals"], receipts.filter("ok").select("rid", "total_amount"))
     candidates, unused = stored(candidates, "candidates"), stored(unused, "unused")
     restorable = missing.filter("not recovered").select("rid", F.col("item_no").alias("ref"), "name", "quantity", "price")
-    done = reconcile(fixed, base, candidates, counts, unused, restorable)
+    # prices of printed options are line amounts, no discounts
+    options = shown.select("rid", F.explode("options").alias("o")).select("rid", F.col("o.price").alias("amount"), F.lit("unlabelled").alias("kind")).distinct()
+    offered = found.join(options, ["rid", "kind", "amount"], "left_anti")
+    done = reconcile(fixed, base, candidates, counts, unused, restorable, offered, base.select("rid", F.col("_off").alias("amount")))
     left = done["items"].groupBy("rid").agg(F.count("*").alias("n_items"), F.bool_and(line > 0).alias("_positive"))
     out = receipts.join(done["solutions"], "rid", "left").join(left, "rid", "left").join(base, "rid", "left").join(done["discounts"], "rid", "left")
     total = F.coalesce("paid", "total_amount")

@@ -92,6 +92,19 @@ def test_edits_add_up(spark):
     assert {(r.item_no, r.name, r.from_ocr) for r in after.filter("rid = 'add'").collect()} == {(1, "참치김밥", False), (1004, "떡볶이", True)}
 
 
+def test_discount_offers(spark):
+    columns = "rid string, item_no int, name string, quantity int, price long, discount long, options long, layout_price long, from_ocr boolean"
+    items = spark.createDataFrame([("total", 1, "라면", 1, 5000, 300, 0, 0, False), ("free", 1, "라면", 1, 5000, 0, 500, 0, False)], columns)
+    candidates = spark.createDataFrame([("total", 3800, 1), ("free", 4600, 1)], "rid string, value long, tier int")
+    counts = spark.createDataFrame([], "rid string, amount long, n long, n_summary long")
+    unused = spark.createDataFrame([("total", 1200)], "rid string, amount long")
+    seen = [("total", "discount", 1200), ("free", "unlabelled", 900), ("free", "unlabelled", 4600), ("free", "unlabelled", 5000), ("free", "unlabelled", 500), ("free", "unlabelled", 418)]
+    found = S.edits(items, candidates, counts, unused, evidence=spark.createDataFrame(seen, "rid string, kind string, amount long"), current=spark.createDataFrame([("total", 100)], "rid string, amount long"))
+    assert {(e.rid, e.amount, e.cost) for e in found.filter("kind = 'add_discount'").collect()} == {("total", 1200, 1.0), ("total", 800, 1.1), ("free", 900, 1.6)}
+    base = spark.createDataFrame([("total", 4600), ("free", 5500)], "rid string, computed long")
+    assert {(r.rid, r.paid, tuple(r.kinds)) for r in S.solve(base, candidates, found).collect()} == {("total", 3800, ("add_discount",)), ("free", 4600, ("add_discount",))}
+
+
 FAST = ["balance_check", "money_parse", "label_levels", "fee_labels", "rows_clustered", "row_parse", "item_assembly", "receipt_discount", "vlm_parsed", "evidence_kinds", "solve"]
 
 
