@@ -542,7 +542,7 @@ def solve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merged_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole merge of both readings."""
+    """The merge of both readings (E19, in part: the README lists what is missing)."""
     return jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir))["receipts"]
 
 
