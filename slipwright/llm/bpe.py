@@ -1,12 +1,17 @@
 """Byte-level BPE by given ranks: chunks are pre-tokenised apart, stitched, and their pieces encoded.
 
 A text of up to ``chunk`` characters is one chunk. A longer one is cut into chunks that overlap by ``zone`` characters
-on either side of each cut, each a row of its own, so that no task works on a very long text alone. A chunk's first
-matches depend on where it was cut, but a match depends only on what follows its start, so as soon as two neighbours
-have a match start in common inside their shared zone, all later ones agree too. The text is stitched at the first
-such place of each zone, and each chunk encodes the pieces between two of them. A text in which some zone has none (a
+on either side of each cut, each a row of its own, so that no task works on a very long text alone. What a chunk matches
+first depends on where it was cut, but a match depends only on what follows its start. So as soon as two neighbours end
+a match at the same place of their shared zone, all later ones agree too. The text is stitched at the first such place of
+each zone, and each chunk encodes the piece between two of them. How white space is split depends on all of its run
+(``\\s+(?!\\S)`` leaves the last space to the next word), so no place behind white space counts: a piece begins and ends
+beside something else, and alone it splits as it does within the text. A text in which some zone has no such place (a
 single word or a run of spaces longer than the zone) is pre-tokenised in one go.
 
+This holds for patterns without look-behind that look ahead only over white space, as those of public byte-level
+vocabularies do; with a look-behind in the pattern every text is one chunk.
+
 Pieces repeat, so each distinct piece of a batch is encoded once. Decoding concatenates the bytes of the ids.
 
 Defined cases: a null text is an empty one, with no ids; repeated rows each have their own row; an empty table gives
@@ -55,8 +60,9 @@ class PieceEncoder:
         self.pattern = regex.compile(pattern)
         self.keep, self.known = keep, {}
 
-    def starts(self, text: str) -> list[int]:
-        return [m.start() for m in self.pattern.finditer(text)]
+    def places(self, text: str) -> list[int]:
+        """Where matches end that don't end with white space."""
+        return [m.end() for m in self.pattern.finditer(text) if not m[0][-1:].isspace()]
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text."""
@@ -103,29 +109,29 @@ def _split(chunk: int, zone: int):
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per chunk: its text from ``zone`` before its first cut to ``zone`` behind its last."""
         for batch in batches:
-            for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, h, text, copies in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "copies"))):
                 n = -(-len(text) // chunk)
                 for k in range(0, n, 64):
                     part = range(k, min(n, k + 64))
                     low = [max(0, j * chunk - zone) for j in part]
                     cut = [text[a : (j + 1) * chunk + zone] for j, a in zip(part, low)]
                     m = len(cut)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * m, pa.int64()), pa.array([h] * m, pa.string()), pa.array(list(part), pa.int32()), pa.array([n] * m, pa.int32()), pa.array(low, pa.int64()), pa.array(cut, pa.string())], ["doc_id", "h", "k", "n", "low", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * m, pa.int64()), pa.array([h] * m, pa.string()), pa.array([copies] * m, pa.int64()), pa.array(list(part), pa.int32()), pa.array([n] * m, pa.int32()), pa.array(low, pa.int64()), pa.array(cut, pa.string())], ["doc_id", "h", "copies", "k", "n", "low", "text"])
 
     return split
 
 
 def _mark(path: str, pattern: str, chunk: int, zone: int):
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the starts of matches in the zone around the first cut, and around the last."""
+        """Adds the places where matches end in the zone around the first cut, and around the last."""
         encoder = encoder_of(path, pattern)
         for batch in text_slices(batches):
             heads, tails = [], []
             for k, low, text in zip(*(batch.column(c).to_pylist() for c in ("k", "low", "text"))):
-                starts = low + np.array(encoder.starts(text), np.int64)
+                at = low + np.array(encoder.places(text), np.int64)
                 first, last = k * chunk, (k + 1) * chunk
-                heads.append(starts[(starts >= first - zone) & (starts < first + zone)])
-                tails.append(starts[(starts >= last - zone) & (starts < last + zone)])
+                heads.append(at[(at > first - zone) & (at < first + zone)])
+                tails.append(at[(at > last - zone) & (at < last + zone)])
             more = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "head", "tail"])
 
@@ -134,31 +140,28 @@ def _mark(path: str, pattern: str, chunk: int, zone: int):
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, zone: int = ZONE) -> DataFrame:
     """(doc_id, ids array<int>): the ids of each whole text, each match of the pattern encoded by itself."""
-    if not 0 < zone <= chunk:
-        raise ValueError("the zone is between 1 and the chunk's length")
+    if not 0 < 2 * zone <= chunk:
+        raise ValueError("the zone is between 1 and half the chunk's length")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
+    long = F.coalesce(F.char_length("text") > chunk, F.lit(False)) & F.lit("(?<" not in pattern)
     short = rows.filter(~long).mapInArrow(_encode_whole(path, pattern), "doc_id long, ids array<int>")
-    keyed = rows.filter(long).withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
-
-    # repeated rows are worked on once
-    chunks = keyed.mapInArrow(_split(chunk, zone), "doc_id long, h string, k int, n int, low long, text string").dropDuplicates(["doc_id", "h", "k"])
+    # repeated rows are worked on once; they are combined before they are shuffled
+    keyed = rows.filter(long).groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    chunks = keyed.mapInArrow(_split(chunk, zone), "doc_id long, h string, copies long, k int, n int, low long, text string").repartition("doc_id", "h", "k")
     marked = chunks.mapInArrow(_mark(path, pattern, chunk, zone), chunks.schema.simpleString()[7:-1].replace(":", " ") + ", head array<long>, tail array<long>")
     order = Window.partitionBy("doc_id", "h").orderBy("k")
     meet = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
     stitched = marked.withColumn("at", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(meet))
     stitched = stitched.withColumns({"to": F.lead("at").over(order), "lost": F.max(F.col("at").isNull()).over(Window.partitionBy("doc_id", "h"))})
     piece = F.substring("text", (F.col("at") - F.col("low") + 1).cast("int"), F.when(F.col("k") + 1 < F.col("n"), F.col("to") - F.col("at")).otherwise(F.char_length("text")).cast("int"))
-    pieces = stitched.filter("not lost").select("doc_id", "h", "k", piece.alias("text")).mapInArrow(_encode_whole(path, pattern), "doc_id long, h string, k int, ids array<int>")
-    whole = pieces.groupBy("doc_id", "h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    # put together again where a zone had no common start
-    lost = stitched.filter("lost").select("doc_id", "h", "k", F.substring("text", F.when(F.col("k") == 0, 1).otherwise(zone + 1), chunk).alias("text"))
-    lost = lost.groupBy("doc_id", "h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
-    lost = lost.mapInArrow(_encode_whole(path, pattern), "doc_id long, h string, ids array<int>")
-    found = whole.unionByName(lost).withColumnsRenamed({"doc_id": "found_id", "h": "found_h"})
-    keys = keyed.select("doc_id", "h")
-    joined = keys.join(found, keys.doc_id.eqNullSafe(found.found_id) & (keys.h == found.found_h))
-    return short.unionByName(joined.select("doc_id", "ids"))
+    pieces = stitched.filter("not lost").select("doc_id", "h", "copies", "k", piece.alias("text")).mapInArrow(_encode_whole(path, pattern), "doc_id long, h string, copies long, k int, ids array<int>")
+    whole = pieces.groupBy("doc_id", "h", "copies").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    # put together again where a zone had no common place
+    lost = stitched.filter("lost").select("doc_id", "h", "copies", "k", F.substring("text", F.when(F.col("k") == 0, 1).otherwise(zone + 1), chunk).alias("text"))
+    lost = lost.groupBy("doc_id", "h", "copies").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
+    lost = lost.mapInArrow(_encode_whole(path, pattern), "doc_id long, h string, copies long, ids array<int>")
+    found = whole.select("doc_id", "copies", "ids").unionByName(lost.select("doc_id", "copies", "ids"))
+    return short.unionByName(found.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "ids"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
