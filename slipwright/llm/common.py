@@ -44,6 +44,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for working columns that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text is a multiple of 5: the rows that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -5,25 +5,32 @@ Words are maximal runs of characters outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7
 inside any occurrence of a window is hit; a document is contaminated if hit words are at least one in ``one_in``.
 
 The benchmark goes to executors in blocks of at most ``block_bytes`` of text (or one item), so no broadcast grows with
-it: each block scans the documents once, and the hits of all blocks are united in the row of the document.
+it. A block is two arrays of numbers a word and one a window (about 20 bytes for each word, besides its distinct words),
+built once in a worker process. A benchmark of one block is found by one map over the documents. Of a larger one each
+block is a job of its own over the documents, whose hits are written to the shared folder before its broadcast is
+dropped; at last the hits of all blocks are united by document and joined to the documents.
 Window hashes only nominate; each hit is verified by the words themselves.
 
 Defined cases: null and empty texts have no words and are clean; an empty benchmark leaves all clean; benchmark items
 without words have no window; repeated documents each have their own row; repeated item_ids count once; null item_ids
-count as the item "null" if their windows occur. Other columns of ``docs`` are kept by ``remove_contaminated`` only.
+count as the item "null" if their windows occur. Other columns of ``docs`` are kept by ``remove_contaminated`` and
+``remove_spans`` whatever their names are (working columns take names that are free).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import text_slices, texts_of
+from .common import free_names, stored, text_slices, texts_of
 
 N = 13
 ONE_IN = 20
@@ -38,24 +45,31 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Windows:
-    """All windows of a block of benchmark items, by length: sorted hashes, the words of each, and its items."""
+    """All windows of a block of benchmark items: their words as one array of numbers, and by window length the sorted
+    hashes with the place of each window in it."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int = N):
         self.vocabulary: dict[bytes, int] = {}
-        by_size: dict[int, dict[tuple, set[str]]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text or "")]
-            size = min(n, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                by_size.setdefault(size, {}).setdefault(tuple(ids[k : k + size]), set()).add(item)
+        number, self.names, parts, by_size, at = self.vocabulary.setdefault, [], [], {}, 0
+        for name, text in items:
+            ids = np.array([number(w, len(self.vocabulary)) for w in words_of(text or "")], np.int32)
+            if len(ids):
+                by_size.setdefault(min(n, len(ids)), []).append((at, len(ids), len(self.names)))
+                parts.append(ids)
+                at += len(ids)
+                self.names.append(name)
+        self.words = np.concatenate([np.zeros(0, np.int32), *parts])
+        del parts
         rng = np.random.default_rng(20)
-        self.codes = rng.integers(1, 2**63, max(1, len(self.vocabulary)), dtype=np.uint64)
-        self.sizes = []
+        codes = rng.integers(1, 2**63, max(1, len(self.vocabulary)), dtype=np.uint64)
+        self.codes, self.sizes = codes, []
         for size, found in sorted(by_size.items()):
-            rows = np.array(list(found), np.int32).reshape(len(found), size)
-            hashes = self.hash(rows.T)
+            starts = np.concatenate([np.arange(a, a + m - size + 1) for a, m, _ in found])
+            owners = np.repeat(np.array([k for _, _, k in found], np.int32), [m - size + 1 for _, m, _ in found])
+            views = np.lib.stride_tricks.sliding_window_view(self.words, size)
+            hashes = np.concatenate([self.hash(views[s].T) for s in np.array_split(starts, 1 + len(starts) // 100_000)])
             order = np.argsort(hashes, kind="stable")
-            self.sizes.append((size, hashes[order], rows[order], [sorted(found[tuple(r)]) for r in rows[order].tolist()]))
+            self.sizes.append((size, hashes[order], starts[order].astype(np.int32), owners[order]))
 
     def hash(self, columns: np.ndarray) -> np.ndarray:
         out = np.zeros(columns.shape[1], np.uint64)
@@ -72,20 +86,17 @@ class Windows:
         edge = np.flatnonzero(np.diff(known) > 1)
         starts, ends = known[np.concatenate([[0], edge + 1])], known[np.concatenate([edge, [len(known) - 1]])] + 1
         hits, items = [], set()
-        for size, hashes, rows, owners in self.sizes:
-            for a, b in zip(starts, ends):
-                if b - a < size:
-                    continue
+        for size, hashes, places, owners in self.sizes:
+            for a, b in zip(starts[ends - starts >= size].tolist(), ends[ends - starts >= size].tolist()):
                 view = np.lib.stride_tricks.sliding_window_view(ids[a:b], size)
                 own = self.hash(view.T)
-                at = np.searchsorted(hashes, own)
-                for k in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == own).tolist():
-                    j = int(at[k])
-                    while j < len(hashes) and hashes[j] == own[k]:
-                        if (rows[j] == view[k]).all():
-                            hits.append((int(a) + k, int(a) + k + size))
-                            items.update(owners[j])
-                        j += 1
+                low = np.searchsorted(hashes, own)
+                for k in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own).tolist():
+                    first, last = int(low[k]), int(np.searchsorted(hashes, own[k], side="right"))
+                    same = (self.words[places[first:last, None] + np.arange(size)] == view[k]).all(1)
+                    if same.any():
+                        hits.append((a + k, a + k + size))
+                        items.update(self.names[j] for j in np.unique(owners[first:last][same]).tolist())
         return united(hits), items
 
 
@@ -114,70 +125,135 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
 
 
 _STATE = "array<struct<a:long,b:long>>"
+_built: dict[str, Windows] = {}
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with three columns more: ``_d_words`` (number of words), ``_d_runs`` (stretches of hit words, in words)
-    and ``_d_items`` (ids of the items that occur, sorted as strings). A map over rows for each block: no shuffle."""
-    out = docs.withColumns({"_d_words": F.lit(0).cast("long"), "_d_runs": F.array().cast(_STATE), "_d_items": F.array().cast("array<string>")})
-    share = docs.sparkSession.sparkContext.broadcast
-    blocks = benchmark_blocks(benchmark, block_bytes)
-    for block in chain([next(blocks, [])], blocks):
-        out = out.mapInArrow(_scanner(share((block, n))), out.schema)
-    return out
+def _windows(shared) -> Windows:
+    """The windows of a broadcast block, built once in a process; it keeps those of the last block alone."""
+    name, block, n = shared.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = Windows(block, n)
+    return _built[name]
+
+
+class Names:
+    """Names of working columns that ``docs`` doesn't have."""
+
+    def __init__(self, docs: DataFrame):
+        self.words, self.runs, self.items, self.id, self.hash = free_names(docs, "words", "runs", "items", "id", "hash")
+
 
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Names]:
+    """``docs`` with three columns more, and what they are called: the number of words, the stretches of hit words
+    [a, b) in words, and the ids of the items that occur, sorted as strings.
 
-def _scanner(shared):
+    One block of benchmark is a map over rows, without a shuffle. With more blocks rows are joined with the hits by
+    doc_id and hash of the text: documents without a hit go through the join as they are.
+    """
+    names, spark = Names(docs), docs.sparkSession
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    new = [StructField(names.words, LongType()), StructField(names.runs, _type(_STATE)), StructField(names.items, _type("array<string>"))]
+    share = spark.sparkContext.broadcast
+    if second is None:
+        return docs.mapInArrow(_scanner(share((uuid.uuid4().hex, first, n)), [f.name for f in new]), StructType([*docs.schema.fields, *new])), names
+    key = {names.id: F.col("doc_id").cast("long"), names.hash: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    bare = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in key.items()])
+    parts = []
+    for block in chain([first, second], blocks):
+        shared = share((uuid.uuid4().hex, block, n))
+        own = bare.mapInArrow(_scanner(shared, [f.name for f in new]), StructType([*bare.schema.fields, *new])).filter(F.size(names.items) > 0)
+        parts.append(stored(own.drop("text", names.words).distinct(), "hits"))
+        shared.unpersist()
+    hits = reduce(DataFrame.union, parts).groupBy(names.id, names.hash)
+    spans = hits.agg(F.flatten(F.collect_list(names.runs)).alias(names.runs), F.array_sort(F.array_distinct(F.flatten(F.collect_list(names.items)))).alias(names.items))
+    spans = spans.withColumn(names.runs, _united(F.col(names.runs))).withColumnsRenamed({names.id: "own_id", names.hash: "own_hash"})
+    rows = docs.withColumns(key)
+    joined = rows.join(spans, rows[names.id].eqNullSafe(spans.own_id) & (rows[names.hash] == spans.own_hash), "left")
+    none = {names.runs: F.coalesce(spans[names.runs], F.array().cast(_STATE)), names.items: F.coalesce(spans[names.items], F.array().cast("array<string>"))}
+    counted = joined.select(*[rows[c] for c in docs.columns], n_words(rows["text"]).alias(names.words), *[c.alias(k) for k, c in none.items()])
+    return counted, names
+
+
+def _type(text: str):
+    return StructType.fromDDL(f"x {text}")["x"].dataType
+
+
+def n_words(text: Column) -> Column:
+    """The number of words of a text."""
+    words = F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.size(F.filter(words, lambda w: w != "")).cast("long")
+
+
+def _united(runs: Column) -> Column:
+    """Stretches in order and apart: those of other blocks may overlap."""
+    start = F.array().cast(_STATE)
+
+    def step(done: Column, r: Column) -> Column:
+        meets = (F.size(done) > 0) & (r["a"] <= F.try_element_at(done, F.lit(-1))["b"])
+        longer = F.struct(F.try_element_at(done, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(done, F.lit(-1))["b"], r["b"]).alias("b"))
+        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(F.array_sort(runs), start, step)
+
+
+def _scanner(shared, columns: list[str]):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(*shared.value)
+        windows = _windows(shared)
         for batch in text_slices(batches):
-            n_words, runs, items = [], [], []
-            before = zip(batch.column("_d_runs").to_pylist(), batch.column("_d_items").to_pylist())
-            for text, (old_runs, old_items) in zip(texts_of(batch).to_pylist(), before):
+            counts, runs, items = [], [], []
+            for text in texts_of(batch).to_pylist():
                 words = words_of(text)
                 hit, found = windows.scan(words)
-                n_words.append(len(words))
-                runs.append([{"a": a, "b": b} for a, b in (united([(r["a"], r["b"]) for r in old_runs] + hit) if old_runs else hit)])
-                items.append(sorted(found.union(old_items)) if found else old_items)
-            new = {"_d_words": n_words, "_d_runs": runs, "_d_items": items}
-            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
+                counts.append(len(words))
+                runs.append([{"a": a, "b": b} for a, b in hit])
+                items.append(sorted(found))
+            new = [pa.array(counts, pa.int64()), pa.array(runs, _RUNS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *columns])
 
     return scan
 
 
-def n_hit() -> Column:
-    return F.aggregate("_d_runs", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+_RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def n_hit(runs: str) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+
+
+def _contaminated(names: Names, one_in: int) -> Column:
+    return (n_hit(names.runs) > 0) & (n_hit(names.runs) * one_in >= F.col(names.words))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, one_in: int = ONE_IN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs (hit words)."""
-    hits = n_hit()
-    found = find_hits(docs.select("doc_id", "text"), benchmark, n, block_bytes)
+    found, names = find_hits(docs.select("doc_id", "text"), benchmark, n, block_bytes)
     return found.select(
         "doc_id",
-        F.col("_d_words").alias("n_words"),
-        hits.alias("n_hit"),
-        F.size("_d_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_d_items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((hits > 0) & (hits * one_in >= F.col("_d_words"))).alias("contaminated"),
-        F.col("_d_runs").alias("runs"),
+        F.col(names.words).alias("n_words"),
+        n_hit(names.runs).alias("n_hit"),
+        F.size(names.items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(names.items, ",").cast("binary"), 256).alias("items_sha256"),
+        _contaminated(names, one_in).alias("contaminated"),
+        F.col(names.runs).alias("runs"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, one_in: int = ONE_IN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated documents, all columns kept."""
-    found, hits = find_hits(docs, benchmark, n, block_bytes), n_hit()
-    return found.filter(~((hits > 0) & (hits * one_in >= F.col("_d_words")))).select(*docs.columns)
+    found, names = find_hits(docs, benchmark, n, block_bytes)
+    return found.filter(~_contaminated(names, one_in)).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the hit stretches cut out of their texts (from a stretch's first word to its last); n_chars follows."""
-    found = find_hits(docs, benchmark, n, block_bytes)
+    found, names = find_hits(docs, benchmark, n, block_bytes)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = batch.column("text").to_pylist()
-            for i, runs in enumerate(batch.column("_d_runs").to_pylist()):
+            for i, runs in enumerate(batch.column(names.runs).to_pylist()):
                 if runs:
                     texts[i] = without(texts[i], [(r["a"], r["b"]) for r in runs])
             at = batch.schema.get_field_index("text")

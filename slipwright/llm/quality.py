@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, text_slices, texts_of
+from .common import free_names, held_out, text_slices, texts_of
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -135,8 +135,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     rows = rows.filter(F.col("_l_id").isNotNull() & F.col("_l_label").isin(0.0, 1.0) & ~held_out(F.col("_l_id")))
     rows = rows.orderBy(F.xxhash64("_l_id"), "_l_id", "_l_label").limit(max_rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most max_rows rows of two numbers
-    return own.join(F.broadcast(rows), F.col("doc_id") == F.col("_l_id")).select("text", F.col("_l_label").alias("label"))
+    # at most max_rows rows of two numbers; a doc_id that many documents share may still match more of them
+    found = own.join(F.broadcast(rows), F.col("doc_id") == F.col("_l_id"))
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text"), F.col("_l_label")
+    return found.orderBy(*order).limit(max_rows).select("text", F.col("_l_label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Trees:
@@ -171,5 +173,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """``docs``, all columns, without the documents that are predicted 0."""
-    scored = with_score(docs, train(docs, labels, max_rows=max_rows), "_q_score")
-    return scored.filter(F.col("_q_score") >= threshold).drop("_q_score")
+    (column,) = free_names(docs, "score")
+    return with_score(docs, train(docs, labels, max_rows=max_rows), column).filter(F.col(column) >= threshold).select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices, texts_of
+from .common import free_names, stored, text_slices, texts_of
 from .components import components
 
 SHINGLE = 3
@@ -181,9 +181,9 @@ def _grouped(docs: DataFrame, tile_rows: int) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(nodes.select("fp"), tile_rows))
     groups = stored(nodes.join(found, nodes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "groups")
-    # only in components of several fingerprints can the smallest doc_id be another's
-    several = groups.filter(F.col("fp") != F.col("root")).select("root").distinct()
-    least = groups.join(several, "root").groupBy("root").agg(F.min("first").alias("least"))
+    # a component of one fingerprint has its name already; the others' names are combined before they are shuffled, and
+    # no aggregation hangs on the join's partitions, so that adaptive execution may split those of large components
+    least = groups.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     named = groups.join(least, "root", "left").select("fp", "root", F.coalesce("least", "first").alias("component_id"))
     return prints.join(named, "fp")
 
@@ -196,10 +196,11 @@ def near_duplicates(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 def keep_first(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``docs``, all columns, with one document of each component: the one whose doc_id names it (a null doc_id only
     if all are null). Of several rows with that doc_id the one with the smallest hash of its text stays, once."""
+    own_id, own_hash = free_names(docs, "id", "hash")
     named = _grouped(docs, tile_rows).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = named.groupBy("doc_id", "root").agg(F.min("h").alias("h")).select(_key("doc_id").alias("_s_id"), F.col("h").alias("_s_h")).distinct()
-    rows = docs.withColumns({"_s_id": _key("doc_id"), "_s_h": F.xxhash64("text")})
-    return rows.join(keep, ["_s_id", "_s_h"], "left_semi").dropDuplicates(["_s_id", "_s_h"]).select(*docs.columns)
+    keep = named.groupBy("doc_id", "root").agg(F.min("h").alias("h")).select(_key("doc_id").alias(own_id), F.col("h").alias(own_hash)).distinct()
+    rows = docs.withColumns({own_id: _key("doc_id"), own_hash: F.xxhash64("text")})
+    return rows.join(keep, [own_id, own_hash], "left_semi").dropDuplicates([own_id, own_hash]).select(*docs.columns)
 
 
 def _key(column: str) -> Column:

@@ -17,7 +17,9 @@ columns other than ``doc_id`` and ``text`` are left out.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,44 +42,96 @@ CHECKSUM_FLAG = 0x80
 
 #: Unicode White_Space, as in the tokenizer's ``\s``.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES_SET = {chr(c) for c in range(0x3001) if re.match(f"[{SPACES}]", chr(c))}
 MANIFEST = "shard long, path string, first_id long, last_id long, n_docs long, n_ids long, frames array<struct<at:long,size:long,first_id:long,last_id:long,n_docs:long>>"
 
 
+#: Letters that all versions of Unicode agree on, as a class of a regular expression.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏА-яЁёぁ-ゖァ-ヺ一-龥가-힣"
+SIGNS = "!-/:-@\\[-`{-~"
+
+
+def byte_letters() -> dict[int, str]:
+    """The visible character that byte-level vocabularies write for each byte: printable Latin-1 ones stand for
+    themselves, the others for the characters from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class UnitEncoder:
     """Encodes texts by the tokenizers library, each distinct stretch of text once.
 
-    The pre-tokenizer never joins a non-space to a space behind it, so a text may be cut before each run of white
-    space and the parts encoded alone. Parts repeat a lot; the ids of up to ``keep`` of them are remembered.
+    A byte-level pre-tokenizer never joins a non-space to a space behind it, so a text may be cut before each run of
+    white space and the parts encoded alone. Parts repeat a lot; the ids of the last ``keep`` of them are remembered,
+    and those that come back stay. A part of letters, with signs behind it or none, is two pre-tokens at most and goes
+    to the library's merges at once. All this holds only for the file layout that ``cuts_at_spaces`` checks; with any
+    other file the library gets whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
-        import re
-
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.older, self.signs = keep, {}, {}, {}
+        with open(path, encoding="utf-8") as file:
+            self.in_units = cuts_at_spaces(json.load(file))
         breaks = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
         self.line_break = breaks[1] if len(breaks) == 3 else -1
         self.uneven = f"^ | $|[{SPACES}] | [{SPACES}]"
         self.parts = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+        self.word = re.compile(f"( ?[{LETTERS}]+)([{SIGNS}]*)").fullmatch
+        self.shown = byte_letters()
 
     def ids_of(self, units: list[str]) -> list[bytes]:
         out = list(map(self.known.get, units))
-        new = [u for u, ids in zip(units, out) if ids is None]
+        lost = [k for k, ids in enumerate(out) if ids is None]
+        fresh: dict[str, bytes] = {}
+        for k in lost:
+            ids = self.older.get(units[k])
+            if ids is not None:
+                fresh[units[k]] = ids
+        new = [units[k] for k in lost if units[k] not in fresh]
         if new:
-            found = self._new_ids(new)
-            if len(self.known) + len(found) > self.keep:
-                self.known.clear()
-            self.known.update(found)
-            out = [found[u] if ids is None else ids for u, ids in zip(units, out)]
+            fresh |= self._new_ids(new)
+        for k in lost:
+            out[k] = fresh[units[k]]
+        if len(self.known) + len(fresh) > self.keep // 2:  # what isn't met again while the next half fills is forgotten
+            self.older, self.known = self.known, {}
+        self.known.update(fresh)
         return out
 
     def _new_ids(self, units: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        words = [m for m in map(self.word, units) if m]
+        merge, fresh, tails = self.tokenizer.model.tokenize, {}, []
+        for m in words:
+            whole, word, signs = m[0], m[1], m[2]
+            if signs:
+                ids = self.known.get(word) or self.older.get(word)
+                if ids is None:
+                    fresh[word] = None
+                tails.append((whole, word, signs, ids))
+            else:
+                fresh[word] = None
+        written = "\n".join(fresh).encode("utf-8").decode("latin-1").translate(self.shown).split(self.shown[10])
+        for word, text in zip(fresh, written):
+            ids = [t.id for t in merge(text)]
+            found[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for whole, word, signs, ids in tails:
+            end = self.signs.get(signs)
+            if end is None:
+                if len(self.signs) > 10_000:
+                    self.signs.clear()
+                end = self.signs[signs] = np.array(self.tokenizer.encode(signs, add_special_tokens=False).ids, "<u4").tobytes()
+            found[whole] = (ids or found[word]) + end
+        return found | self._piped_ids([u for u in units if u not in found])
+
+    def _piped_ids(self, units: list[str]) -> dict[str, bytes]:
         """Units without a line break go in one text, a break between them: it is always a token of its own there."""
         found: dict[str, bytes] = {}
-        plain = [u for u in units if u and "\n" not in u and u[-1] not in SPACES]
+        plain = [u for u in units if u and "\n" not in u and u[-1] not in SPACES_SET]
         parts = [plain[k : k + 64] for k in range(0, len(plain), 64)]
         for part, encoded in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(x) for x in parts], add_special_tokens=False)):
             ids = np.array(encoded.ids, "<u4")
@@ -106,6 +160,9 @@ class UnitEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         n = len(texts)
+        if not self.in_units:
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array(list(map(len, found)), np.int64)
         uneven = pc.match_substring_regex(texts, self.uneven).to_numpy(zero_copy_only=False)
         even, odd = np.flatnonzero(~uneven), np.flatnonzero(uneven)
         counts, parts = np.zeros(n, np.int64), []
@@ -134,6 +191,17 @@ class UnitEncoder:
         return out, counts
 
 
+def cuts_at_spaces(layout: dict) -> bool:
+    """Whether a tokenizer file is of plain byte-level merges: no normalizer, the usual split into words, no added
+    space, no dropout or affixes, and no added token that letters with signs behind them could hold."""
+    split, model = layout.get("pre_tokenizer") or {}, layout.get("model") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    mixed = re.compile(f"[{SIGNS}0-9][{LETTERS}]")
+    apart = all(mixed.search(t["content"]) and not any(c in SPACES_SET for c in t["content"]) and not t.get("lstrip") and not t.get("rstrip") for t in layout.get("added_tokens") or [])
+    return bool(usual and merges and apart and not layout.get("normalizer"))
+
+
 _encoders: dict[str, UnitEncoder] = {}
 
 
@@ -228,7 +296,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, f
 
         shard, writer, sink, path, n_docs, n_ids = TaskContext.get().partitionId(), None, None, None, 0, 0
         encoder = encoder_of(tokenizer)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=16 << 20):  # larger slices meet fewer distinct units in all
             if writer is None:
                 store, where = _file(folder)
                 store.create_dir(where, recursive=True)
@@ -269,12 +337,16 @@ def read_store(manifest: DataFrame, doc_ids: list[int] | None = None, with_ids:
     spark = manifest.sparkSession
     # one row per shard, however large the corpus is: the running sum over them is small
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shards = manifest.withColumn("base", before).select("shard", "path", "base", "frames")
+    shards = manifest.withColumn("base", before).select("shard", "path", "base", "first_id", "last_id", "frames")
     wanted = None if doc_ids is None else sorted(set(doc_ids))
+    if wanted is not None:  # shards without any of them aren't opened
+        holds = F.array(*[F.lit(x).cast("long") for x in wanted]) if wanted else F.array().cast("array<long>")
+        shards = shards.filter(F.exists(holds, lambda x: x.between(F.coalesce("first_id", F.lit(-(1 << 63))), F.col("last_id"))))
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = set(wanted or ())
         for batch in batches:
             for row in batch.to_pylist():
                 store, where = _file(row["path"])
@@ -289,7 +361,7 @@ def read_store(manifest: DataFrame, doc_ids: list[int] | None = None, with_ids:
                             docs.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), ids))
                             at += len(ids)
                         if wanted is not None:
-                            docs = [x for x in docs if x[0] in wanted]
+                            docs = [x for x in docs if x[0] in chosen]
                         columns = list(zip(*docs)) or [()] * 5
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), _LONG) for c in columns[:4]] + [pa.array([x.tolist() for x in columns[4]], pa.list_(_LONG))] * with_ids, names)
 

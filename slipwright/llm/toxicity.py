@@ -2,10 +2,12 @@
 
 A text's features are the presence of words and of their first 3 to 7 bytes. Over at most ``max_rows`` labelled
 documents (those with the smallest hashes of their ids) Spark counts the features, and the ``max_features`` that tell
-the labels apart best are kept; only these, and which of them each sampled text has, come to the driver. Sentences that name a group are
-copied with the identity term swapped for another one (for each of the list's terms where a labelled text has none, a
-term put into an empty context stands in), and the squared change of the margin is added to the loss: what the model
-says about a text must not depend on which group it names. The penalty is quadratic, so Newton steps solve the whole.
+the labels apart best are kept; only these, and which of them each sampled text has, come to the driver. Labelled
+sentences that name a group are copied with the identity term swapped for another one of its line, and the squared
+change of the margin is added to the loss (a term in an empty context stands in for those that no labelled text has):
+what the model says must not depend on which group is named. The penalty is quadratic, w' (D'D) w for the rows D of
+changed features, so tasks add up D'D, a table of at most (max_features + 1) squared numbers whatever the number of
+swaps, and Newton steps solve the whole. Terms are of the four languages English, German, French and Spanish.
 
 Defined cases: null and empty texts have no feature and get the score of the intercept; held-out and unlabelled rows
 are never learned from; without labels of both classes the score is the share of label 1 (0 if there is none);
@@ -15,6 +17,7 @@ repeated rows each count; an empty table gives an empty result; columns other th
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +43,17 @@ IDENTITY_TERMS = [
     "gay straight lesbian bisexual transgender heterosexual".split(),
     "old young elderly disabled blind deaf".split(),
     "immigrant refugee foreigner citizen".split(),
+    "frauen männer mädchen jungen frau mann".split(),
+    "muslime christen juden hindus buddhisten atheisten".split(),
+    "einwanderer flüchtlinge ausländer bürger".split(),
+    "femmes hommes filles garçons femme homme".split(),
+    "musulmans chrétiens juifs hindous bouddhistes athées".split(),
+    "immigrés réfugiés étrangers citoyens".split(),
+    "mujeres hombres niñas niños mujer hombre".split(),
+    "musulmanes cristianos judíos hindúes budistas ateos".split(),
+    "inmigrantes refugiados extranjeros ciudadanos".split(),
 ]
+SENTENCE_ENDS = re.compile(r"[.!?\n。！？]+")
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -78,16 +91,37 @@ class Model:
 
 
 def swaps(words: set[bytes], terms: list[list[str]] = IDENTITY_TERMS) -> Iterator[tuple[bytes, bytes]]:
-    """(term in the text, each other term of its line)."""
+    """(term among the words, each other term of its line)."""
     for line in terms:
         for a in line:
             if a.encode() in words:
                 yield from ((a.encode(), b.encode()) for b in line if b != a)
 
 
-def fit(names: list[bytes], rows: list[list[int]], labels: np.ndarray, swapped: list[tuple[list[int], list[int]]], ridge: float = 0.3, fair: float = 20.0, steps: int = 25) -> Model:
-    """A model of the features ``names``; rows: the features of each text; swapped: the features that a text loses and
-    gains when its identity term is swapped; ``fair`` weighs the penalty on what that changes."""
+def changes(plain: Model, text: str) -> Iterator[tuple[list[int], list[int]]]:
+    """For each sentence of a text and each swap of its identity terms: the features that go and that come."""
+    for sentence in SENTENCE_ENDS.split(text):
+        words = set(words_of(sentence))
+        own = None
+        for a, b in swaps(words):
+            own = plain.rows(words) if own is None else own
+            other = plain.rows((words - {a}) | {b})
+            if other != own:
+                yield sorted(own - other), sorted(other - own)
+
+
+def add_changes(gram: dict[tuple[int, int], float], found: Iterable[tuple[list[int], list[int]]]) -> None:
+    """Adds each change's outer product to the sparse table ``gram``."""
+    for less, more in found:
+        signed = [(k, -1.0) for k in less] + [(k, 1.0) for k in more]
+        for i, x in signed:
+            for j, y in signed:
+                gram[i, j] = gram.get((i, j), 0.0) + x * y
+
+
+def fit(names: list[bytes], rows: list[list[int]], labels: np.ndarray, gram: dict[tuple[int, int], float], ridge: float = 0.3, fair: float = 20.0, steps: int = 25) -> Model:
+    """A model of the features ``names``; rows: the features of each text; gram: the sum over all swaps of the outer
+    product of what they change; ``fair`` weighs the penalty on it."""
     n, positive, width = len(rows), float(labels.sum()), len(names)
     if n == 0 or positive in (0.0, float(n)):
         share = min(max(positive / n if n else 0.0, 1e-6), 1 - 1e-6)
@@ -96,13 +130,10 @@ def fit(names: list[bytes], rows: list[list[int]], labels: np.ndarray, swapped:
     x[:, width] = 1
     for k, row in enumerate(rows):
         x[k, row] = 1
-    d = np.zeros((len(swapped), width + 1))
-    for k, (less, more) in enumerate(swapped):
-        d[k, less] -= 1
-        d[k, more] += 1
     penalty = np.eye(width + 1) * ridge
     penalty[width, width] = 1e-6
-    penalty += fair * d.T @ d
+    for (i, j), value in gram.items():
+        penalty[i, j] += fair * value
     w = np.zeros(width + 1)
     w[width] = math.log(positive / (n - positive))
     for _ in range(steps):
@@ -154,26 +185,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     plain = Model(names, np.zeros(len(names)), 0.0)
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The kept features of each text, and for each swap those that go and come, one list behind the other."""
+        """The kept features of each text."""
+        for batch in text_slices(batches):
+            own = [sorted(plain.rows(set(words_of(text)))) for text in texts_of(batch).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column("label")], ["own", "label"])
+
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The table of changes of a task's texts."""
+        gram: dict[tuple[int, int], float] = {}
         for batch in text_slices(batches):
-            rows, changes = [], []
             for text in texts_of(batch).to_pylist():
-                words = set(words_of(text))
-                own = plain.rows(words)
-                rows.append(sorted(own))
-                changes.append([])
-                for a, b in swaps(words):
-                    other = plain.rows((words - {a}) | {b})
-                    if other != own:
-                        changes[-1] += [sorted(own - other), sorted(other - own)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(changes, pa.list_(pa.list_(pa.int32()))), batch.column("label")], ["own", "changes", "label"])
-
-    # at most max_rows rows of at most max_features numbers
-    found = sorted((r["own"], r["changes"], r["label"]) for r in sample.mapInArrow(compute, "own array<int>, changes array<array<int>>, label double").collect())
-    swapped = [(c[k], c[k + 1]) for _, c, _ in found for k in range(0, len(c), 2)]
+                add_changes(gram, changes(plain, text))
+        cells = sorted(gram.items())
+        columns = [[i for (i, _), _ in cells], [j for (_, j), _ in cells]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array([v for _, v in cells], pa.float64())], ["i", "j", "v"])
+
+    # at most max_rows rows of at most max_features numbers, and max_features squared cells
+    found = sorted((r["own"], r["label"]) for r in sample.mapInArrow(compute, "own array<int>, label double").collect())
+    cells = sample.mapInArrow(add_up, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    gram = {(r["i"], r["j"]): r["v"] for r in cells}
     # a term in an empty context stands in for the terms that no labelled text has
-    swapped += [(sorted(plain.rows([a.encode()])), sorted(plain.rows([b.encode()]))) for line in IDENTITY_TERMS for a in line for b in line if b > a]
-    return fit(names, [own for own, _, _ in found], np.array([y for _, _, y in found], np.float64), swapped)
+    add_changes(gram, ((sorted(plain.rows([a.encode()])), sorted(plain.rows([b.encode()]))) for line in IDENTITY_TERMS for a in line for b in line if b > a))
+    return fit(names, [own for own, _ in found], np.array([y for _, y in found], np.float64), gram)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
