@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    A folder of this machine is used, and set as the checkpoint folder, only where the session
-    names none (single-machine tests).
+    A folder of this machine is used, and set as the checkpoint folder, only where the session names none and runs on
+    one machine (tests); on a cluster a missing setting is an error, since executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="slipwright-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

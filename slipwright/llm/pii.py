@@ -5,14 +5,16 @@ check or not, phone numbers without a country code, spelled-out addresses, and a
 their check are always redacted. For the others, boosted trees score what the candidate looks like (digits, separators,
 neighbours, words before it); the trees are fitted to tell true candidates from others, over all candidates of the
 corpus, which Spark first adds up by feature values (see ``cells`` for the size of that table). A base form is true if
-it passes its check; a span of an extra generator if its format does (``_likely``), and it teaches nothing where a base
-span of its kind overlaps it. For each kind and generator the threshold is the lowest one whose precision is surely
-``precision`` or more, by trees that have not seen the document (five folds of documents, each left out once); a
-generator without such a threshold adds nothing.
+it passes its check. A span of an extra generator is labelled by what stands around it where that tells (``_likely``):
+true behind a word for its kind, false behind a word for another kind or for a number of something else (an order, a
+part, a page); elsewhere by its format. It teaches nothing where a base span of its kind overlaps it. For each kind and
+generator the threshold is the lowest one whose precision is surely ``precision`` or more, by trees that have not seen
+the document (five folds of documents, each left out once); a generator without such a threshold adds nothing.
 
 Defined cases: a null text is an empty one and has no spans; places are code points, ends exclusive; a span of the
 method that a base span of its kind overlaps is dropped; repeated rows each have their own row; an empty table, or one
-without candidates, adds nothing; columns other than doc_id and text are left out, or kept by ``redact``.
+without candidates, adds nothing; columns other than doc_id and text are left out, or kept by ``redact`` whatever their
+names are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_names, stored
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 # Patterns of the kinds. Possessive repeats and the look-behind change no match; they keep the search
@@ -42,7 +44,10 @@ MORE = {
 #: What a text needs for a pattern to be tried at all.
 NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 MORE_NEEDS = {"email": r"[(\[]at[)\]]", "phone": r"[0-9]{3}[ .-][0-9]{4}", "secret": r"(?i)(?:token|secret|password|key)\b[\"']?\s{0,3}[=:]"}
-CONTEXT = r"(?i)(?:(phone|tel|call|fax|mobile)|(card|visa|credit|account)|(mail|contact|write)|(host|server|address)|(token|secret|password|key))\W{0,3}(?:\w{0,8}\W{0,3}){0,2}$"
+CONTEXT = r"(?i)(?:(phone|tel|call|fax|mobile)|(card|visa|credit|account)|(mail|contact|write)|(host|server|address)|(token|secret|password|key)|\b(order|invoice|part|serial|isbn|item|page|version|ref|nr|id))\b\W{0,3}(?:\w{0,8}\W{0,3}){0,2}$"
+#: The group of CONTEXT that names each kind; the last group is a number of something else.
+OWN_CONTEXT = {"phone": 1, "card": 2, "email": 3, "ip": 4, "secret": 5}
+N_CONTEXTS = 6
 CONTEXT_CHARS = 24
 PRECISION = 0.95
 FOLDS = 5
@@ -97,8 +102,16 @@ def _passes(kind: str, found: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _likely(kind: str, found: Column) -> Column:
-    """The weak label of a span of an extra generator: does its format agree with its kind?"""
+def _likely(kind: str, found: Column, context: Column) -> Column:
+    """The weak label of a span of an extra generator, by the word before it or else by its format. A secret has its
+    word within the span: what stands before it tells nothing more."""
+    if kind == "secret":
+        return _formed(kind, found)
+    return F.when(context == OWN_CONTEXT[kind], True).when(context != 0, False).otherwise(_formed(kind, found))
+
+
+def _formed(kind: str, found: Column) -> Column:
+    """Does the format of a span agree with its kind?"""
     if kind == "email":  # a domain ends with letters
         return found.rlike(r"(?:\.|[)\]]) ?[A-Za-z]{2,}$")
     if kind == "phone":  # no area or exchange begins with 0 or 1
@@ -119,11 +132,11 @@ def _described(text: Column, kind: int, spans: Column, base: bool) -> Column:
     def describe(s: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT_CHARS + 1), F.least(F.lit(CONTEXT_CHARS), s["start"]))
         context = F.lit(0)
-        for k in range(5, 0, -1):
+        for k in range(N_CONTEXTS, 0, -1):
             context = F.when(F.regexp_extract(before, CONTEXT, k) != "", k).otherwise(context)
         found = s["found"]
         signs = F.length(F.regexp_replace(found, r"[^ ().@-]", ""))
-        truth = _passes(KINDS[kind], found) if base else _likely(KINDS[kind], found)
+        truth = _passes(KINDS[kind], found) if base else _likely(KINDS[kind], found, context)
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), (truth if base else F.lit(False)).alias("base"), truth.alias("truth"), F.lit(int(not base)).alias("more"),
             F.least(F.length(_digits(found)), F.lit(20)).alias("digits"), F.least(signs, F.lit(7)).alias("signs"), found.contains("(").cast("int").alias("bracket"), found.rlike("[A-Za-z]").cast("int").alias("letters"),
@@ -152,16 +165,16 @@ def _uncovered(found: Column) -> Column:
     return F.flatten(F.transform(F.array(F.filter(found, lambda c: c["base"])), kept))
 
 
-def cells(found: DataFrame) -> list[tuple[tuple[int, ...], int, int, int]]:
-    """(feature values, fold, candidates, true ones) over all uncovered candidates of ``found`` (doc_id, _candidates).
+def cells(found: DataFrame, column: str = "_candidates") -> list[tuple[tuple[int, ...], int, int, int]]:
+    """(feature values, fold, candidates, true ones) over all uncovered candidates of ``found`` (doc_id, candidates).
 
     Card runs of fewer than 12 digits and other things no check could pass teach nothing and are left out. The table
     is bounded without a limit: digits, signs, bracket and letters take at most 336 values together for an email, 72
     for a card, 17 for an ip, 336 for a phone, 336, 16 and 168 for the extra emails, phones and secrets, and there are
-    750 combinations of both sides, context and fold: 960,750 rows in all.
+    875 combinations of both sides, context and fold: 1,120,875 rows in all.
     """
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(1)).cast("int")
-    rows = found.select(fold.alias("fold"), F.explode(_uncovered(F.col("_candidates"))).alias("c")).filter(~((F.col("c.kind") == 2) & (F.col("c.digits") < 12)))
+    rows = found.select(fold.alias("fold"), F.explode(_uncovered(F.col(column))).alias("c")).filter(~((F.col("c.kind") == 2) & (F.col("c.digits") < 12)))
     table = rows.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], "fold").agg(F.count("*").alias("n"), F.sum(F.col("c.truth").cast("long")).alias("y"))
     return sorted((tuple(r[f] for f in FEATURES), r["fold"], r["n"], r["y"]) for r in table.collect())
 
@@ -259,9 +272,9 @@ def _margin(c: Column, trees: list[Tree]) -> Column:
     return total
 
 
-def selected(trees: list[Tree], thresholds: dict[tuple[int, int], float]) -> Column:
-    """Of ``_candidates``: base spans, and spans of the method that no base span of their kind overlaps."""
-    base = F.filter("_candidates", lambda c: c["base"])
+def selected(trees: list[Tree], thresholds: dict[tuple[int, int], float], column: str = "_candidates") -> Column:
+    """Of the candidates: base spans, and spans of the method that no base span of their kind overlaps."""
+    base = F.filter(column, lambda c: c["base"])
 
     def wanted(c: Column) -> Column:
         enough = F.lit(False)
@@ -271,7 +284,7 @@ def selected(trees: list[Tree], thresholds: dict[tuple[int, int], float]) -> Col
         short = (c["kind"] == 2) & (c["digits"] < 12)
         return ~c["base"] & ~short & enough
 
-    return F.array_distinct(F.concat(base, F.filter(_uncovered(F.col("_candidates")), wanted)))
+    return F.array_distinct(F.concat(base, F.filter(_uncovered(F.col(column)), wanted)))
 
 
 def _listed(spans: Column) -> Column:
@@ -298,11 +311,13 @@ def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
 
 def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """``docs``, all columns, with each span (overlapping ones together) replaced by <KIND> of the first; n_chars follows."""
+    found, places = free_names(docs, "candidates", "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_candidates", candidates(text))
-    table = cells(marked.select("doc_id", "_candidates"))
+    # kept beside the text, so that the patterns are tried once and no join is needed
+    marked = stored(docs.withColumn(found, candidates(text)), "candidates")
+    table = cells(marked.select("doc_id", found), found)
     trees = boost(table)
-    spans = F.array_sort(F.transform(selected(trees, calibrate(table, precision)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    spans = F.array_sort(F.transform(selected(trees, calibrate(table, precision), found), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -313,7 +328,7 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     def close(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
 
-    marked = marked.withColumn("_spans", spans)
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, close)).otherwise(F.col("text"))
+    marked = marked.withColumn(places, spans)
+    clean = F.when(F.size(places) > 0, F.aggregate(places, start, step, close)).otherwise(F.col("text"))
     out = marked.withColumn("text", clean).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
