@@ -38,6 +38,22 @@ def flags(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return delivery.join(seen, "rid", "left").select("rid", "delivery", F.coalesce("fee_unread", F.lit(False)).alias("fee_unread"), F.coalesce("unit_price_header", F.lit(False)).alias("unit_price_header"))
 
 
+def stray_fees(rows: DataFrame) -> DataFrame:
+    """(rid, stray): amounts that may be a fee whose label was lost: alone, beside Latin letters only, whole hundreds
+    from 500 to 10,000, from two rows before the summary on (E4)."""
+    seen = rows.join(item_region(rows).select("rid", "last"), "rid").filter(F.col("row_no") >= F.greatest(F.lit(0), F.col("last") - 2))
+    money = M.formatted_amounts(F.col("tokens"))
+    bare = (L.hangul(F.col("text")) == "") & F.col("text").rlike("[A-Za-z]") & (F.size(money) == 1)
+    one = F.get(money, 0)
+    fits = bare & one.between(500, 10_000) & (one % 100 == 0)
+    return seen.filter(fits).groupBy("rid").agg(F.array_sort(F.collect_set(one)).alias("stray"))
+
+
+def summary_keys(rows: DataFrame) -> DataFrame:
+    """(rid, key): the Hangul of each summary row."""
+    return in_summary(rows).filter("summary").select("rid", L.hangul(F.col("text")).alias("key")).filter("key <> ''")
+
+
 def money_rows(rows: DataFrame) -> DataFrame:
     """Rows with what evidence needs: amounts, fuzzy amounts, Hangul key, and the place in a payment section.
 
@@ -78,7 +94,12 @@ def evidence(rows: DataFrame) -> DataFrame:
     found = F.when(F.col("paying"), in_section).when(F.col("summary") & tender, tenders).otherwise(F.concat(paid, cut))
     labelled = (L.label_level(F.col("text")) > 0) | F.col("compact").rlike(P.PAID_LABEL) | (F.col("summary") & key.rlike(P.TENDER_WORD))
     free = F.when(~labelled, as_kind("unlabelled", F.filter("money", lambda v: v > 0))).otherwise(empty)
-    return seen.select("rid", F.explode(F.concat(found, free)).alias("e")).groupBy("rid", "e.kind", "e.amount").agg(F.count("*").alias("n"))
+    each = seen.select("rid", (F.col("paying") & (F.col("place") > 1) & ~tender).alias("cut"), last.alias("last"), F.explode(F.concat(found, free)).alias("e"))
+    out = each.groupBy("rid", "e.kind", "e.amount").agg(F.count("*").alias("n"))
+    # several discounts of a payment section may be added at once: their sum stands for them where it isn't printed
+    section = each.filter(F.col("cut") & (F.col("e.kind") == "discount")).groupBy("rid").agg(F.sum("last").cast("bigint").alias("amount"))
+    new = section.filter("amount > 0").join(out.filter("kind = 'discount'").select("rid", "amount"), ["rid", "amount"], "left_anti")
+    return out.unionByName(new.select("rid", F.lit("discount").alias("kind"), "amount", F.lit(1).cast("bigint").alias("n")))
 
 
 def unused_discounts(found: DataFrame, used: DataFrame) -> DataFrame:

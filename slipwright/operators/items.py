@@ -35,6 +35,31 @@ def fold_negatives(items: DataFrame, counted: DataFrame) -> DataFrame:
     return known.select("rid", "item_no", "amount", action.alias("action"))
 
 
+def drop_label_options(options: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Options whose name is surely a label go (P4): (kept, corrections)."""
+    sure = L.label_level(F.col("name")) == 2
+    gone = options.filter(sure).select(*correction("item.sub_items", F.concat_ws(" ", "name", F.col("price").cast("string")), F.lit("(dropped)"), "label_dropped"))
+    return options.filter(~sure), gone
+
+
+def without_negatives(items: DataFrame, options: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, discounts, corrections): negative items without options leave the list (P5); ``discounts`` (rid, amount)
+    are those that the receipt hasn't counted yet."""
+    bare = items.join(options.select("rid", "item_no").distinct(), ["rid", "item_no"], "left_anti")
+    found = fold_negatives(bare, counted)
+    new = found.filter("action = 'discount'").groupBy("rid").agg(F.sum("amount").alias("amount"))
+    says = F.when(F.col("action") == "tender", "(removed: a means of payment)").when(F.col("action") == "counted", "(removed: counted already)").otherwise(F.concat(F.lit("discount +"), F.col("amount").cast("string")))
+    audit = found.join(items.select("rid", "item_no", "name"), ["rid", "item_no"]).select(*correction("items", F.concat_ws(" ", "name", (-F.col("amount")).cast("string")), says, "negative_item"))
+    return items.join(found.select("rid", "item_no"), ["rid", "item_no"], "left_anti").select(*items.columns), new, audit
+
+
+def restorable_in(missing: DataFrame, seen: DataFrame, matches: DataFrame) -> DataFrame:
+    """Rows of ``missing`` that reconciliation may restore: none for a receipt where the model has an item without a
+    price and without a partner, since that may be the same line (J8)."""
+    loose = seen.filter(F.coalesce(F.col("price"), F.lit(0)) == 0).join(matches.select("rid", F.col("v_no").alias("item_no")), ["rid", "item_no"], "left_anti").select("rid").distinct()
+    return missing.filter("not recovered").join(loose, "rid", "left_anti")
+
+
 def drop_total_echoes(items: DataFrame, totals: DataFrame) -> DataFrame:
     """``items`` without restored lines that repeat a total, or exceed the largest, while other lines are positive.
     ``totals``: (rid, amount)."""

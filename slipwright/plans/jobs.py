@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipwright.functions import labels as L
 from slipwright.functions import money as M
-from slipwright.operators import evidence, layout, solve
+from slipwright.functions import names as N
+from slipwright.operators import dates as D
+from slipwright.operators import evidence, layout, skew, solve
 from slipwright.operators import items as I
+from slipwright.operators import lexicon as X
+from slipwright.operators import options as O
 from slipwright.sources.tables import parsed_responses
 
 from .storage import stored
@@ -16,7 +22,7 @@ from .storage import stored
 
 def read_layout(lines: DataFrame) -> dict[str, DataFrame]:
     """Workload A: the tables of printed receipts."""
-    boxed = layout.tokens(lines)
+    boxed = stored(skew.deskew(layout.tokens(lines)), "tokens")
     rows = stored(layout.parse_rows(layout.group_rows(boxed)), "rows")
     assembled = stored(layout.assemble(rows, layout.char_widths(boxed)), "assembled")
     return {"rows": rows, "assembled": assembled, "items": stored(layout.layout_items(assembled), "items"), "totals": layout.total_label(rows), "fees": layout.delivery_fee(rows), "discounts": layout.receipt_discount(assembled, rows)}
@@ -24,60 +30,225 @@ def read_layout(lines: DataFrame) -> dict[str, DataFrame]:
 
 def read_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(receipts, items) of the model's reading; leaves of any type become names and whole won."""
+    receipts, items, _ = read_answers(responses)
+    return receipts.drop("delivery_fee"), items
+
+
+def read_answers(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(receipts, items, options) of the model's reading, receipts with its own ``delivery_fee``."""
     parsed = parsed_responses(responses)
-    receipts = parsed.select("rid", "ok", "error", F.col("vlm.store_name").alias("store_name"), F.col("vlm.payment_method").alias("payment_method"), F.col("vlm.purchased_at").alias("purchased_at"), M.as_won(F.col("vlm.total_amount")).alias("total_amount"), "vlm")
+    receipts = parsed.select("rid", "ok", "error", F.col("vlm.store_name").alias("store_name"), F.col("vlm.payment_method").alias("payment_method"), F.col("vlm.purchased_at").alias("purchased_at"), M.as_won(F.col("vlm.total_amount")).alias("total_amount"), M.as_won(F.col("vlm.delivery_fee")).alias("delivery_fee"))
     receipts = receipts.withColumns({c: L.without_placeholder(c) for c in ("store_name", "payment_method", "purchased_at")})
-    one = parsed.filter("ok").select("rid", F.posexplode("vlm.items").alias("at", "i"))
-    items = one.select("rid", (F.col("at") + 1).alias("item_no"), F.try_variant_get("i.name", "$", "string").alias("name"), M.as_won(F.col("i.quantity"), read_text=False).cast("int").alias("quantity"), M.as_won(F.col("i.price"), read_text=False).alias("price"))
-    return receipts.drop("vlm"), items
+    text = lambda c: F.try_variant_get(c, "$", "string").alias("name")
+    one = parsed.filter("ok").select("rid", F.posexplode("vlm.items").alias("at", "i")).filter("i is not null")
+    number = (F.col("at") + 1).alias("item_no")
+    items = one.select("rid", number, text("i.name"), M.as_won(F.col("i.quantity"), read_text=False).cast("int").alias("quantity"), M.as_won(F.col("i.price"), read_text=False).alias("price"))
+    subs = one.select("rid", number, F.posexplode("i.sub_items").alias("k", "s")).filter("s is not null")
+    options = subs.select("rid", "item_no", (F.col("k") + 1).alias("sub_no"), L.without_marks(text("s.name")).alias("name"), M.as_won(F.col("s.price"), read_text=False).alias("price"))
+    return receipts, items, options
+
+
+def reconcile(items: DataFrame, computed: DataFrame, candidates: DataFrame, counts: DataFrame, unused: DataFrame, restorable: DataFrame | None = None, found: DataFrame | None = None, current: DataFrame | None = None, subs: DataFrame | None = None, summary_keys: DataFrame | None = None, header: DataFrame | None = None, fees: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Workload C: the chosen edits of each receipt, its items and options after them, what changes for the receipt as a
+    whole, and audit rows. ``items`` and the other tables as for ``solve.edits``; ``computed`` and ``fees`` as for
+    ``solve.solve``."""
+    edits = stored(solve.edits(items, candidates, counts, unused, restorable, header, found, current, subs, summary_keys), "edits")
+    solutions = stored(solve.solve(computed, candidates, edits, fees), "solutions")
+    out = {"edits": edits, "solutions": solutions, "items": solve.apply_edits(items, edits, solutions, restorable), "changes": solve.receipt_changes(edits, solutions), "audit": solve.edit_audit(items, edits, solutions, subs, restorable)}
+    return out | ({} if subs is None else {"options": solve.apply_to_options(subs, items, edits, solutions)})
+
 
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
 
-def reconcile(items: DataFrame, computed: DataFrame, candidates: DataFrame, counts: DataFrame, unused: DataFrame, restorable: DataFrame | None = None, found: DataFrame | None = None, current: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Workload C: the chosen edits of each receipt and its items after them.
 
-    ``items`` as for ``solve.edits``; ``computed``: (rid, computed); ``found`` and ``current``: its ``evidence`` and
-    ``current``."""
-    edits = stored(solve.edits(items, candidates, counts, unused, restorable, evidence=found, current=current), "edits")
-    solutions = stored(solve.solve(computed, candidates, edits), "solutions")
-    return {"edits": edits, "solutions": solutions, "items": solve.apply_edits(items, edits, solutions, restorable), "discounts": solve.added_discounts(edits, solutions)}
+def _sum_of_options(options: DataFrame) -> DataFrame:
+    return options.groupBy("rid", "item_no").agg(F.sum(F.coalesce("price", _zero())).alias("options"))
 
 
-def merge(lines: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
-    """Workloads A, B and C, without the steps that the README lists as missing: receipts with verified totals, items, and
-    an audit table."""
+def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexicon: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The merge of both readings (E19): receipts, their items and options, an audit table, edits and solutions.
+
+    Steps are in the order in which each relies on the ones before: texts and dates, the model's list (fees, wrapped
+    names, names, hierarchy against print, missed lines, unit prices, marks, discounts), then the balance of what is
+    left with the amount paid. Tables are written to the shared folder between groups of steps. ``today``: dates are
+    judged as of that day (none: they stay); ``lexicon``: names are repaired by these words and scores (none: not).
+    Receipts with a negative total are refunds and are left as they are. An unread answer has no items.
+    """
     printed = read_layout(lines)
-    receipts, seen = read_responses(responses)
-    seen = seen.filter(~L.summary_line(F.col("name")))
-    seen, dropped = I.drop_label_rows(seen)
-    shown = printed["items"].withColumnRenamed("item_id", "item_no")
-    receipts, seen = stored(receipts, "receipts"), stored(seen, "seen")
-    matches = stored(I.match_items(seen, shown), "matches")
-    zero = F.lit(0).cast("bigint")
-    extra = F.aggregate("options", zero, lambda s, o: s + F.coalesce(o["price"], zero))
-    attached = matches.join(shown.select("rid", F.col("item_no").alias("p_no"), F.col("price").alias("layout_price"), "discount", extra.alias("options")), ["rid", "p_no"])
-    mine = seen.join(attached.select("rid", F.col("v_no").alias("item_no"), "layout_price", "discount", "options"), ["rid", "item_no"], "left")
-    missing = I.unmatched(shown, matches)
-    back = missing.filter("recovered").select("rid", (1000 + F.col("item_no")).cast("int").alias("item_no"), "name", "quantity", "price", F.col("price").alias("layout_price"), "discount", extra.alias("options"), F.lit(True).alias("from_ocr"))
-    recovered = back.select(*I.correction("items", F.lit(None), F.concat_ws(" ", "name", F.col("price").cast("string")), "ocr_recovered"))
-    full = mine.withColumns({"discount": F.coalesce("discount", zero), "options": F.coalesce("options", zero), "from_ocr": F.lit(False)}).select(*back.columns).unionByName(back)
-    fixed, scaled = I.scale_unit_prices(stored(full, "full"))
-    line = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
-    base = fixed.groupBy("rid").agg(F.sum(line).alias("_items")).join(printed["fees"], "rid", "left").join(printed["discounts"].select("rid", F.col("discount").alias("_off")), "rid", "left")
-    base = base.select("rid", F.coalesce("_off", zero).alias("_off"), (F.col("_items") + F.coalesce(I.cap_fee(F.col("delivery_fee")), zero) - F.coalesce("_off", zero)).alias("computed"))
-    base = stored(base, "computed")
-    counts = stored(evidence.amount_counts(printed["rows"]), "counts")
-    found = stored(evidence.evidence(printed["rows"]), "evidence")
-    unused = evidence.unused_discounts(found, fixed.filter("discount > 0").select("rid", F.col("discount").alias("amount")))
-    candidates = evidence.paid_candidates(found, counts, printed["totals"], receipts.filter("ok").select("rid", "total_amount"))
-    candidates, unused = stored(candidates, "candidates"), stored(unused, "unused")
-    restorable = missing.filter("not recovered").select("rid", F.col("item_no").alias("ref"), "name", "quantity", "price")
-    # prices of printed options are line amounts, no discounts
-    options = shown.select("rid", F.explode("options").alias("o")).select("rid", F.col("o.price").alias("amount"), F.lit("unlabelled").alias("kind")).distinct()
-    offered = found.join(options, ["rid", "kind", "amount"], "left_anti")
-    done = reconcile(fixed, base, candidates, counts, unused, restorable, offered, base.select("rid", F.col("_off").alias("amount")))
-    left = done["items"].groupBy("rid").agg(F.count("*").alias("n_items"), F.bool_and(line > 0).alias("_positive"))
-    out = receipts.join(done["solutions"], "rid", "left").join(left, "rid", "left").join(base, "rid", "left").join(done["discounts"], "rid", "left")
-    total = F.coalesce("paid", "total_amount")
-    verified = F.coalesce(F.col("tier") < 2, F.lit(False))
-    result = out.select("rid", "ok", "error", "store_name", total.alias("total_amount"), F.coalesce("n_items", F.lit(0)).alias("n_items"), verified.alias("total_verified"), (verified & F.coalesce("_positive", F.lit(False))).alias("items_verified"), F.size(F.coalesce("edit_ids", F.array().cast("array<int>"))).alias("n_edits"), (F.coalesce("_off", zero) + F.coalesce("added_discount", zero)).alias("discount"))
-    return {"receipts": result, "items": done["items"], "corrections": dropped.unionByName(recovered).unionByName(scaled), "edits": done["edits"], "solutions": done["solutions"]}
+    audits: list[DataFrame] = []
+    receipts, seen, options = read_answers(responses)
+    midnight = lines.groupBy("rid").agg(F.bool_or(F.coalesce(L.prints_midnight(F.col("text")), F.lit(False))).alias("_midnight"))
+    receipts = receipts.join(midnight, "rid", "left").withColumn("_was", F.col("purchased_at")).withColumn("purchased_at", L.without_invented_midnight(F.col("purchased_at"), F.col("_midnight")))
+    receipts = stored(receipts.drop("_midnight"), "receipts")
+    audits.append(receipts.filter("_was <> purchased_at").select(*I.correction("purchased_at", F.col("_was"), F.col("purchased_at"), "midnight_dropped")))
+    receipts = receipts.drop("_was")
+    if today is not None:
+        receipts, dated = D.fix_dates(receipts, lines, today)
+        audits.append(dated)
+
+    seen = I.pair_barcode_prices(seen.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False)))).withColumn("discount", _zero())
+    options = options.join(seen.select("rid", "item_no"), ["rid", "item_no"], "left_semi")
+    claimed_fee = receipts.filter("ok").select("rid", "delivery_fee")
+    seen, options, fee, a = O.take_fees(seen, options, printed["fees"], claimed_fee)
+    seen, options, b = O.merge_wrapped_names(stored(seen, "seen"), stored(options, "options"))
+    fee = stored(fee, "fee")
+    audits += [stored(a, "audit"), stored(b, "audit")]
+    if lexicon is not None:
+        sure = lines.filter("confidence >= 0.8")
+        fixed = stored(X.repair_names(seen, sure, lexicon).filter("changed"), "names")
+        audits.append(fixed.select(*I.correction("item.name", F.col("original"), F.col("corrected"), "name_repaired")))
+        seen = seen.join(fixed.select("rid", "item_no", "corrected"), ["rid", "item_no"], "left").withColumn("name", F.coalesce("corrected", "name")).drop("corrected")
+
+    # the printed hierarchy
+    numbered = I.has_line_numbers(printed["items"].withColumnRenamed("item_id", "item_no")).filter("numbered").select("rid", F.lit(True).alias("_numbered"))
+    shown = printed["items"].withColumnRenamed("item_id", "p_no").join(numbered, "rid", "left").withColumn("name", F.when(F.col("_numbered"), L.without_line_number(F.col("name"))).otherwise(F.col("name"))).drop("_numbered")
+    shown = stored(shown.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False))).withColumn("p_no", F.col("p_no").cast("int")), "shown")
+    below = shown.select("rid", "p_no", F.posexplode("options").alias("k", "o")).select("rid", "p_no", (F.col("k") + 1).alias("sub_no"), "o.name", "o.price", "o.mark", "o.strong")
+    seen, options, a = O.promote_options(stored(seen, "seen"), stored(options, "options"), shown)
+    options, b = O.reassign_options(seen := stored(seen, "seen"), stored(options, "options"), shown, below)
+    audits += [stored(a, "audit"), stored(b, "audit")]
+    seen, options, a = O.demote_items(seen, stored(options, "options"), shown, below)
+    seen, options = stored(seen, "seen"), stored(options, "options")
+    audits.append(stored(a, "audit"))
+    lines_of = shown.withColumnRenamed("p_no", "item_no")
+    matches = stored(I.match_items(seen, lines_of), "matches")
+    options, a = O.attach_options(seen, options, matches, shown, below)
+    options = stored(options, "options")
+    audits.append(stored(a, "audit"))
+    partner = matches.join(shown.select("rid", "p_no", F.col("name").alias("_p_name"), F.col("price").alias("_p_price"), F.col("discount").alias("_p_discount"), F.col("discounts").alias("_cuts")), ["rid", "p_no"])
+    partner = partner.withColumnRenamed("v_no", "item_no")
+    mine = seen.join(partner, ["rid", "item_no"], "left")
+    sure = N.names_match(F.col("name"), F.col("_p_name")) & (F.col("_p_price") > 0)
+    mine = mine.select("rid", "item_no", "name", "quantity", "price", F.coalesce("_p_discount", _zero()).alias("discount"), F.coalesce(F.when(sure, F.col("_p_price")), _zero()).alias("layout_price"), F.lit(False).alias("from_ocr"), F.col("p_no").alias("pos"))
+    missing = I.unmatched(lines_of, matches)
+    back = missing.filter("recovered")
+    audits.append(back.select(*I.correction("items", F.lit("(missed by the model)"), F.col("name"), "ocr_recovered")))
+    new = back.select("rid", (1000 + F.col("item_no")).cast("int").alias("item_no"), "name", "quantity", "price", "discount", F.col("price").alias("layout_price"), F.lit(True).alias("from_ocr"), F.col("item_no").alias("pos"))
+    answered = receipts.filter("ok").select("rid")
+    full = stored(mine.unionByName(new.join(answered, "rid", "left_semi")), "full")
+    more = back.select("rid", (1000 + F.col("item_no")).cast("int").alias("item_no"), F.posexplode("options").alias("k", "o")).filter("o.price is not null").select("rid", "item_no", (F.col("k") + 1).alias("sub_no"), "o.name", "o.price")
+    options = options.unionByName(more.join(answered, "rid", "left_semi"))
+
+    # unit prices, marks, discounts among options
+    line = F.col("price") * F.col("quantity")
+    fits = F.coalesce(F.col("quantity").between(2, 50) & (F.col("price") > 0) & (F.col("layout_price") == line), F.lit(False))
+    scaled = full.filter(fits).select("rid", "item_no", "quantity")
+    options = O.scale_option_prices(options, scaled, below.join(partner.select("rid", "p_no", "item_no"), ["rid", "p_no"]).select("rid", "item_no", "price"))
+    fixed, a = I.scale_unit_prices(full.withColumn("price_is_line", fits))
+    fixed, options, b = O.demote_marked(fixed, stored(options, "options"))
+    audits += [stored(a, "audit"), stored(b, "audit")]
+    counted = partner.select("rid", "item_no", F.explode("_cuts").alias("amount")).groupBy("rid", "item_no", "amount").agg(F.count("*").alias("n"))
+    fixed, options, told, a = O.fold_discounts(stored(fixed, "fixed"), stored(options, "options"), counted)
+    fixed, options = stored(fixed, "fixed"), stored(options, "options")
+    audits.append(stored(a, "audit"))
+    items_off = fixed.groupBy("rid").agg(F.sum("discount").alias("_items"))
+    top = answered.join(printed["discounts"].select("rid", "summary_discount"), "rid", "left").join(told.select("rid", F.col("amount").alias("_told")), "rid", "left").join(items_off, "rid", "left")
+    top = stored(top.select("rid", F.greatest(_zero(), F.greatest(F.coalesce("summary_discount", _zero()), F.coalesce("_told", _zero())) - F.coalesce("_items", _zero())).alias("top")), "top")
+
+    # the balance, but of refunds
+    refunds = receipts.filter("total_amount < 0").select("rid")
+    kept, a = I.drop_label_rows(fixed)
+    options, b = I.drop_label_options(options.join(kept.select("rid", "item_no"), ["rid", "item_no"], "left_semi"))
+    had = kept.filter("discount > 0").select("rid", F.col("discount").alias("amount")).union(top.filter("top > 0").select("rid", F.col("top").alias("amount")))
+    kept, cuts, c = I.without_negatives(kept, options, had.groupBy("rid", "amount").agg(F.count("*").alias("n")))
+    top = top.join(cuts, "rid", "left").select("rid", (F.col("top") + F.coalesce("amount", _zero())).alias("top"))
+    flags = stored(evidence.flags(printed["rows"], lines).join(evidence.stray_fees(printed["rows"]), "rid", "left"), "flags")
+    kept, options, d = O.demote_printed(stored(kept, "kept"), stored(options, "options"), printed["rows"], flags.filter("delivery").select("rid"))
+    kept, options, top = stored(kept, "kept"), stored(options, "options"), stored(top, "top")
+    audits += [stored(x.join(refunds, "rid", "left_anti"), "audit") for x in (a, b, c, d)]
+    with_sums = lambda rows: rows.join(_sum_of_options(options), ["rid", "item_no"], "left").withColumn("options", F.coalesce("options", _zero()))
+    counts, found = stored(evidence.amount_counts(printed["rows"]), "counts"), stored(evidence.evidence(printed["rows"]), "evidence")
+    claims = stored(receipts.filter("ok").select("rid", "total_amount").join(refunds, "rid", "left_anti"), "claims")
+    candidates = stored(evidence.paid_candidates(found, counts, printed["totals"], claims).join(claims.select("rid"), "rid", "left_semi"), "candidates")
+    totals = candidates.filter("tier < 2").select("rid", F.col("value").alias("amount"))
+    whole = stored(I.drop_total_echoes(with_sums(kept), totals), "whole")
+    used = whole.filter("discount > 0").select("rid", F.col("discount").alias("amount")).union(top.filter("top > 0").select("rid", F.col("top").alias("amount")))
+    unused = stored(evidence.unused_discounts(found, used), "unused")
+    worth = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
+    base = whole.groupBy("rid").agg(F.sum(worth).alias("_items")).join(top, "rid").join(fee, "rid", "left")
+    base = stored(base.select("rid", (F.col("_items") - F.col("top") + F.coalesce("delivery_fee", _zero())).alias("computed"), "top", F.coalesce("delivery_fee", _zero()).alias("delivery_fee")), "computed")
+    restorable = I.restorable_in(missing, seen, matches).select("rid", F.col("item_no").cast("int").alias("ref"), "name", "quantity", "price", "discount", F.col("item_no").alias("pos"))
+    # prices of options are line amounts, no discounts
+    no_cuts = options.select("rid", F.col("price").alias("amount"), F.lit("unlabelled").alias("kind")).union(below.select("rid", F.col("price").alias("amount"), F.lit("unlabelled").alias("kind"))).distinct()
+    fees = base.filter("delivery_fee = 0").select("rid").join(flags, "rid").join(printed["fees"].select("rid"), "rid", "left_anti")
+    fees = fees.select("rid", F.col("fee_unread").alias("unread"), F.when(F.col("delivery"), F.coalesce("stray", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")).alias("stray"))
+    done = reconcile(whole, base.select("rid", "computed", "top"), candidates, counts, unused, stored(restorable, "restorable"), found.join(no_cuts, ["rid", "kind", "amount"], "left_anti"), top.select("rid", F.col("top").alias("amount")), options, evidence.summary_keys(printed["rows"]), flags.filter("unit_price_header").select("rid"), stored(fees, "fees"))
+    audits.append(done["audit"])
+    settled, subs = stored(done["items"], "settled"), stored(done["options"], "subs")
+
+    out = verdicts(receipts, settled, base, done, counts, printed["totals"], lines)
+    audits.append(out.filter("total_amount is distinct from _claim").select(*I.correction("total_amount", F.col("_claim"), F.col("total_amount"), "")[:4], F.when(F.col("total_amount").eqNullSafe(F.col("_label")), "ocr_layout").otherwise("reconciled").alias("reason")))
+    audit = reduce(DataFrame.unionByName, audits)
+    result = out.drop("_claim", "_label")
+    return {"receipts": result, "items": settled, "options": subs, "corrections": audit, "edits": done["edits"], "solutions": done["solutions"]}
+
+
+def verdicts(receipts: DataFrame, items: DataFrame, base: DataFrame, done: dict[str, DataFrame], counts: DataFrame, totals: DataFrame, lines: DataFrame) -> DataFrame:
+    """Receipts with total, discount, fee and what is verified.
+
+    A balanced total is verified if print says it: a label or a repeated amount, or its amount stands in more rows than
+    items have it. A receipt that doesn't balance falls back on the total label: equal to the model's total, or to the
+    sum of the items, or where the model has none; without a label the model's total must be printed, and no larger
+    amount repeated. Items are verified if the total is, each line is worth something, and the equation holds.
+    """
+    worth = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
+    sums = items.groupBy("rid").agg(F.count("*").alias("n_items"), F.sum(worth).alias("_sum"), F.bool_and(worth > 0).alias("_positive"))
+    out = receipts.select("rid", "ok", "error", "store_name", "purchased_at", "payment_method", F.when(F.col("ok"), F.col("total_amount")).alias("_claim"))
+    out = out.join(done["solutions"].select("rid", "paid", "tier", "edit_ids"), "rid", "left").join(done["changes"], "rid", "left").join(base.drop("computed").withColumnRenamed("delivery_fee", "_fee"), "rid", "left").join(sums, "rid", "left")
+    out = out.join(totals.select("rid", F.when(F.col("total_amount") != 0, F.col("total_amount")).alias("_label")), "rid", "left")
+    priced = items.join(done["solutions"].select("rid", "paid"), "rid").filter("price = paid").groupBy("rid").agg(F.count("*").alias("_same"))
+    out = out.join(priced, "rid", "left").join(counts.select("rid", F.col("amount").alias("paid"), F.col("n").alias("_printed")), ["rid", "paid"], "left")
+    larger = evidence.repeated(counts).groupBy("rid").agg(F.max("amount").alias("_repeated"))
+    stands = lines.select("rid", F.explode(M.numbers_in(F.col("text"))).alias("_claim")).distinct().withColumn("_stands", F.lit(True))
+    out = out.join(larger, "rid", "left").join(stands, ["rid", "_claim"], "left")
+    zero, label, claim = _zero(), F.col("_label"), F.when(F.col("_claim") != 0, F.col("_claim"))
+    discount = F.greatest(zero, F.coalesce("top", zero) + F.coalesce("added_discount", zero) - F.coalesce("moved_discount", zero))
+    fee = F.coalesce("_fee", zero) + F.coalesce("added_fee", zero)
+    out = out.withColumns({"discount": discount, "delivery_fee": fee})
+    equation = F.coalesce("_sum", zero) - F.col("discount") + F.col("delivery_fee")
+    solved = F.col("paid").isNotNull()
+    by_label = label.isNotNull() & (claim.isNull() | (label == claim) | (label == equation))
+    by_print = label.isNull() & claim.isNotNull() & F.coalesce("_stands", F.lit(False)) & ~F.coalesce(F.col("_repeated") > claim, F.lit(False))
+    total = F.when(solved, F.col("paid")).when(by_label & F.col("ok"), label).otherwise(claim)
+    verified = F.when(solved, (F.col("tier") < 2) | (F.coalesce("_printed", zero) > F.coalesce("_same", zero))).otherwise(F.coalesce(by_label | by_print, F.lit(False)))
+    verified = F.coalesce(verified & F.col("ok"), F.lit(False))
+    out = out.withColumns({"total_amount": total, "total_verified": verified, "n_items": F.coalesce("n_items", zero).cast("int"), "n_edits": F.size(F.coalesce("edit_ids", F.array().cast("array<int>")))})
+    sound = F.col("total_verified") & F.coalesce("_positive", F.lit(False)) & F.coalesce(equation == F.col("total_amount"), F.lit(False))
+    return out.select("rid", "ok", "error", "store_name", "purchased_at", "payment_method", "total_amount", "discount", "delivery_fee", "n_items", "n_edits", "total_verified", sound.alias("items_verified"), "_claim", "_label")
+
+
+def envelopes(merged: dict[str, DataFrame], pipeline: dict[str, str] | None = None) -> DataFrame:
+    """(rid, month, envelope): one JSON a receipt (S4): ok, error, the nested result with its items and options in order,
+    the audit rows, and the settings ``pipeline`` of the run. ``month`` is that of the purchase, null if unknown."""
+    options = merged["options"].groupBy("rid", "item_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub_no", "name", "price"))), lambda o: F.struct(o["name"].alias("name"), o["price"].alias("price"))).alias("sub_items"))
+    none = F.array().cast("array<struct<name:string,price:bigint>>")
+    items = merged["items"].drop("options").join(options, ["rid", "item_no"], "left")
+    place = F.coalesce("pos", F.when(F.col("from_ocr"), F.lit(1_000_000)).otherwise(F.col("item_no"))).cast("int").alias("at")
+    one = F.struct(place, "item_no", "name", "quantity", "price", "discount", F.coalesce("sub_items", none).alias("sub_items"))
+    lists = items.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(one)), lambda i: F.struct(*[i[c].alias(c) for c in ("name", "quantity", "price", "discount", "sub_items")])).alias("items"))
+    audit = merged["corrections"].groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("field", "before", "after", "reason"))).alias("corrections"))
+    out = merged["receipts"].join(lists, "rid", "left").join(audit, "rid", "left")
+    result = F.when(F.col("ok"), F.struct("store_name", "purchased_at", "payment_method", "items", "total_amount", "discount", "delivery_fee", "total_verified", "items_verified"))
+    settings = F.create_map(*[F.lit(x) for pair in sorted((pipeline or {}).items()) for x in pair]) if pipeline else F.lit(None).cast("map<string,string>")
+    envelope = F.to_json(F.struct("ok", "error", result.alias("result"), F.coalesce("corrections", F.array().cast("array<struct<field:string,before:string,after:string,reason:string>>")).alias("corrections"), settings.alias("pipeline")), {"ignoreNullFields": "false"})
+    return out.select("rid", F.regexp_extract(F.coalesce("purchased_at", F.lit("")), "^([0-9]{4}-[0-9]{2})", 1).alias("month"), envelope.alias("envelope")).withColumn("month", F.when(F.col("month") != "", F.col("month")))
+
+
+def write_envelopes(merged: dict[str, DataFrame], path: str, pipeline: dict[str, str] | None = None) -> None:
+    """Envelopes as JSON lines in a folder a month."""
+    envelopes(merged, pipeline).write.partitionBy("month").json(path)
+
+
+def compare_runs(runs: dict[str, DataFrame], truth: DataFrame | None = None) -> DataFrame:
+    """(rid, and for each run <name>_total, <name>_verified, <name>_edits; agree): receipts of several settings side by
+    side (E22); ``agree``: all totals are equal. With ``truth`` (rid, total_amount) also <name>_right."""
+    every = reduce(DataFrame.unionByName, [df.select("rid", F.lit(name).alias("run"), "total_amount", "items_verified", "n_edits") for name, df in runs.items()])
+    wide = every.groupBy("rid").pivot("run", list(runs)).agg(F.first("total_amount").alias("total"), F.first("items_verified").alias("verified"), F.first("n_edits").alias("edits"))
+    totals = [F.col(f"{name}_total") for name in runs]
+    agree = reduce(lambda a, b: a & b, [totals[0].eqNullSafe(t) for t in totals])
+    out = wide.withColumn("agree", agree)
+    if truth is None:
+        return out
+    out = out.join(truth.select("rid", F.col("total_amount").alias("_true")), "rid", "left")
+    return out.withColumns({f"{name}_right": F.coalesce(F.col(f"{name}_total") == F.col("_true"), F.lit(False)) for name in runs}).drop("_true")

@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read again: later plans begin at a table, which any executor
-    can read, and don't grow with what came before. A folder of this machine is used only where none is set."""
+    can read, and don't grow with what came before. A folder of this machine is used only where none is set and the
+    session runs on one machine."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="slipwright-")
         spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ Receipts are derived from orders (``sources.adapter``) in Spark and, by the stat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slipwright.functions import labels as L
@@ -329,6 +329,7 @@ def strict_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from slipwright.operators import evidence as E  # noqa: E402
 from slipwright.operators import items as I  # noqa: E402
+from slipwright.operators import options as O  # noqa: E402
 from slipwright.operators import solve as S  # noqa: E402
 from slipwright.plans import jobs  # noqa: E402
 from slipwright.plans.storage import stored  # noqa: E402
@@ -367,9 +368,16 @@ def repeated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.repeated(E.amount_counts(_parsed(spark, sf_dir)))
 
 
-@query(f"WITH {OCR} SELECT rid, bool_or(regexp_matches(text, '배달|배민|쿠팡이츠|요기요|땡겨요')) AS delivery, false AS fee_unread, false AS unit_price_header FROM ocr GROUP BY rid")
+#: Every third receipt is headed by a unit price, every tenth has a smudged fee row behind its total.
+@query(f"WITH {OCR} SELECT rid, bool_or(regexp_matches(text, '배달|배민|쿠팡이츠|요기요|땡겨요')) OR rid % 10 = 0 AS delivery, rid % 10 = 0 AS fee_unread, rid % 3 = 0 AS unit_price_header FROM ocr GROUP BY rid")
 def receipt_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.flags(_parsed(spark, sf_dir), A.ocr_lines(spark, sf_dir))
+    """What a receipt's print says about its kind."""
+    lines = A.ocr_lines(spark, sf_dir)
+    lines = lines.withColumn("text", F.when((F.col("rid") % 3 == 0) & (F.col("line_no") == 3), "단가").otherwise(F.col("text")))
+    foot = A.totals(spark, sf_dir).filter("rid % 10 = 0").withColumn("y", 300 + 50 * F.col("n"))
+    extra = [F.struct(F.lit(100_000 + k).alias("line_no"), F.lit(t).alias("text"), F.lit(0.95).alias("confidence"), F.lit(x).alias("x1"), F.col("y").cast("int").alias("y1"), F.lit(x + 60).alias("x2"), (F.col("y") + 30).cast("int").alias("y2")) for k, (t, x) in enumerate((("배달팁", 100), ("--", 600)))]
+    lines = stored(lines.unionByName(foot.select("rid", F.explode(F.array(*extra)).alias("t")).select("rid", "t.*")), "lines")
+    return E.flags(layout.parse_rows(layout.group_rows(layout.tokens(lines))), lines)
 
 
 _CUTS = "cuts AS (SELECT rid, discount AS amount, count(*) AS n FROM items WHERE discount >= 100 GROUP BY rid, discount)"
@@ -519,7 +527,7 @@ def _solver(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 @query(f"WITH {PARSED}, {_EDITS} SELECT rid, edit_id, kind, cost, item_no, amount, delta FROM edits")
 def edit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _solver(spark, sf_dir)[2]
+    return _solver(spark, sf_dir)[2].select("rid", "edit_id", "kind", "cost", "item_no", "amount", "delta")
 
 
 @query(f"WITH {PARSED}, {_EDITS} SELECT rid, value, tier, CAST(cost AS DOUBLE) AS cost, kinds, ids AS edit_ids FROM combos")
@@ -540,21 +548,178 @@ def solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.solve(*_solver(spark, sf_dir)).select("rid", "paid", "tier", "cost", F.array_join("kinds", ",").alias("kinds"))
 
 
+_CHOSEN = f"""{_EDITS},
+  low AS (SELECT *, min(tier) OVER (PARTITION BY rid) AS lt FROM combos), least AS (SELECT *, min(round(cost * 1000000)) OVER (PARTITION BY rid) AS lc FROM low WHERE tier = lt),
+  cheapest AS (SELECT * FROM least WHERE round(cost * 1000000) = lc), ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pref, CASE WHEN ids = '' THEN NULL ELSE string_split(ids, ',')::INT[] END) AS k FROM cheapest),
+  sol AS (SELECT rid, value AS paid, ids FROM ranked WHERE k = 1 AND rid NOT IN (SELECT rid FROM cheapest GROUP BY rid HAVING count(DISTINCT value) > 1)),
+  used AS (SELECT rid, edit_id, e.kind, e.item_no, e.amount FROM (SELECT rid, unnest(string_split(ids, ','))::INT AS edit_id FROM sol WHERE ids <> '') JOIN edits e USING (rid, edit_id)),
+  changed AS (SELECT rid, item_no, list(kind) AS kinds, max(CASE WHEN kind = 'unit_price' THEN amount END) AS more FROM used WHERE item_no >= 0 GROUP BY rid, item_no),
+  after AS (SELECT c.rid, c.item_no, CAST(c.price + coalesce(more, 0) AS BIGINT) AS price, CAST(CASE WHEN list_contains(kinds, 'drop_item_discount') THEN 0 ELSE discount END AS BIGINT) AS discount FROM claimed c LEFT JOIN changed USING (rid, item_no) WHERE NOT coalesce(list_contains(kinds, 'drop_item'), false))"""
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items after the chosen edits, what changes for the receipts, solutions)."""
+    base, candidates, found = _solver(spark, sf_dir)
+    solutions = stored(S.solve(base, candidates, found), "solutions")
+    items = A.claimed(spark, sf_dir).withColumns({"options": F.lit(0).cast("bigint"), "layout_price": F.lit(0).cast("bigint"), "from_ocr": F.lit(False)})
+    return S.apply_edits(items, found, solutions), S.receipt_changes(found, solutions), solutions
+
+
+@query(f"WITH {PARSED}, {_CHOSEN} SELECT rid, item_no, price, discount FROM after")
+def applied_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items after the chosen edits."""
+    return _applied(spark, sf_dir)[0].select("rid", "item_no", "price", "discount")
+
+
+@query(f"""WITH {PARSED}, {_CHOSEN}, off AS (SELECT rid, sum(amount) AS added FROM used WHERE kind = 'add_discount' GROUP BY rid), sums AS (SELECT rid, sum(price - discount) AS s FROM after GROUP BY rid)
+  SELECT rid, paid AS total_amount, CAST(coalesce(added, 0) AS BIGINT) AS discount, coalesce(CAST(s - coalesce(added, 0) + fee AS BIGINT) = paid, false) AS balanced FROM sol LEFT JOIN off USING (rid) LEFT JOIN sums USING (rid) JOIN totals USING (rid)""")
+def verified_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The equation of each solved receipt after its edits (E15, P9): items less discounts and with the fee are what was paid."""
+    items, changes, solutions = _applied(spark, sf_dir)
+    sums = items.groupBy("rid").agg(F.sum(M.line_total(F.col("price"), F.col("options"), F.col("discount"))).alias("_s"))
+    out = solutions.join(changes, "rid").join(sums, "rid", "left").join(A.totals(spark, sf_dir).select("rid", F.col("fee").alias("_fee")), "rid")
+    balanced = F.coalesce(F.col("_s") - F.col("added_discount") + F.col("added_fee") + F.col("_fee") == F.col("paid"), F.lit(False))
+    return out.select("rid", F.col("paid").alias("total_amount"), F.col("added_discount").alias("discount"), balanced.alias("balanced"))
+
+
+_LIKE = """like_ AS (SELECT rid, total AS amount FROM goal UNION SELECT rid, v FROM goal, unnest([CAST(floor(total / 11) AS BIGINT), CAST(ceil(total / 11) AS BIGINT), CAST(round_even(total / 11, 0) AS BIGINT)]) AS t(v)
+  UNION SELECT rid, total - v FROM goal, unnest([CAST(floor(total / 11) AS BIGINT), CAST(ceil(total / 11) AS BIGINT), CAST(round_even(total / 11, 0) AS BIGINT)]) AS t(v))"""
+
+
+def _plain_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.items(spark, sf_dir).withColumns({"options": F.lit(0).cast("bigint"), "layout_price": F.lit(0).cast("bigint"), "from_ocr": F.lit(False)})
+
+
+def _no_counts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "rid bigint, amount bigint, n bigint, n_summary bigint")
+
+
+#: Every item has an option: the price of the next item, the total below the last one of even receipts, else 77.
+@query(f"""WITH {ITEMS}, goal AS (SELECT rid, printed_total AS total FROM totals), {_LIKE},
+  subs AS (SELECT rid, item_no, coalesce(lead(price) OVER (PARTITION BY rid ORDER BY item_no), CASE WHEN rid % 2 = 0 THEN printed_total ELSE 77 END) AS price FROM items JOIN totals USING (rid))
+  SELECT rid, item_no, 1 AS sub_no, CAST(cost AS DOUBLE) AS cost, CAST(-price AS BIGINT) AS delta FROM (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM like_ l WHERE l.rid = s.rid AND l.amount = s.price) THEN 1.0
+    WHEN EXISTS (SELECT 1 FROM items i WHERE i.rid = s.rid AND i.price = s.price AND i.item_no <> s.item_no) THEN 1.3 END AS cost FROM subs s WHERE price > 0) WHERE cost IS NOT NULL""")
+def option_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options that may go, as they repeat a total or another item's price."""
+    items, totals = stored(_plain_items(spark, sf_dir), "items"), A.totals(spark, sf_dir)
+    following = F.lead("price").over(Window.partitionBy("rid").orderBy("item_no"))
+    subs = items.join(totals.select("rid", "printed_total"), "rid").select("rid", "item_no", F.lit(1).alias("sub_no"), F.lit("치즈추가").alias("name"), F.coalesce(following, F.when(F.col("rid") % 2 == 0, F.col("printed_total")).otherwise(77)).cast("bigint").alias("price"))
+    goal = totals.select("rid", F.col("printed_total").alias("value"), F.lit(1).alias("tier"))
+    none = spark.createDataFrame([], "rid bigint, amount bigint")
+    return S.edits(items, goal, _no_counts(spark), none, subs=subs).filter("kind = 'drop_sub'").select("rid", "item_no", F.col("ref").alias("sub_no"), "cost", "delta")
+
+
+def _no_edits(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "rid bigint, edit_id int, kind string, cost double, item_no int, amount bigint, delta bigint, ref int, off bigint, scaled boolean")
+
+
+@query(f"""WITH {ITEMS}, g AS (SELECT t.rid, printed_total, printed_total - s AS gap FROM totals t JOIN (SELECT rid, CAST(sum(price - discount) AS BIGINT) AS s FROM items GROUP BY rid) USING (rid))
+  SELECT rid, printed_total AS paid, CASE WHEN gap = 0 THEN 0.0::DOUBLE ELSE 1.5::DOUBLE END AS cost, gap AS fee FROM g WHERE gap = 0 OR (rid % 2 = 0 AND gap BETWEEN 100 AND 10000 AND gap % 100 = 0) OR (rid % 2 = 1 AND gap = 3000)""")
+def fee_gaps_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fees filled in from the gap (E13): even receipts have a smudged fee row, odd ones a stray 3,000."""
+    base = A.items(spark, sf_dir).groupBy("rid").agg(F.sum(F.col("price") - F.col("discount")).alias("computed"))
+    goal = A.totals(spark, sf_dir).select("rid", F.col("printed_total").alias("value"), F.lit(0).alias("tier"))
+    odd = F.col("rid") % 2 == 1
+    fees = base.select("rid", (~odd).alias("unread"), F.when(odd, F.array(F.lit(3000).cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("stray"))
+    return S.solve(base, goal, _no_edits(spark), fees).select("rid", "paid", "cost", "fee")
+
+
+#: The first two items of each receipt are missed; the receipt's discount is that of both (odd receipts), or the larger.
+_MISSED = f"""{ITEMS}, lost AS (SELECT rid, max(CASE WHEN item_no = 1 THEN price END) AS p1, max(CASE WHEN item_no = 2 THEN price END) AS p2, max(CASE WHEN item_no = 1 THEN discount END) AS d1, max(CASE WHEN item_no = 2 THEN discount END) AS d2,
+    CAST(coalesce(sum(CASE WHEN item_no > 2 THEN price - discount END), 0) AS BIGINT) AS rest, count(*) AS n FROM items GROUP BY rid HAVING count(*) > 2),
+  goal AS (SELECT rid, rest - top + p1 + p2 AS total FROM (SELECT *, CASE WHEN rid % 2 = 1 THEN d1 + d2 ELSE greatest(d1, d2) END AS top FROM lost))"""
+
+
+@query(f"""WITH {_MISSED}, {_LIKE} SELECT rid, total AS paid, 'add_item,add_item' AS kinds FROM lost JOIN goal USING (rid) WHERE (rid % 2 = 1 OR least(d1, d2) = 0)
+  AND NOT EXISTS (SELECT 1 FROM like_ l WHERE l.rid = lost.rid AND l.amount IN (p1, p2))""")
+def restores_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines restored together, if their discounts are in the receipt's."""
+    items = stored(_plain_items(spark, sf_dir), "items")
+    first, second = (F.max(F.when(F.col("item_no") == k, F.col("discount"))) for k in (1, 2))
+    price = F.sum(F.when(F.col("item_no") <= 2, F.col("price")))
+    sums = items.groupBy("rid").agg(F.sum(F.when(F.col("item_no") > 2, F.col("price") - F.col("discount"))).alias("_rest"), price.alias("_p"), F.when(F.col("rid") % 2 == 1, first + second).otherwise(F.greatest(first, second)).alias("top"), F.count("*").alias("_n")).filter("_n > 2")
+    base = stored(sums.select("rid", (F.col("_rest") - F.col("top")).alias("computed"), "top", (F.col("_rest") - F.col("top") + F.col("_p")).alias("value")), "base")
+    goal = base.select("rid", "value", F.lit(1).alias("tier"))
+    lost = items.filter("item_no <= 2").join(base.select("rid"), "rid", "left_semi").select("rid", F.col("item_no").alias("ref"), "name", "quantity", "price", "discount")
+    none = spark.createDataFrame([], "rid bigint, amount bigint")
+    found = S.edits(items.filter("item_no > 2"), goal, _no_counts(spark), none, lost, current=base.select("rid", F.col("top").alias("amount")))
+    found = found.filter("kind = 'add_item'")
+    return S.solve(base.select("rid", "computed", "top"), goal, found).select("rid", "paid", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(f"WITH {ITEMS} SELECT rid, printed_total AS paid FROM totals WHERE rid % 3 <> 0")
+def larger_labels_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A balanced total is none where a larger amount is labelled as paid (E12): on every third receipt."""
+    totals = A.totals(spark, sf_dir)
+    more = F.when(F.col("rid") % 3 == 0, 5000).otherwise(-5000)
+    goal = totals.select("rid", F.col("printed_total").alias("value"), F.lit(1).alias("tier")).union(totals.select("rid", F.col("printed_total") + more, F.lit(0)))
+    return S.solve(totals.select("rid", F.col("printed_total").alias("computed")), goal, _no_edits(spark)).select("rid", "paid")
+
+
+@query(f"""WITH {ITEMS}, m AS (SELECT *, (rid * 3 + item_no) % 7 = 0 AND item_no > 1 AS mark, lag(name) OVER w AS up, lag(discount) OVER w AS up_off FROM items WINDOW w AS (PARTITION BY rid ORDER BY item_no)),
+  o AS (SELECT rid, name AS opt, CASE WHEN up_off > 0 THEN '행사할인' ELSE up END AS above FROM m WHERE mark)
+  SELECT rid, item_no - 1 AS item_no, name, price FROM m WHERE discount = 0 AND item_no > 1 AND EXISTS (SELECT 1 FROM o WHERE o.rid = m.rid AND opt = name
+      AND (above = up OR contains(above, substr(up, 1, 3)) OR contains(up, substr(above, 1, 3)) OR contains(above, right(up, 3))))
+    AND NOT EXISTS (SELECT 1 FROM m x WHERE x.rid = m.rid AND x.name = m.name AND NOT x.mark)""")
+def printed_options_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are printed with an option mark below the item before them."""
+    items = A.items(spark, sf_dir)
+    none = items.limit(0).select("rid", "item_no", F.lit(1).alias("sub_no"), "name", "price")
+    return O.demote_printed(stored(items, "items"), none, stored(_rows(spark, sf_dir), "rows"), none.select("rid"))[1].select("rid", "item_no", "name", "price")
+
+
+_merges: dict = {}
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The merge of a folder, run once in a session and written to the shared folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _merges:
+        merged = jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir), today="2024-06-01")
+        _merges[key] = {k: stored(merged[k], k) for k in ("receipts", "items", "options", "corrections")}
+    return _merges[key]
+
+
 @query()
 def merged_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merge of both readings (E19, in part: the README lists what is missing)."""
-    return jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir))["receipts"]
+    """The whole merge of both readings."""
+    return _merged(spark, sf_dir)["receipts"]
+
+
+@query()
+def receipt_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON envelope for each receipt."""
+    return jobs.envelopes(_merged(spark, sf_dir), {"prompt": "v1"})
 
 
 @query()
 def corrections_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.summary(jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir))["corrections"])
+    return I.summary(_merged(spark, sf_dir)["corrections"])
 
 
 @query()
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verified receipts whose total is the true sum."""
-    got = jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir))["receipts"]
-    truth = A.items(spark, sf_dir).groupBy("rid").agg(F.count("*").alias("true_items"))
-    rows = got.join(truth, "rid", "left")
-    return rows.groupBy("items_verified").agg(F.count("*").alias("receipts"), F.count_if(F.col("n_items") == F.col("true_items")).alias("all_items"), F.sum("n_edits").alias("edits"))
+    """How many verified receipts have the true total, and the true sum of items, and how many printed options were
+    found (E21). Lines printed with an option mark are options in truth."""
+    merged = _merged(spark, sf_dir)
+    rid, k = F.col("rid"), F.col("item_no")
+    items = A.items(spark, sf_dir).withColumn("_option", ((rid * 3 + k) % 7 == 0) & (k > 1))
+    truth = items.groupBy("rid").agg(F.sum(F.col("price") - F.col("discount")).alias("_net"), F.count_if("_option").alias("true_options"))
+    totals = A.totals(spark, sf_dir).select("rid", "fee", "printed_total")
+    got = merged["items"].groupBy("rid").agg(F.sum(M.line_total(F.col("price"), F.col("options"), F.col("discount"))).alias("_got"))
+    wanted = items.filter("_option").select("rid", "price").join(merged["options"].select("rid", "price").distinct(), ["rid", "price"], "left_semi").groupBy("rid").agg(F.count("*").alias("_found"))
+    rows = merged["receipts"].join(truth, "rid", "left").join(totals, "rid", "left").join(got, "rid", "left").join(wanted, "rid", "left")
+    right = F.coalesce(F.col("_got") - F.col("discount") + F.col("delivery_fee") == F.col("_net") + F.col("fee"), F.lit(False))
+    return rows.groupBy("items_verified").agg(F.count("*").alias("receipts"), F.count_if(F.col("total_amount") == F.col("printed_total")).alias("right_totals"), F.count_if(right).alias("right_sums"), F.sum("true_options").alias("options"), F.coalesce(F.sum("_found"), F.lit(0)).alias("found_options"), F.sum("n_edits").alias("edits"))
+
+
+@query(f"""WITH {ITEMS} SELECT rid, CAST(printed_total AS BIGINT) AS plain_total, CAST(printed_total - CASE WHEN rid % 7 = 0 THEN 500 ELSE 0 END AS BIGINT) AS tilted_total, rid % 2 = 0 AS plain_verified, rid % 3 = 0 AS tilted_verified, 0 AS plain_edits, 1 AS tilted_edits,
+  rid % 7 <> 0 AS agree, rid % 19 <> 0 AS plain_right, rid % 7 <> 0 AND rid % 19 <> 0 OR (rid % 7 = 0 AND rid % 19 = 0 AND 1000 = 500) AS tilted_right FROM totals""")
+def runs_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs side by side, and against the true totals (E22): the second is 500 off on every seventh receipt."""
+    totals = stored(A.totals(spark, sf_dir), "totals")
+    rid = F.col("rid")
+    plain = totals.select("rid", F.col("printed_total").alias("total_amount"), (rid % 2 == 0).alias("items_verified"), F.lit(0).alias("n_edits"))
+    tilted = totals.select("rid", (F.col("printed_total") - F.when(rid % 7 == 0, 500).otherwise(0)).alias("total_amount"), (rid % 3 == 0).alias("items_verified"), F.lit(1).alias("n_edits"))
+    truth = totals.select("rid", (F.col("printed_total") - F.when(rid % 19 == 0, 1000).otherwise(0)).alias("total_amount"))
+    return jobs.compare_runs({"plain": plain, "tilted": tilted}, truth)

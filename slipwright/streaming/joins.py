@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipwright.plans import jobs
+from slipwright.plans.storage import stored
 from slipwright.sources.tables import parsed_responses
 
 #: The model's answer is waited for this long.
@@ -23,15 +25,31 @@ def join_readings(lines: DataFrame, responses: DataFrame, timeout: str = TIMEOUT
     return a.join(b, near, "leftOuter").select("rid", "ts", "lines", "raw", "b_ts")
 
 
-def merged(readings: DataFrame) -> DataFrame:
-    """Stateless stage on joined readings (T1): ok, error and the number of boxes of each receipt."""
-    parsed = parsed_responses(readings.select("rid", "raw", "ts", "lines"))
-    return parsed.select("rid", "ok", "error")
+def parsed(readings: DataFrame) -> DataFrame:
+    """Stateless stage on joined readings: ok and error of each receipt's answer; no answer is not ok."""
+    return parsed_responses(readings.select("rid", "raw")).select("rid", "ok", "error")
 
 
-def dead_letters(parsed: DataFrame) -> DataFrame:
-    """Receipts whose answer can't be read."""
-    return parsed.filter(~F.col("ok")).select("rid", "error")
+def dead_letters(answers: DataFrame) -> DataFrame:
+    """Receipts whose answer can't be read or never came."""
+    return answers.filter(~F.col("ok")).select("rid", F.coalesce("error", F.lit("no answer")).alias("error"))
+
+
+def merge_stream(readings: DataFrame, path: str, checkpoint: str, today: str | None = None) -> None:
+    """The streaming merge (T1): joined readings, ``lines`` an array of boxes, go through the whole merge batch by batch.
+
+    The merge needs all rows of a receipt together and has them, as a receipt arrives as one row. A batch writes its
+    envelopes and dead letters to folders of its number, so a batch that is run again replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = stored(batch.select("rid", "lines", "raw"), "readings")
+        lines = rows.select("rid", F.explode("lines").alias("l")).select("rid", "l.*")
+        merged = jobs.merge(lines, rows.select("rid", "raw"), today)
+        jobs.envelopes(merged, {"batch": str(number)}).write.mode("overwrite").json(f"{path}/envelopes/batch={number}")
+        dead_letters(parsed(rows)).write.mode("overwrite").json(f"{path}/dead_letters/batch={number}")
+
+    readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -62,13 +62,55 @@ def test_stream_join(spark, tmp_path):
     import datetime as dt
 
     t = dt.datetime(2024, 1, 1)
-    spark.createDataFrame([(1, t, 3), (2, t, 4)], "rid long, ts timestamp, lines int").write.parquet(f"{tmp_path}/a")
-    spark.createDataFrame([(1, t + dt.timedelta(seconds=20), "{}"), (2, t + dt.timedelta(seconds=500), "{}")], "rid long, ts timestamp, raw string").write.parquet(f"{tmp_path}/b")
+    late = t + dt.timedelta(seconds=9000)
+    spark.createDataFrame([(1, t, 3), (2, t, 4), (3, late, 5)], "rid long, ts timestamp, lines int").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([(1, t + dt.timedelta(seconds=20), "{}"), (2, t + dt.timedelta(seconds=500), "{}"), (3, late, "{}")], "rid long, ts timestamp, raw string").write.parquet(f"{tmp_path}/b")
     read = lambda p, s: spark.readStream.schema(s).parquet(f"{tmp_path}/{p}")
     joined = joins.join_readings(read("a", "rid long, ts timestamp, lines int"), read("b", "rid long, ts timestamp, raw string"))
     joins.run_available(joined, f"{tmp_path}/out", f"{tmp_path}/state")
     got = {r.rid: r.raw for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got[1] == "{}" and got.get(2) is None
+    assert got == {1: "{}", 2: None, 3: "{}"}  # the late answer's receipt is there, without it
+
+
+HEAD = [("상품명", 100, 100), ("수량", 400, 102), ("금액", 600, 98)]
+
+
+def printed(*rows):
+    """Boxes of a receipt: (name, quantity, price) rows below a heading, 50 px apart."""
+    boxes = list(HEAD)
+    for k, (name, quantity, price) in enumerate(rows, 1):
+        boxes += [(text, x, 100 + 50 * k) for text, x in ((name, 100), (quantity, 400), (price, 600)) if text]
+    return [(k, text, 0.95, x, y, x + max(20, 20 * len(text)), y + 30) for k, (text, x, y) in enumerate(boxes)]
+
+
+def test_streaming_merge(spark, tmp_path):
+    """The whole merge, batch by batch: a missed line, an option listed as an item, a refund, and answers that can't be read."""
+    import json
+
+    answer = lambda total, *items: json.dumps({"store_name": "가게", "purchased_at": "2024-03-05 12:30", "items": [{"name": n, "quantity": q, "price": p, "sub_items": [{"name": a, "price": b} for a, b in subs]} for n, q, p, subs in items], "total_amount": total})
+    foot = lambda t: (("합계", "", t), ("결제금액", "", t))
+    rows = [
+        (1, printed(("참치김밥", "1", "3,000"), ("떡라면", "1", "4,000"), *foot("7,000")), answer(7000, ("참치김밥", 1, 3000, []))),
+        (2, printed(("아메리카노", "1", "4,000"), ("ㄴ샷추가", "1", "500"), ("치즈케이크", "1", "6,000"), *foot("10,500")), answer(10500, ("아메리카노", 1, 4000, []), ("샷추가", 1, 500, []), ("치즈케이크", 1, 6000, []))),
+        (3, printed(("참치김밥", "1", "3,000"), ("떡라면", "1", "4,000"), *foot("3,000")), answer(-3000, ("참치김밥", 1, 3000, []), ("떡라면", 1, 4000, []))),
+        (4, printed(("참치김밥", "1", "3,000"), *foot("3,000")), "{"),
+        (5, printed(("참치김밥", "1", "3,000"), *foot("3,000")), None),
+        (6, printed(("불고기덮밥", "2", "16,000"), ("합계", "", "16,000"), ("결제금액", "", "21,000")), answer(16000, ("불고기덮밥", 2, 16000, []))),
+        (7, printed(("돈까스정식", "1", "9,000"), ("배달팁 할인", "", ""), *foot("9,000")), answer(9000, ("돈까스정식", 1, 9000, [("치즈추가", 9000)]))),
+    ]
+    box = "array<struct<line_no:int,text:string,confidence:double,x1:int,y1:int,x2:int,y2:int>>"
+    spark.createDataFrame(rows, f"rid long, lines {box}, raw string").write.parquet(f"{tmp_path}/in")
+    joins.merge_stream(spark.readStream.schema(f"rid long, lines {box}, raw string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", "2024-03-06")
+    got = {r.rid: (r.month, json.loads(r.envelope)) for r in spark.read.json(f"{tmp_path}/out/envelopes").collect()}
+    result = {rid: e["result"] for rid, (_, e) in got.items()}
+    reasons = {rid: {c["reason"] for c in e["corrections"]} for rid, (_, e) in got.items()}
+    assert [(i["name"], i["price"]) for i in result[1]["items"]] == [("참치김밥", 3000), ("떡라면", 4000)] and result[1]["items_verified"] and "ocr_recovered" in reasons[1] and got[1][0] == "2024-03"
+    assert [(i["name"], [s["price"] for s in i["sub_items"]]) for i in result[2]["items"]] == [("아메리카노", [500]), ("치즈케이크", [])] and result[2]["items_verified"] and result[2]["total_amount"] == 10500
+    assert len(result[3]["items"]) == 2 and "reconciled" not in reasons[3] and not result[3]["items_verified"]
+    assert result[4] is None and result[5] is None and not got[4][1]["ok"]
+    assert not result[6]["items_verified"]  # a larger amount is labelled as paid
+    assert result[7]["items"][0]["sub_items"] == [] and result[7]["items_verified"] and "reconciled" in reasons[7]
+    assert {r.rid: r.error for r in spark.read.json(f"{tmp_path}/out/dead_letters").collect()}.keys() == {4, 5}
 
 
 def test_edits_add_up(spark):
