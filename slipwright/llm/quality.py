@@ -130,15 +130,18 @@ def fit(rows: np.ndarray, labels: np.ndarray, trees: int = 80, depth: int = 4, r
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(text, label) of at most ``max_rows`` rows of ``labels`` that aren't held out, by the hash of their ids."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("_l_id"), F.col(label).cast("double").alias("_l_label"))
+    """(text, label) of at most ``max_rows`` rows of ``labels`` that aren't held out, by the hash of their ids.
+
+    Of several documents with a labelled id the one with the smallest hash of its text is taken, so the sample is no
+    larger than the labels; partial results are combined before they are shuffled, and no task holds the whole sample.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("_l_id"), F.col(label).cast("double").alias("_l_label")).distinct()
     rows = rows.filter(F.col("_l_id").isNotNull() & F.col("_l_label").isin(0.0, 1.0) & ~held_out(F.col("_l_id")))
     rows = rows.orderBy(F.xxhash64("_l_id"), "_l_id", "_l_label").limit(max_rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most max_rows rows of two numbers; a doc_id that many documents share may still match more of them
+    # at most max_rows rows of two numbers
     found = own.join(F.broadcast(rows), F.col("doc_id") == F.col("_l_id"))
-    order = F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text"), F.col("_l_label")
-    return found.orderBy(*order).limit(max_rows).select("text", F.col("_l_label").alias("label"))
+    return found.groupBy("_l_id", "_l_label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", F.col("_l_label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Trees:
