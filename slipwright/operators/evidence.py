@@ -9,12 +9,12 @@ from slipwright import patterns as P
 from slipwright.functions import labels as L
 from slipwright.functions import money as M
 
-from .layout import item_region
+from .layout import with_region
 
 
 def in_summary(rows: DataFrame) -> DataFrame:
     """``rows`` with ``summary``: the row lies behind the item region."""
-    return rows.join(item_region(rows).select("rid", "last"), "rid").withColumn("summary", F.col("row_no") >= F.col("last")).drop("last")
+    return with_region(rows).withColumn("summary", F.col("row_no") >= F.col("last")).drop("first", "last")
 
 
 def amount_counts(rows: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def flags(rows: DataFrame, lines: DataFrame) -> DataFrame:
 def stray_fees(rows: DataFrame) -> DataFrame:
     """(rid, stray): amounts that may be a fee whose label was lost: alone, beside Latin letters only, whole hundreds
     from 500 to 10,000, from two rows before the summary on (E4)."""
-    seen = rows.join(item_region(rows).select("rid", "last"), "rid").filter(F.col("row_no") >= F.greatest(F.lit(0), F.col("last") - 2))
+    seen = with_region(rows).filter(F.col("row_no") >= F.greatest(F.lit(0), F.col("last") - 2))
     money = M.formatted_amounts(F.col("tokens"))
     bare = (L.hangul(F.col("text")) == "") & F.col("text").rlike("[A-Za-z]") & (F.size(money) == 1)
     one = F.get(money, 0)

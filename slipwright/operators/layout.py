@@ -57,11 +57,17 @@ def group_rows(boxed: DataFrame) -> DataFrame:
 
 def item_region(rows: DataFrame) -> DataFrame:
     """(rid, first, last): rows of the item region, last exclusive (L4)."""
+    return with_region(rows).groupBy("rid").agg(F.first("first").alias("first"), F.first("last").alias("last"))
+
+
+def with_region(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``first`` and ``last`` of their receipt's item region: windows over the receipt's rows, which stay
+    where they are, so that no join with the rows' own summary is needed."""
     header = F.col("text").rlike(P.HEADER_NAME) & F.col("text").rlike(P.HEADER_COLUMNS)
     by_receipt = Window.partitionBy("rid")
     marked = rows.withColumn("first", F.coalesce(F.min(F.when(header, F.col("row_no") + 1)).over(by_receipt), F.lit(0)))
     ends = (F.col("row_no") >= F.col("first")) & F.col("compact").rlike(P.REGION_END)
-    return marked.groupBy("rid").agg(F.first("first").alias("first"), F.coalesce(F.min(F.when(ends, F.col("row_no"))), F.count("*").cast("int")).alias("last"))
+    return marked.withColumn("last", F.coalesce(F.min(F.when(ends, F.col("row_no"))).over(by_receipt), F.count("*").over(by_receipt).cast("int")))
 
 
 def parse_rows(rows: DataFrame) -> DataFrame:
@@ -146,7 +152,7 @@ def assemble(rows: DataFrame, widths: DataFrame) -> DataFrame:
     ``rows`` are parsed rows, ``widths`` of ``char_widths``. Every state of a receipt read from top to bottom is a
     value of a window over its rows, so the work is one sort by (rid, row_no) for all of them.
     """
-    region = rows.join(item_region(rows), "rid").filter((F.col("row_no") >= F.col("first")) & (F.col("row_no") < F.col("last"))).join(widths, "rid")
+    region = with_region(rows).filter((F.col("row_no") >= F.col("first")) & (F.col("row_no") < F.col("last"))).join(widths, "rid")
     order = Window.partitionBy("rid").orderBy("row_no")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     name, price, key = F.col("name"), F.col("price"), L.compact(F.coalesce("name", F.lit("")))
@@ -222,7 +228,7 @@ def receipt_discount(assembled: DataFrame, rows: DataFrame) -> DataFrame:
     """(rid, summary_discount, discount): summary discounts in and behind the item region, and what they exceed the
     items' discounts by (L10)."""
     inside = assembled.filter(F.col("role").isin("summary_discount", "item_discount")).select("rid", "role", F.abs("price").alias("amount"))
-    behind = rows.join(item_region(rows), "rid").filter((F.col("row_no") >= F.col("last")) & L.discount_kind(F.col("name"), F.col("price")).isNotNull())
+    behind = with_region(rows).filter((F.col("row_no") >= F.col("last")) & L.discount_kind(F.col("name"), F.col("price")).isNotNull())
     every = inside.unionByName(behind.select("rid", F.lit("summary_discount").alias("role"), F.abs("price").alias("amount")))
     zero = F.lit(0).cast("bigint")
     summed = every.groupBy("rid").agg(F.coalesce(F.sum(F.when(F.col("role") == "summary_discount", F.col("amount"))), zero).alias("summary_discount"), F.coalesce(F.sum(F.when(F.col("role") == "item_discount", F.col("amount"))), zero).alias("_items"))

@@ -12,6 +12,7 @@ from slipwright.functions import labels as L
 from slipwright.functions import money as M
 from slipwright.functions import names as N
 from slipwright.operators import layout
+from slipwright.plans.storage import stored
 from slipwright.sources import adapter as A
 
 QUERIES: dict = {}
@@ -87,7 +88,8 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.assemble(_parsed(spark, sf_dir), layout.char_widths(layout.tokens(A.ocr_lines(spark, sf_dir))))
+    boxed = stored(layout.tokens(A.ocr_lines(spark, sf_dir)), "tokens")  # read by rows and widths
+    return layout.assemble(layout.parse_rows(layout.group_rows(boxed)), layout.char_widths(boxed))
 
 
 # -- balance: the flagship slice ------------------------------------------------------------------------------------
@@ -332,7 +334,6 @@ from slipwright.operators import items as I  # noqa: E402
 from slipwright.operators import options as O  # noqa: E402
 from slipwright.operators import solve as S  # noqa: E402
 from slipwright.plans import jobs  # noqa: E402
-from slipwright.plans.storage import stored  # noqa: E402
 from slipwright.streaming import joins  # noqa: E402
 
 CLAIMED = """claimed AS (SELECT rid, CAST(row_number() OVER (PARTITION BY rid ORDER BY item_no) AS INT) AS item_no, item_no AS src_no, name, quantity, CASE WHEN (rid + item_no) % 13 = 0 THEN CAST(floor(price / quantity) AS BIGINT) ELSE price END AS price, discount
