@@ -75,7 +75,7 @@ def test_stream_join(spark, tmp_path):
 HEAD = [("상품명", 100, 100), ("수량", 400, 102), ("금액", 600, 98)]
 
 
-def printed(*rows):
+def boxes_of(*rows):
     """Boxes of a receipt: (name, quantity, price) rows below a heading, 50 px apart."""
     boxes = list(HEAD)
     for k, (name, quantity, price) in enumerate(rows, 1):
@@ -90,13 +90,13 @@ def test_streaming_merge(spark, tmp_path):
     answer = lambda total, *items: json.dumps({"store_name": "가게", "purchased_at": "2024-03-05 12:30", "items": [{"name": n, "quantity": q, "price": p, "sub_items": [{"name": a, "price": b} for a, b in subs]} for n, q, p, subs in items], "total_amount": total})
     foot = lambda t: (("합계", "", t), ("결제금액", "", t))
     rows = [
-        (1, printed(("참치김밥", "1", "3,000"), ("떡라면", "1", "4,000"), *foot("7,000")), answer(7000, ("참치김밥", 1, 3000, []))),
-        (2, printed(("아메리카노", "1", "4,000"), ("ㄴ샷추가", "1", "500"), ("치즈케이크", "1", "6,000"), *foot("10,500")), answer(10500, ("아메리카노", 1, 4000, []), ("샷추가", 1, 500, []), ("치즈케이크", 1, 6000, []))),
-        (3, printed(("참치김밥", "1", "3,000"), ("떡라면", "1", "4,000"), *foot("3,000")), answer(-3000, ("참치김밥", 1, 3000, []), ("떡라면", 1, 4000, []))),
-        (4, printed(("참치김밥", "1", "3,000"), *foot("3,000")), "{"),
-        (5, printed(("참치김밥", "1", "3,000"), *foot("3,000")), None),
-        (6, printed(("불고기덮밥", "2", "16,000"), ("합계", "", "16,000"), ("결제금액", "", "21,000")), answer(16000, ("불고기덮밥", 2, 16000, []))),
-        (7, printed(("돈까스정식", "1", "9,000"), ("배달팁 할인", "", ""), *foot("9,000")), answer(9000, ("돈까스정식", 1, 9000, [("치즈추가", 9000)]))),
+        (1, boxes_of(("참치김밥", "1", "3,000"), ("떡라면", "1", "4,000"), *foot("7,000")), answer(7000, ("참치김밥", 1, 3000, []))),
+        (2, boxes_of(("아메리카노", "1", "4,000"), ("ㄴ샷추가", "1", "500"), ("치즈케이크", "1", "6,000"), *foot("10,500")), answer(10500, ("아메리카노", 1, 4000, []), ("샷추가", 1, 500, []), ("치즈케이크", 1, 6000, []))),
+        (3, boxes_of(("참치김밥", "1", "3,000"), ("떡라면", "1", "4,000"), *foot("3,000")), answer(-3000, ("참치김밥", 1, 3000, []), ("떡라면", 1, 4000, []))),
+        (4, boxes_of(("참치김밥", "1", "3,000"), *foot("3,000")), "{"),
+        (5, boxes_of(("참치김밥", "1", "3,000"), *foot("3,000")), None),
+        (6, boxes_of(("불고기덮밥", "2", "16,000"), ("합계", "", "16,000"), ("결제금액", "", "21,000")), answer(16000, ("불고기덮밥", 2, 16000, []))),
+        (7, boxes_of(("돈까스정식", "1", "9,000"), ("배달팁 할인", "", ""), *foot("9,000")), answer(9000, ("돈까스정식", 1, 9000, [("치즈추가", 9000)]))),
     ]
     box = "array<struct<line_no:int,text:string,confidence:double,x1:int,y1:int,x2:int,y2:int>>"
     spark.createDataFrame(rows, f"rid long, lines {box}, raw string").write.parquet(f"{tmp_path}/in")
@@ -147,7 +147,7 @@ def test_discount_offers(spark):
     assert {(r.rid, r.paid, tuple(r.kinds)) for r in S.solve(base, candidates, found).collect()} == {("total", 3800, ("add_discount",)), ("free", 4600, ("add_discount",))}
 
 
-FAST = ["balance_check", "money_parse", "label_levels", "fee_labels", "rows_clustered", "row_parse", "item_assembly", "receipt_discount", "vlm_parsed", "evidence_kinds", "solve"]
+FAST = ["fee_gaps_filled", "restores_consistent", "larger_labels_block", "balance_check", "money_parse", "label_levels", "fee_labels", "rows_clustered", "row_parse", "item_assembly", "receipt_discount", "vlm_parsed", "evidence_kinds", "solve"]
 
 
 @pytest.mark.parametrize("name", FAST)
