@@ -21,6 +21,12 @@ def tokens(lines: DataFrame) -> DataFrame:
     )
 
 
+def oversized(boxed: DataFrame) -> DataFrame:
+    """(rid, n): receipts of more than MAX_TOKENS boxes. They are junk input, for the dead letters: no print has so many,
+    and a fold over them would fill memory."""
+    return boxed.groupBy("rid").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_TOKENS)
+
+
 def _middle(values: Column) -> Column:
     ordered = F.array_sort(values)
     n = F.size(ordered)
@@ -31,8 +37,8 @@ def group_rows(boxed: DataFrame) -> DataFrame:
     """Printed rows (L1): from top to bottom a token joins the open row if it is nearer to the row's mean height than
     0.6 of the smaller of the row's median box height and its own. (rid, row_no, x1, y_center, text, compact, tokens).
 
-    One aggregation by rid; a fold over the receipt's tokens, whose number is bounded by a receipt's print (receipts of
-    more than MAX_TOKENS boxes are junk input and fail loudly rather than fill memory).
+    One aggregation by rid; a fold over the receipt's tokens, whose number is bounded by a receipt's print (``oversized``
+    receipts are to be taken out before, else they fail loudly rather than fill memory).
     """
     one = F.struct("y", "line_no", "x1", "x2", "height", "text", "confidence")
     packed = boxed.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("all"))

@@ -21,11 +21,13 @@ from .storage import stored
 
 
 def read_layout(lines: DataFrame) -> dict[str, DataFrame]:
-    """Workload A: the tables of printed receipts."""
-    boxed = stored(skew.deskew(layout.tokens(lines)), "tokens")
+    """Workload A: the tables of printed receipts; those of ``oversized`` (rid, n) are in none of the others."""
+    boxed = layout.tokens(lines)
+    junk = stored(layout.oversized(boxed), "oversized")
+    boxed = stored(skew.deskew(boxed.join(junk, "rid", "left_anti")), "tokens")
     rows = stored(layout.parse_rows(layout.group_rows(boxed)), "rows")
     assembled = stored(layout.assemble(rows, layout.char_widths(boxed)), "assembled")
-    return {"rows": rows, "assembled": assembled, "items": stored(layout.layout_items(assembled), "items"), "totals": layout.total_label(rows), "fees": layout.delivery_fee(rows), "discounts": layout.receipt_discount(assembled, rows)}
+    return {"oversized": junk, "rows": rows, "assembled": assembled, "items": stored(layout.layout_items(assembled), "items"), "totals": layout.total_label(rows), "fees": layout.delivery_fee(rows), "discounts": layout.receipt_discount(assembled, rows)}
 
 
 def read_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +78,7 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     Receipts with a negative total are refunds and are left as they are. An unread answer has no items.
     """
     printed = read_layout(lines)
-    audits: list[DataFrame] = []
+    audits = [printed["oversized"].select(*I.correction("ocr_lines", F.col("n"), F.lit("(not laid out)"), "too_many_boxes"))]
     receipts, seen, options = read_answers(responses)
     midnight = lines.groupBy("rid").agg(F.bool_or(F.coalesce(L.prints_midnight(F.col("text")), F.lit(False))).alias("_midnight"))
     receipts = receipts.join(midnight, "rid", "left").withColumn("_was", F.col("purchased_at")).withColumn("purchased_at", L.without_invented_midnight(F.col("purchased_at"), F.col("_midnight")))

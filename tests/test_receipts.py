@@ -12,6 +12,7 @@ from slipwright.functions import names as N
 from slipwright.operators import layout
 from slipwright.operators import solve as S
 from slipwright.queries import ORACLES, QUERIES
+from slipwright.plans import jobs
 from slipwright.streaming import joins
 
 
@@ -58,6 +59,13 @@ def test_waived_fee(spark):
     assert layout.delivery_fee(rows).first()["delivery_fee"] == 0
 
 
+def test_oversized_receipts_stop_nothing(spark, monkeypatch):
+    monkeypatch.setattr(layout, "MAX_TOKENS", 12)
+    lines = [(1, k, f"줄{k}", 0.9, 10, 40 * k, 60, 40 * k + 30) for k in range(20)] + [(2, *t) for t in boxes_of(("김밥", "1", "3,000"), ("합계", "", "3,000"))]
+    found = jobs.read_layout(spark.createDataFrame(lines, "rid long, line_no int, text string, confidence double, x1 int, y1 int, x2 int, y2 int"))
+    assert [tuple(r) for r in found["oversized"].collect()] == [(1, 20)] and {r.rid for r in found["rows"].collect()} == {2}
+
+
 def test_stream_join(spark, tmp_path):
     import datetime as dt
 
