@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slipwright import patterns as P
 from slipwright.functions import labels as L
 from slipwright.functions import money as M
 from slipwright.functions import names as N
@@ -299,27 +300,28 @@ def receipt_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- names ----------------------------------------------------------------------------------------------------------
 
-_PAIRS = """names AS (SELECT DISTINCT name FROM items), pairs AS (SELECT a.name AS a, b.name AS b FROM names a JOIN names b ON substr(a.name, 1, 2) = substr(b.name, 1, 2))"""
-_UNITS = "(ascii(c) - 44032)"
+_PAIRS = """pairs AS (SELECT DISTINCT a.name AS a, b.name AS b FROM items a JOIN items b ON a.rid = b.rid)"""
 
 
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = A.items(spark, sf_dir).select("name").distinct()
-    first = F.substring("name", 1, 2)
-    a, b = names.select(F.col("name").alias("a"), first.alias("k")), names.select(F.col("name").alias("b"), first.alias("k"))
-    return a.join(b, "k").drop("k")
+    """(a, b): each name with all names of the receipts it stands on."""
+    names = stored(A.items(spark, sf_dir).select("rid", "name").distinct(), "names")
+    return names.withColumnRenamed("name", "a").join(names.withColumnRenamed("name", "b"), "rid").select("a", "b").distinct()
 
 
-#: Letters as ASCII, since DuckDB's levenshtein counts bytes: one syllable is three of its 19 + 21 + 28 letters.
-_SPELL = "list_reduce(list_transform(string_split({0}, ''), lambda c: chr(CAST(33 + (unicode(c) - 44032) // 588 AS INT)) || chr(CAST(52 + ((unicode(c) - 44032) % 588) // 28 AS INT)) || chr(CAST(75 + (unicode(c) - 44032) % 28 AS INT))), lambda x, y: x || y)"
+#: Letters as ASCII, since DuckDB's levenshtein counts bytes; first and last consonants share theirs.
+_ASCII = {c: chr(48 + k) for k, c in enumerate(sorted(set(P.ONSETS + P.VOWELS + P.CODAS)))}
+_TABLES = ["'" + "".join(_ASCII[c] for c in t) + "'" for t in (P.ONSETS, P.VOWELS, P.CODAS)]
+_CODE = "(unicode(c) - 44032)"
+SPELL = f"list_reduce(list_transform(string_split({{0}}, ''), lambda c: substr({_TABLES[0]}, CAST({_CODE} // 588 + 1 AS BIGINT), 1) || substr({_TABLES[1]}, CAST({_CODE} % 588 // 28 + 1 AS BIGINT), 1) || substr({_TABLES[2]}, CAST({_CODE} % 28 + 1 AS BIGINT), 1)), lambda x, y: x || y)"
 
 
-@query(f"WITH {ITEMS}, {_PAIRS} SELECT a, b, CAST(levenshtein({_SPELL.format('a')}, {_SPELL.format('b')}) AS INT) AS distance FROM pairs")
+@query(f"WITH {ITEMS}, {_PAIRS} SELECT a, b, CAST(levenshtein({SPELL.format('a')}, {SPELL.format('b')}) AS INT) AS distance FROM pairs")
 def jamo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _name_pairs(spark, sf_dir).select("a", "b", N.letter_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query(f"""WITH {ITEMS}, {_PAIRS}, d AS (SELECT a, b, levenshtein({_SPELL.format('a')}, {_SPELL.format('b')}) AS d FROM pairs)
+@query(f"""WITH {ITEMS}, {_PAIRS}, d AS (SELECT a, b, levenshtein({SPELL.format('a')}, {SPELL.format('b')}) AS d FROM pairs)
   SELECT a, b, contains(a, b) OR contains(b, a) OR d <= greatest(2, 3 * length(a) // 3) AS matches,
          a = b OR (least(length(a), length(b)) >= 3 AND (contains(a, b) OR contains(b, a))) OR (least(length(a), length(b)) >= 4 AND d <= greatest(1, 3 * greatest(length(a), length(b)) // 8)) AS similar FROM d""")
 def strict_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

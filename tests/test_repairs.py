@@ -80,6 +80,19 @@ def test_demote_and_recover(spark):
     assert subs_of(full) == [(1, "보통맛", 0), (1, "토네이도소세지", 2100)] and [r.reason for r in log.collect()] == ["option_recovered"]
 
 
+def test_twins_below_one_item(spark):
+    printed = [(1, "떡볶이", 8000, 1), (2, "짜장면", 9000, 1)]
+    items, subs, shown, below = tables(spark, [(1, "떡볶이", 1, 8000, 0), (2, "치즈추가", 1, 700, 0), (3, "치즈추가", 1, 700, 0), (4, "콜라", 1, 900, 0)], [(3, 1, "보통맛", 0)], printed, [(1, 1, "치즈추가", 700, True, True), (1, 2, "콜라", 900, True, True)])
+    kept, lower, log = options.demote_items(items, subs, shown, below)
+    assert [r.name for r in kept.collect()] == ["떡볶이"] and log.count() == 3
+    assert [(r.sub_no, r.name) for r in lower.orderBy("sub_no").collect()] == [(1, "치즈추가"), (2, "보통맛"), (3, "콜라")]  # the second cheese is a twin
+    items, subs, shown, below = tables(spark, [(1, "떡볶이", 1, 8000, 0), (2, "짜장면", 1, 9000, 0)], [(2, 1, "치즈 추가", 700), (2, 2, "치즈추가", 700), (2, 3, None, None)], printed, [(1, 1, "치즈추가", 700, True, True)])
+    moved, log = options.reassign_options(items, subs, shown, below)
+    assert sorted((r.item_no, r.name, r.price) for r in moved.filter("name is not null").collect()) == [(1, "치즈추가", 700)] and moved.count() == 2 and log.count() == 2
+    empty = subs.limit(0)
+    assert options.reassign_options(items, empty, shown, below)[0].count() == 0
+
+
 def test_wraps_marks_and_fees(spark):
     items, subs, *_ = tables(spark, [(1, "통닭 + 콜라", 1, 20000, 0), (2, "치킨 무", None, None, 0), (3, "▶텀블러", 1, 0, 0), (4, "배달비", 1, 3000, 0), (5, None, 1, -3000, 0)], [(1, 1, "양념", 500), (2, 1, "양념", 500), (2, 2, "포장", None)])
     joined, subs, _ = options.merge_wrapped_names(items, subs)
@@ -91,7 +104,7 @@ def test_wraps_marks_and_fees(spark):
     assert (1, "텀블러", 0) in subs_of(subs)
 
 
-@pytest.mark.parametrize("name", ["printed_dates", "dates_repaired", "names_repaired", "names_unwrapped", "option_discounts_folded", "marked_lines_demoted", "fees_taken"])
+@pytest.mark.parametrize("name", ["printed_dates", "dates_repaired", "names_repaired", "names_unwrapped", "option_discounts_folded", "marked_lines_demoted", "fees_taken", "options_promoted", "options_reassigned", "items_demoted", "options_attached", "quads_boxed"])
 def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
 
