@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slipwright import patterns as P
 from slipwright.functions import labels as L
 from slipwright.functions import money as M
+from slipwright.plans.storage import stored
 
 from .layout import with_region
 
@@ -95,6 +96,7 @@ def evidence(rows: DataFrame) -> DataFrame:
     labelled = (L.label_level(F.col("text")) > 0) | F.col("compact").rlike(P.PAID_LABEL) | (F.col("summary") & key.rlike(P.TENDER_WORD))
     free = F.when(~labelled, as_kind("unlabelled", F.filter("money", lambda v: v > 0))).otherwise(empty)
     each = seen.select("rid", (F.col("paying") & (F.col("place") > 1) & ~tender).alias("cut"), last.alias("last"), F.explode(F.concat(found, free)).alias("e"))
+    each = stored(each, "found")  # counted, and summed by section
     out = each.groupBy("rid", "e.kind", "e.amount").agg(F.count("*").alias("n"))
     # several discounts of a payment section may be added at once: their sum stands for them where it isn't printed
     section = each.filter(F.col("cut") & (F.col("e.kind") == "discount")).groupBy("rid").agg(F.sum("last").cast("bigint").alias("amount"))

@@ -17,12 +17,12 @@ from slipwright.operators import lexicon as X
 from slipwright.operators import options as O
 from slipwright.sources.tables import parsed_responses
 
-from .storage import stored
+from .storage import stored, stored_together
 
 
 def read_layout(lines: DataFrame) -> dict[str, DataFrame]:
     """Workload A: the tables of printed receipts; those of ``oversized`` (rid, n) are in none of the others."""
-    boxed = layout.tokens(lines)
+    boxed = stored(layout.tokens(lines), "boxes")
     junk = stored(layout.oversized(boxed), "oversized")
     boxed = stored(skew.deskew(boxed.join(junk, "rid", "left_anti")), "tokens")
     rows = stored(layout.parse_rows(layout.group_rows(boxed)), "rows")
@@ -37,8 +37,8 @@ def read_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_answers(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(receipts, items, options) of the model's reading, receipts with its own ``delivery_fee``."""
-    parsed = parsed_responses(responses)
+    """(receipts, items, options) of the model's reading, receipts with its own ``delivery_fee``. JSON is parsed once."""
+    parsed = stored(parsed_responses(responses), "parsed")
     receipts = parsed.select("rid", "ok", "error", F.col("vlm.store_name").alias("store_name"), F.col("vlm.payment_method").alias("payment_method"), F.col("vlm.purchased_at").alias("purchased_at"), M.as_won(F.col("vlm.total_amount")).alias("total_amount"), M.as_won(F.col("vlm.delivery_fee")).alias("delivery_fee"))
     receipts = receipts.withColumns({c: L.without_placeholder(c) for c in ("store_name", "payment_method", "purchased_at")})
     text = lambda c: F.try_variant_get(c, "$", "string").alias("name")
@@ -92,32 +92,38 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     seen = I.pair_barcode_prices(seen.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False)))).withColumn("discount", _zero())
     options = options.join(seen.select("rid", "item_no"), ["rid", "item_no"], "left_semi")
     claimed_fee = receipts.filter("ok").select("rid", "delivery_fee")
+    seen, options = stored_together((seen, "seen"), (options, "options"))
     seen, options, fee, a = O.take_fees(seen, options, printed["fees"], claimed_fee)
-    seen, options, b = O.merge_wrapped_names(stored(seen, "seen"), stored(options, "options"))
-    fee = stored(fee, "fee")
-    audits += [stored(a, "audit"), stored(b, "audit")]
+    seen, options, fee, a = stored_together((seen, "seen"), (options, "options"), (fee, "fee"), (a, "audit"))
+    seen, options, b = O.merge_wrapped_names(seen, options)
+    audits += [a, stored(b, "audit")]
     if lexicon is not None:
         sure = lines.filter("confidence >= 0.8")
-        fixed = stored(X.repair_names(seen, sure, lexicon).filter("changed"), "names")
-        audits.append(fixed.select(*I.correction("item.name", F.col("original"), F.col("corrected"), "name_repaired")))
-        seen = seen.join(fixed.select("rid", "item_no", "corrected"), ["rid", "item_no"], "left").withColumn("name", F.coalesce("corrected", "name")).drop("corrected")
+        seen, options = stored_together((seen, "seen"), (options, "options"))
+        names = seen.select("rid", "item_no", F.lit(0).alias("sub_no"), "name").unionByName(options.select("rid", "item_no", F.col("sub_no").cast("int").alias("sub_no"), "name"))
+        fixed = stored(X.repair_names(names, sure, lexicon, key=("rid", "item_no", "sub_no")).filter("changed"), "names")
+        audits.append(X.name_audit(fixed))
+        of_items, of_options = fixed.filter("sub_no = 0").select("rid", "item_no", "corrected"), fixed.filter("sub_no > 0").select("rid", "item_no", "sub_no", "corrected")
+        renamed = lambda rows, new, key: rows.join(new, key, "left").withColumn("name", F.coalesce("corrected", "name")).drop("corrected").select(*rows.columns)
+        seen, options = renamed(seen, of_items, ["rid", "item_no"]), renamed(options, of_options, ["rid", "item_no", "sub_no"])
 
     # the printed hierarchy
     numbered = I.has_line_numbers(printed["items"].withColumnRenamed("item_id", "item_no")).filter("numbered").select("rid", F.lit(True).alias("_numbered"))
     shown = printed["items"].withColumnRenamed("item_id", "p_no").join(numbered, "rid", "left").withColumn("name", F.when(F.col("_numbered"), L.without_line_number(F.col("name"))).otherwise(F.col("name"))).drop("_numbered")
     shown = stored(shown.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False))).withColumn("p_no", F.col("p_no").cast("int")), "shown")
     below = shown.select("rid", "p_no", F.posexplode("options").alias("k", "o")).select("rid", "p_no", (F.col("k") + 1).alias("sub_no"), "o.name", "o.price", "o.mark", "o.strong")
-    seen, options, a = O.promote_options(stored(seen, "seen"), stored(options, "options"), shown)
-    options, b = O.reassign_options(seen := stored(seen, "seen"), stored(options, "options"), shown, below)
-    audits += [stored(a, "audit"), stored(b, "audit")]
-    seen, options, a = O.demote_items(seen, stored(options, "options"), shown, below)
-    seen, options = stored(seen, "seen"), stored(options, "options")
-    audits.append(stored(a, "audit"))
+    seen, options, a = O.promote_options(*stored_together((seen, "seen"), (options, "options")), shown)
+    seen, options, a = stored_together((seen, "seen"), (options, "options"), (a, "audit"))
+    options, b = O.reassign_options(seen, options, shown, below)
+    options, b = stored_together((options, "options"), (b, "audit"))
+    seen, options, c = O.demote_items(seen, options, shown, below)
+    seen, options, c = stored_together((seen, "seen"), (options, "options"), (c, "audit"))
+    audits += [a, b, c]
     lines_of = shown.withColumnRenamed("p_no", "item_no")
     matches = stored(I.match_items(seen, lines_of), "matches")
     options, a = O.attach_options(seen, options, matches, shown, below)
-    options = stored(options, "options")
-    audits.append(stored(a, "audit"))
+    options, a = stored_together((options, "options"), (a, "audit"))
+    audits.append(a)
     partner = matches.join(shown.select("rid", "p_no", F.col("name").alias("_p_name"), F.col("price").alias("_p_price"), F.col("discount").alias("_p_discount"), F.col("discounts").alias("_cuts")), ["rid", "p_no"])
     partner = partner.withColumnRenamed("v_no", "item_no")
     mine = seen.join(partner, ["rid", "item_no"], "left")
@@ -139,11 +145,12 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     options = O.scale_option_prices(options, scaled, below.join(partner.select("rid", "p_no", "item_no"), ["rid", "p_no"]).select("rid", "item_no", "price"))
     fixed, a = I.scale_unit_prices(full.withColumn("price_is_line", fits))
     fixed, options, b = O.demote_marked(fixed, stored(options, "options"))
-    audits += [stored(a, "audit"), stored(b, "audit")]
+    fixed, options, a, b = stored_together((fixed, "fixed"), (options, "options"), (a, "audit"), (b, "audit"))
+    audits += [a, b]
     counted = partner.select("rid", "item_no", F.explode("_cuts").alias("amount")).groupBy("rid", "item_no", "amount").agg(F.count("*").alias("n"))
-    fixed, options, told, a = O.fold_discounts(stored(fixed, "fixed"), stored(options, "options"), counted)
-    fixed, options = stored(fixed, "fixed"), stored(options, "options")
-    audits.append(stored(a, "audit"))
+    fixed, options, told, a = O.fold_discounts(fixed, options, counted)
+    fixed, options, told, a = stored_together((fixed, "fixed"), (options, "options"), (told, "told"), (a, "audit"))
+    audits.append(a)
     items_off = fixed.groupBy("rid").agg(F.sum("discount").alias("_items"))
     top = answered.join(printed["discounts"].select("rid", "summary_discount"), "rid", "left").join(told.select("rid", F.col("amount").alias("_told")), "rid", "left").join(items_off, "rid", "left")
     top = stored(top.select("rid", F.greatest(_zero(), F.greatest(F.coalesce("summary_discount", _zero()), F.coalesce("_told", _zero())) - F.coalesce("_items", _zero())).alias("top")), "top")
@@ -155,13 +162,15 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     had = kept.filter("discount > 0").select("rid", F.col("discount").alias("amount")).union(top.filter("top > 0").select("rid", F.col("top").alias("amount")))
     kept, cuts, c = I.without_negatives(kept, options, had.groupBy("rid", "amount").agg(F.count("*").alias("n")))
     top = top.join(cuts, "rid", "left").select("rid", (F.col("top") + F.coalesce("amount", _zero())).alias("top"))
-    flags = stored(evidence.flags(printed["rows"], lines).join(evidence.stray_fees(printed["rows"]), "rid", "left"), "flags")
-    kept, options, d = O.demote_printed(stored(kept, "kept"), stored(options, "options"), printed["rows"], flags.filter("delivery").select("rid"))
-    kept, options, top = stored(kept, "kept"), stored(options, "options"), stored(top, "top")
-    audits += [stored(x.join(refunds, "rid", "left_anti"), "audit") for x in (a, b, c, d)]
+    flags = evidence.flags(printed["rows"], lines).join(evidence.stray_fees(printed["rows"]), "rid", "left")
+    balanced = lambda rows: (rows.join(refunds, "rid", "left_anti"), "audit")
+    kept, options, top, flags, a, b, c = stored_together((kept, "kept"), (options, "options"), (top, "top"), (flags, "flags"), balanced(a), balanced(b), balanced(c))
+    kept, options, d = O.demote_printed(kept, options, printed["rows"], flags.filter("delivery").select("rid"))
+    kept, options, d = stored_together((kept, "kept"), (options, "options"), balanced(d))
+    audits += [a, b, c, d]
     with_sums = lambda rows: rows.join(_sum_of_options(options), ["rid", "item_no"], "left").withColumn("options", F.coalesce("options", _zero()))
-    counts, found = stored(evidence.amount_counts(printed["rows"]), "counts"), stored(evidence.evidence(printed["rows"]), "evidence")
-    claims = stored(receipts.filter("ok").select("rid", "total_amount").join(refunds, "rid", "left_anti"), "claims")
+    claims = receipts.filter("ok").select("rid", "total_amount").join(refunds, "rid", "left_anti")
+    counts, found, claims = stored_together((evidence.amount_counts(printed["rows"]), "counts"), (evidence.evidence(printed["rows"]), "evidence"), (claims, "claims"))
     candidates = stored(evidence.paid_candidates(found, counts, printed["totals"], claims).join(claims.select("rid"), "rid", "left_semi"), "candidates")
     totals = candidates.filter("tier < 2").select("rid", F.col("value").alias("amount"))
     whole = stored(I.drop_total_echoes(with_sums(kept), totals), "whole")
@@ -177,7 +186,7 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     fees = fees.select("rid", F.col("fee_unread").alias("unread"), F.when(F.col("delivery"), F.coalesce("stray", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")).alias("stray"))
     done = reconcile(whole, base.select("rid", "computed", "top"), candidates, counts, unused, stored(restorable, "restorable"), found.join(no_cuts, ["rid", "kind", "amount"], "left_anti"), top.select("rid", F.col("top").alias("amount")), options, evidence.summary_keys(printed["rows"]), flags.filter("unit_price_header").select("rid"), stored(fees, "fees"))
     audits.append(done["audit"])
-    settled, subs = stored(done["items"], "settled"), stored(done["options"], "subs")
+    settled, subs = stored_together((done["items"], "settled"), (done["options"], "subs"))
 
     out = verdicts(receipts, settled, base, done, counts, printed["totals"], lines)
     audits.append(out.filter("total_amount is distinct from _claim").select(*I.correction("total_amount", F.col("_claim"), F.col("total_amount"), "")[:4], F.when(F.col("total_amount").eqNullSafe(F.col("_label")), "ocr_layout").otherwise("reconciled").alias("reason")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 
@@ -23,3 +25,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """``stored`` for tables that don't need each other: their jobs run at the same time, so small ones don't leave the
+    cluster idle while the next is planned."""
+    if not tables:
+        return []
+    spark = tables[0][0].sparkSession
+    with ThreadPoolExecutor(min(4, len(tables))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda t: stored(*t)), tables))

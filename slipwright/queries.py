@@ -13,7 +13,7 @@ from slipwright.functions import labels as L
 from slipwright.functions import money as M
 from slipwright.functions import names as N
 from slipwright.operators import layout
-from slipwright.plans.storage import stored
+from slipwright.plans.storage import stored, stored_together
 from slipwright.sources import adapter as A
 
 QUERIES: dict = {}
@@ -678,8 +678,10 @@ def _merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The merge of a folder, run once in a session and written to the shared folder."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _merges:
-        merged = jobs.merge(A.ocr_lines(spark, sf_dir), A.vlm_responses(spark, sf_dir), today="2024-06-01")
-        _merges[key] = {k: stored(merged[k], k) for k in ("receipts", "items", "options", "corrections")}
+        lines, responses = stored_together((A.ocr_lines(spark, sf_dir), "lines"), (A.vlm_responses(spark, sf_dir), "responses"))
+        merged = jobs.merge(lines, responses, today="2024-06-01")
+        wanted = ("receipts", "items", "options", "corrections")
+        _merges[key] = dict(zip(wanted, stored_together(*[(merged[k], k) for k in wanted])))
     return _merges[key]
 
 
