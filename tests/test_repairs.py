@@ -37,6 +37,14 @@ def test_names(spark):
     assert got == {1: ("참치김밥 2줄", "confusion_swap"), 2: ("구운란", "vlm_ocr_agree"), 3: ("참치김밥", "original_plausible"), 4: ("A-1", "too_short"), 5: (None, "too_short"), 6: ("고추장", "confusion_swap")}
 
 
+def test_names_of_options(spark):
+    words = spark.createDataFrame([("참치", 5.0), ("김밥", 5.0)], "word string, score double")
+    names = spark.createDataFrame([("r", 1, 0, "참치김밥"), ("r", 1, 1, "잠치김밥"), ("r", 2, 0, None)], "rid string, item_no int, sub_no int, name string")
+    lines = spark.createDataFrame([], "rid string, line_no int, text string")
+    audit = lexicon.name_audit(lexicon.repair_names(names, lines, words, key=("rid", "item_no", "sub_no"))).collect()
+    assert [tuple(a) for a in audit] == [("r", "item.sub_items.name", "잠치김밥", "참치김밥", "name_repaired")]
+
+
 def test_slant(spark):
     data = []
     for row in range(5):
@@ -104,7 +112,7 @@ def test_wraps_marks_and_fees(spark):
     assert (1, "텀블러", 0) in subs_of(subs)
 
 
-@pytest.mark.parametrize("name", ["printed_dates", "dates_repaired", "names_repaired", "names_unwrapped", "option_discounts_folded", "marked_lines_demoted", "fees_taken", "options_promoted", "options_reassigned", "items_demoted", "options_attached", "quads_boxed"])
+@pytest.mark.parametrize("name", ["printed_dates", "dates_repaired", "names_repaired", "names_audited", "names_unwrapped", "option_discounts_folded", "marked_lines_demoted", "fees_taken", "options_promoted", "options_reassigned", "items_demoted", "options_attached", "quads_boxed"])
 def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
 
