@@ -56,6 +56,14 @@ def as_won(value: Column, read_text: bool = True) -> Column:
     return F.when(kind == "STRING", text if read_text else F.lit(0)).when(kind.isin("BOOLEAN", "VOID"), 0).when(finite, number.cast("bigint")).otherwise(0).cast("bigint").alias("won")
 
 
+def number_or_none(value: Column) -> Column:
+    """Whole won of a VARIANT leaf that is a finite number, 0 included; anything else is null."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    stated = kind.isNotNull() & ~kind.isin("STRING", "BOOLEAN", "VOID") & ~F.isnan(number) & (F.abs(number) < 9.2e18)
+    return F.when(stated, number.cast("bigint"))
+
+
 def tax_split(total: Column) -> Column:
     """Tax and net amounts that shops print for a total, by floor, ceiling and half-even rounding."""
     low = F.floor(total / 11).cast("bigint")

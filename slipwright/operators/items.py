@@ -11,6 +11,8 @@ from slipwright.functions import money as M
 from slipwright.functions import names as N
 
 CORRECTION = ["rid", "field", "before", "after", "reason"]
+#: Numbers of lines that print adds to the model's list: recovered at once, or restored by the balance.
+RECOVERED, RESTORED = 1_000_000_000, 1_500_000_000
 
 
 def correction(field: str, before: Column, after: Column, reason: str) -> list[Column]:
@@ -112,20 +114,81 @@ def scale_unit_prices(items: DataFrame, layout_price: str = "layout_price") -> t
 
 
 def match_items(seen: DataFrame, printed: DataFrame) -> DataFrame:
-    """(rid, p_no, v_no): each printed item in order takes the first free item of the model, by the best reason (J2):
-    same Hangul, matching name, equal price. Greedy with claims, so a fold over the printed items of a receipt.
+    """(rid, p_no, v_no, again): the item of the model that each printed item goes with (J2), by a fold over the printed
+    items of a receipt in order.
+
+    A printed item with a name takes the first item that none before it took, by the best reason: same Hangul, matching
+    name, equal price where no printed name matches that item. If there is none, it is taken for another line of an item
+    that was taken before (``again``): the first of a matching name, else the first of equal price. A printed item
+    without a name goes by price alone, to items that no printed name matches, and only such lines count as taken for it.
 
     ``seen``: (rid, item_no, name, price) of the model; ``printed``: the same of the layout, summary lines left out.
     """
     v = seen.select("rid", F.col("item_no").cast("int").alias("v_no"), F.col("name").alias("v_name"), F.col("price").alias("v_price"))
-    p = printed.filter(~L.summary_line(F.col("name"))).select("rid", F.col("item_no").cast("int").alias("p_no"), F.col("name").alias("p_name"), F.col("price").alias("p_price"))
-    same = N.same_hangul(F.col("v_name"), F.col("p_name"))
-    reason = F.when(same, 1).when(N.names_match(F.col("v_name"), F.col("p_name")), 2).when(F.col("v_price") == F.col("p_price"), 3)
+    summary_line = F.coalesce(L.summary_line(F.col("name")), F.lit(False))
+    p = printed.filter(~summary_line).select("rid", F.col("item_no").cast("int").alias("p_no"), F.col("name").alias("p_name"), F.col("price").alias("p_price"))
+    same, equal = N.same_hangul(F.col("v_name"), F.col("p_name")), F.coalesce(F.col("v_price") == F.col("p_price"), F.lit(False))
+    reason = F.when(same, 1).when(N.names_match(F.col("v_name"), F.col("p_name")), 2).when(equal, 3)
     pairs = v.join(p, "rid").withColumn("why", reason).filter("why is not null")
-    # an equal price is no reason for an item that some name matches
-    named = Window.partitionBy("rid", "v_no")
-    pairs = pairs.withColumn("_named", F.min("why").over(named)).filter("why < 3 or _named = 3")
-    return greedy(pairs)
+    by_name = F.min("why").over(Window.partitionBy("rid", "v_no")) < 3
+    wish = F.struct(F.when((F.col("why") == 3) & by_name, 4).otherwise(F.col("why")).alias("why"), "v_no")
+    wishes = pairs.select("rid", "p_no", (F.coalesce("p_name", F.lit("")) != "").alias("named"), wish.alias("w"))
+    lists = wishes.groupBy("rid", "p_no", "named").agg(F.array_sort(F.collect_list("w")).alias("wishes"))
+    lists = lists.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("p_no", "named", "wishes"))).alias("all"))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("taken"), none.alias("nameless"), F.array().cast("array<struct<p_no:int,v_no:int,again:boolean>>").alias("pairs"))
+    least = lambda wishes: F.array_min(F.transform(wishes, lambda w: w["v_no"]))
+
+    def claim(acc: Column, one: Column) -> Column:
+        taken = F.when(one["named"], acc["taken"]).otherwise(acc["nameless"])
+        first = F.get(F.filter(one["wishes"], lambda w: (w["why"] < 4) & ~F.array_contains(taken, w["v_no"])), 0)["v_no"]
+        other = F.when(one["named"], F.coalesce(least(F.filter(one["wishes"], lambda w: w["why"] < 3)), least(one["wishes"])))
+        pick = F.coalesce(first, other)
+        grown = lambda name, here: F.when(here & pick.isNotNull(), F.array_union(acc[name], F.array(pick))).otherwise(acc[name]).alias(name)
+        pair = F.struct(one["p_no"].alias("p_no"), pick.alias("v_no"), first.isNull().alias("again"))
+        return F.struct(grown("taken", one["named"]), grown("nameless", ~one["named"]), F.when(pick.isNotNull(), F.concat(acc["pairs"], F.array(pair))).otherwise(acc["pairs"]).alias("pairs"))
+
+    return lists.select("rid", F.explode(F.aggregate("all", start, claim, lambda acc: acc["pairs"])).alias("m")).select("rid", "m.p_no", "m.v_no", "m.again")
+
+
+def partners(seen: DataFrame, printed: DataFrame, matches: DataFrame) -> DataFrame:
+    """(rid, item_no, pos, layout_price, price_line, discount, discounts, discount_line): what the printed items of an
+    item say, one row an item. Its place is that of the first; the price, to hold against the model's, is that of the
+    last with a matching name; the discount is the first there is.
+
+    ``printed``: (rid, p_no, name, price, discount, discounts)."""
+    rows = matches.select("rid", "p_no", F.col("v_no").alias("item_no")).join(seen.select("rid", "item_no", F.col("name").alias("_v")), ["rid", "item_no"]).join(printed.select("rid", "p_no", "name", "price", "discount", "discounts"), ["rid", "p_no"])
+    sure = F.coalesce(N.names_match(F.col("_v"), F.col("name")) & (F.col("price") > 0), F.lit(False))
+    priced = F.max(F.when(sure, F.struct("p_no", "price"))).alias("_priced")
+    cut = F.min(F.when(F.coalesce("discount", F.lit(0)) != 0, F.struct("p_no", "discount", "discounts"))).alias("_cut")
+    out = rows.groupBy("rid", "item_no").agg(F.min("p_no").cast("int").alias("pos"), priced, cut)
+    return out.select("rid", "item_no", "pos", F.col("_priced.price").alias("layout_price"), F.col("_priced.p_no").alias("price_line"), "_cut.discount", "_cut.discounts", F.col("_cut.p_no").alias("discount_line"))
+
+
+def renumbered(items: DataFrame, options: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, options) with items numbered from 1 in the order of their numbers; options of other items go."""
+    rows = items.withColumn("_new", F.row_number().over(Window.partitionBy("rid").orderBy("item_no")))
+    subs = options.join(rows.select("rid", "item_no", "_new"), ["rid", "item_no"]).withColumn("item_no", F.col("_new")).select(*options.columns)
+    return rows.withColumn("item_no", F.col("_new")).select(*items.columns), subs
+
+
+def in_order(items: DataFrame) -> DataFrame:
+    """``items`` with their place ``seq`` on the list (S4, E15): the model's lines in its order, then those recovered from
+    print in theirs, as their numbers say; a restored line stands behind the last line of the list that is printed above
+    it, or first if none is, or last if its own place is unknown. Restored lines go in by the order of print, so that
+    each sees those before it: a fold over them, with the list as its state."""
+    restored = F.col("item_no") >= RESTORED
+    entry = F.struct("item_no", F.col("pos").cast("int").alias("pos"))
+    lists = items.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(~restored, entry))).alias("list"), F.array_sort(F.collect_list(F.when(restored, F.struct(F.coalesce(F.col("pos").cast("int"), F.lit(1 << 30)).alias("at"), "item_no")))).alias("back"))
+
+    def insert(done: Column, one: Column) -> Column:
+        above = F.array_max(F.transform(done, lambda x, k: F.when(x["pos"] < one["at"], k + 1)))
+        place = F.when(one["at"] == 1 << 30, F.size(done)).otherwise(F.coalesce(above, F.lit(0)))
+        new = F.struct(one["item_no"].alias("item_no"), F.when(one["at"] < 1 << 30, one["at"]).alias("pos"))
+        return F.concat(F.slice(done, F.lit(1), place), F.array(new), F.slice(done, place + 1, F.size(done)))
+
+    placed = lists.select("rid", F.posexplode(F.aggregate("back", F.col("list"), insert)).alias("seq", "x")).select("rid", F.col("x.item_no").alias("item_no"), (F.col("seq") + 1).alias("seq"))
+    return items.join(placed, ["rid", "item_no"])
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -153,5 +216,6 @@ def unmatched(printed: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def summary(corrections: DataFrame) -> DataFrame:
-    """(reason, n, receipts) of an audit table."""
-    return corrections.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("rid").alias("receipts"))
+    """(field, reason, n, receipts) of an audit table, with sums over the reasons of a field and over all (E20): there
+    reason, or both, are null."""
+    return corrections.rollup("field", "reason").agg(F.count("*").alias("n"), F.count_distinct("rid").alias("receipts"))

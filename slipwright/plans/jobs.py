@@ -37,9 +37,10 @@ def read_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_answers(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(receipts, items, options) of the model's reading, receipts with its own ``delivery_fee``. JSON is parsed once."""
+    """(receipts, items, options) of the model's reading, receipts with its own ``delivery_fee``. JSON is parsed once. A
+    ``total_amount`` that is no number is null, which is not the same as 0 (E16)."""
     parsed = stored(parsed_responses(responses), "parsed")
-    receipts = parsed.select("rid", "ok", "error", F.col("vlm.store_name").alias("store_name"), F.col("vlm.payment_method").alias("payment_method"), F.col("vlm.purchased_at").alias("purchased_at"), M.as_won(F.col("vlm.total_amount")).alias("total_amount"), M.as_won(F.col("vlm.delivery_fee")).alias("delivery_fee"))
+    receipts = parsed.select("rid", "ok", "error", F.col("vlm.store_name").alias("store_name"), F.col("vlm.payment_method").alias("payment_method"), F.col("vlm.purchased_at").alias("purchased_at"), M.number_or_none(F.col("vlm.total_amount")).alias("total_amount"), M.as_won(F.col("vlm.delivery_fee")).alias("delivery_fee"))
     receipts = receipts.withColumns({c: L.without_placeholder(c) for c in ("store_name", "payment_method", "purchased_at")})
     text = lambda c: F.try_variant_get(c, "$", "string").alias("name")
     one = parsed.filter("ok").select("rid", F.posexplode("vlm.items").alias("at", "i")).filter("i is not null")
@@ -75,7 +76,8 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     names, names, hierarchy against print, missed lines, unit prices, marks, discounts), then the balance of what is
     left with the amount paid. Tables are written to the shared folder between groups of steps. ``today``: dates are
     judged as of that day (none: they stay); ``lexicon``: names are repaired by these words and scores (none: not).
-    Receipts with a negative total are refunds and are left as they are. An unread answer has no items.
+    Receipts with a negative total are refunds: from the balance on their items, options and discount go round every step
+    and are left as they are (P10). An unread answer has no items.
     """
     printed = read_layout(lines)
     audits = [printed["oversized"].select(*I.correction("ocr_lines", F.col("n"), F.lit("(not laid out)"), "too_many_boxes"))]
@@ -124,30 +126,34 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     options, a = O.attach_options(seen, options, matches, shown, below)
     options, a = stored_together((options, "options"), (a, "audit"))
     audits.append(a)
-    partner = matches.join(shown.select("rid", "p_no", F.col("name").alias("_p_name"), F.col("price").alias("_p_price"), F.col("discount").alias("_p_discount"), F.col("discounts").alias("_cuts")), ["rid", "p_no"])
-    partner = partner.withColumnRenamed("v_no", "item_no")
-    mine = seen.join(partner, ["rid", "item_no"], "left")
-    sure = N.names_match(F.col("name"), F.col("_p_name")) & (F.col("_p_price") > 0)
-    mine = mine.select("rid", "item_no", "name", "quantity", "price", F.coalesce("_p_discount", _zero()).alias("discount"), F.coalesce(F.when(sure, F.col("_p_price")), _zero()).alias("layout_price"), F.lit(False).alias("from_ocr"), F.col("p_no").alias("pos"))
+    partner = I.partners(seen, shown, matches)
+    mine = seen.drop("discount").join(partner, ["rid", "item_no"], "left")
+    mine = mine.select("rid", "item_no", "name", "quantity", "price", F.coalesce("discount", _zero()).alias("discount"), F.coalesce("layout_price", _zero()).alias("layout_price"), F.lit(False).alias("from_ocr"), "pos")
     missing = I.unmatched(lines_of, matches)
+    if lexicon is not None:  # lines that the model missed are repaired too, without an audit row of their own
+        missing = stored(missing, "missing")
+        better = X.repair_names(missing.select("rid", "item_no", "name"), sure, lexicon, key=("rid", "item_no")).filter("changed").select("rid", "item_no", "corrected")
+        missing = missing.join(better, ["rid", "item_no"], "left").withColumn("name", F.coalesce("corrected", "name")).drop("corrected")
+    missing = stored(missing, "missing")
     back = missing.filter("recovered")
     audits.append(back.select(*I.correction("items", F.lit("(missed by the model)"), F.col("name"), "ocr_recovered")))
-    new = back.select("rid", (1000 + F.col("item_no")).cast("int").alias("item_no"), "name", "quantity", "price", "discount", F.col("price").alias("layout_price"), F.lit(True).alias("from_ocr"), F.col("item_no").alias("pos"))
+    number = (F.lit(I.RECOVERED) + F.col("item_no")).cast("int").alias("item_no")
+    new = back.select("rid", number, "name", "quantity", "price", "discount", F.col("price").alias("layout_price"), F.lit(True).alias("from_ocr"), F.col("item_no").cast("int").alias("pos"))
     answered = receipts.filter("ok").select("rid")
     full = stored(mine.unionByName(new.join(answered, "rid", "left_semi")), "full")
-    more = back.select("rid", (1000 + F.col("item_no")).cast("int").alias("item_no"), F.posexplode("options").alias("k", "o")).filter("o.price is not null").select("rid", "item_no", (F.col("k") + 1).alias("sub_no"), "o.name", "o.price")
+    more = back.select("rid", number, F.posexplode("options").alias("k", "o")).filter("o.price is not null").select("rid", "item_no", (F.col("k") + 1).alias("sub_no"), "o.name", "o.price")
     options = options.unionByName(more.join(answered, "rid", "left_semi"))
 
     # unit prices, marks, discounts among options
     line = F.col("price") * F.col("quantity")
     fits = F.coalesce(F.col("quantity").between(2, 50) & (F.col("price") > 0) & (F.col("layout_price") == line), F.lit(False))
     scaled = full.filter(fits).select("rid", "item_no", "quantity")
-    options = O.scale_option_prices(options, scaled, below.join(partner.select("rid", "p_no", "item_no"), ["rid", "p_no"]).select("rid", "item_no", "price"))
+    options = O.scale_option_prices(options, scaled, below.join(partner.select("rid", F.col("price_line").alias("p_no"), "item_no"), ["rid", "p_no"]).select("rid", "item_no", "price"))
     fixed, a = I.scale_unit_prices(full.withColumn("price_is_line", fits))
     fixed, options, b = O.demote_marked(fixed, stored(options, "options"))
     fixed, options, a, b = stored_together((fixed, "fixed"), (options, "options"), (a, "audit"), (b, "audit"))
     audits += [a, b]
-    counted = partner.select("rid", "item_no", F.explode("_cuts").alias("amount")).groupBy("rid", "item_no", "amount").agg(F.count("*").alias("n"))
+    counted = partner.select("rid", "item_no", F.explode("discounts").alias("amount")).groupBy("rid", "item_no", "amount").agg(F.count("*").alias("n"))
     fixed, options, told, a = O.fold_discounts(fixed, options, counted)
     fixed, options, told, a = stored_together((fixed, "fixed"), (options, "options"), (told, "told"), (a, "audit"))
     audits.append(a)
@@ -155,25 +161,27 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     top = answered.join(printed["discounts"].select("rid", "summary_discount"), "rid", "left").join(told.select("rid", F.col("amount").alias("_told")), "rid", "left").join(items_off, "rid", "left")
     top = stored(top.select("rid", F.greatest(_zero(), F.greatest(F.coalesce("summary_discount", _zero()), F.coalesce("_told", _zero())) - F.coalesce("_items", _zero())).alias("top")), "top")
 
-    # the balance, but of refunds
-    refunds = receipts.filter("total_amount < 0").select("rid")
+    # the balance; refunds go round it
+    refunds = stored(receipts.filter("total_amount < 0").select("rid"), "refunds")
+    refunded, refunded_options, refunded_top = (t.join(refunds, "rid", "left_semi") for t in (fixed, options, top))
+    fixed, options, top = (t.join(refunds, "rid", "left_anti") for t in (fixed, options, top))
     kept, a = I.drop_label_rows(fixed)
     options, b = I.drop_label_options(options.join(kept.select("rid", "item_no"), ["rid", "item_no"], "left_semi"))
     had = kept.filter("discount > 0").select("rid", F.col("discount").alias("amount")).union(top.filter("top > 0").select("rid", F.col("top").alias("amount")))
     kept, cuts, c = I.without_negatives(kept, options, had.groupBy("rid", "amount").agg(F.count("*").alias("n")))
     top = top.join(cuts, "rid", "left").select("rid", (F.col("top") + F.coalesce("amount", _zero())).alias("top"))
     flags = evidence.flags(printed["rows"], lines).join(evidence.stray_fees(printed["rows"]), "rid", "left")
-    balanced = lambda rows: (rows.join(refunds, "rid", "left_anti"), "audit")
-    kept, options, top, flags, a, b, c = stored_together((kept, "kept"), (options, "options"), (top, "top"), (flags, "flags"), balanced(a), balanced(b), balanced(c))
+    kept, options, top, flags, a, b, c = stored_together((kept, "kept"), (options, "options"), (top, "top"), (flags, "flags"), (a, "audit"), (b, "audit"), (c, "audit"))
     kept, options, d = O.demote_printed(kept, options, printed["rows"], flags.filter("delivery").select("rid"))
-    kept, options, d = stored_together((kept, "kept"), (options, "options"), balanced(d))
+    kept, options, d = stored_together((kept, "kept"), (options, "options"), (d, "audit"))
     audits += [a, b, c, d]
     with_sums = lambda rows: rows.join(_sum_of_options(options), ["rid", "item_no"], "left").withColumn("options", F.coalesce("options", _zero()))
     claims = receipts.filter("ok").select("rid", "total_amount").join(refunds, "rid", "left_anti")
     counts, found, claims = stored_together((evidence.amount_counts(printed["rows"]), "counts"), (evidence.evidence(printed["rows"]), "evidence"), (claims, "claims"))
     candidates = stored(evidence.paid_candidates(found, counts, printed["totals"], claims).join(claims.select("rid"), "rid", "left_semi"), "candidates")
     totals = candidates.filter("tier < 2").select("rid", F.col("value").alias("amount"))
-    whole = stored(I.drop_total_echoes(with_sums(kept), totals), "whole")
+    whole, options = I.renumbered(I.drop_total_echoes(with_sums(kept), totals), options)
+    whole, options = stored_together((whole, "whole"), (options, "options"))
     used = whole.filter("discount > 0").select("rid", F.col("discount").alias("amount")).union(top.filter("top > 0").select("rid", F.col("top").alias("amount")))
     unused = stored(evidence.unused_discounts(found, used), "unused")
     worth = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
@@ -186,34 +194,39 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     fees = fees.select("rid", F.col("fee_unread").alias("unread"), F.when(F.col("delivery"), F.coalesce("stray", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")).alias("stray"))
     done = reconcile(whole, base.select("rid", "computed", "top"), candidates, counts, unused, stored(restorable, "restorable"), found.join(no_cuts, ["rid", "kind", "amount"], "left_anti"), top.select("rid", F.col("top").alias("amount")), options, evidence.summary_keys(printed["rows"]), flags.filter("unit_price_header").select("rid"), stored(fees, "fees"))
     audits.append(done["audit"])
-    settled, subs = stored_together((done["items"], "settled"), (done["options"], "subs"))
-
-    out = verdicts(receipts, settled, base, done, counts, printed["totals"], lines)
-    audits.append(out.filter("total_amount is distinct from _claim").select(*I.correction("total_amount", F.col("_claim"), F.col("total_amount"), "")[:4], F.when(F.col("total_amount").eqNullSafe(F.col("_label")), "ocr_layout").otherwise("reconciled").alias("reason")))
+    sums = refunded_options.groupBy("rid", "item_no").agg(F.sum(F.coalesce("price", _zero())).alias("options"))
+    refunded = refunded.join(sums, ["rid", "item_no"], "left").withColumn("options", F.coalesce("options", _zero()))
+    settled = done["items"].unionByName(refunded.select(*[F.col(f.name).cast(f.dataType) for f in done["items"].schema.fields]))
+    settled, subs = stored_together((I.in_order(settled), "settled"), (done["options"].unionByName(refunded_options.select(*done["options"].columns)), "subs"))
+
+    extras = top.unionByName(refunded_top).join(fee, "rid", "left")
+    out = verdicts(receipts, settled, extras, done, counts, printed["totals"], lines)
+    audits.append(out.filter("total_amount is distinct from _claim").select(*I.correction("total_amount", F.coalesce(F.col("_claim").cast("string"), F.lit("null")), F.col("total_amount"), "")[:4], F.when(F.col("total_amount").eqNullSafe(F.col("_label")), "ocr_layout").otherwise("reconciled").alias("reason")))
     audit = reduce(DataFrame.unionByName, audits)
     result = out.drop("_claim", "_label")
     return {"receipts": result, "items": settled, "options": subs, "corrections": audit, "edits": done["edits"], "solutions": done["solutions"]}
 
 
-def verdicts(receipts: DataFrame, items: DataFrame, base: DataFrame, done: dict[str, DataFrame], counts: DataFrame, totals: DataFrame, lines: DataFrame) -> DataFrame:
-    """Receipts with total, discount, fee and what is verified.
+def verdicts(receipts: DataFrame, items: DataFrame, extras: DataFrame, done: dict[str, DataFrame], counts: DataFrame, totals: DataFrame, lines: DataFrame) -> DataFrame:
+    """Receipts with total, discount, fee and what is verified (E16, P9). ``extras``: (rid, top, delivery_fee).
 
     A balanced total is verified if print says it: a label or a repeated amount, or its amount stands in more rows than
     items have it. A receipt that doesn't balance falls back on the total label: equal to the model's total, or to the
-    sum of the items, or where the model has none; without a label the model's total must be printed, and no larger
-    amount repeated. Items are verified if the total is, each line is worth something, and the equation holds.
+    sum of the items, or where the model says none; without a label the model's total must be printed, and no larger
+    amount repeated. A total of 0 is one that the model says, like any other. Items are verified if the total is, each
+    line is worth something, and the equation holds.
     """
     worth = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
     sums = items.groupBy("rid").agg(F.count("*").alias("n_items"), F.sum(worth).alias("_sum"), F.bool_and(worth > 0).alias("_positive"))
     out = receipts.select("rid", "ok", "error", "store_name", "purchased_at", "payment_method", F.when(F.col("ok"), F.col("total_amount")).alias("_claim"))
-    out = out.join(done["solutions"].select("rid", "paid", "tier", "edit_ids"), "rid", "left").join(done["changes"], "rid", "left").join(base.drop("computed").withColumnRenamed("delivery_fee", "_fee"), "rid", "left").join(sums, "rid", "left")
-    out = out.join(totals.select("rid", F.when(F.col("total_amount") != 0, F.col("total_amount")).alias("_label")), "rid", "left")
+    out = out.join(done["solutions"].select("rid", "paid", "tier", "edit_ids"), "rid", "left").join(done["changes"], "rid", "left").join(extras.select("rid", "top", F.col("delivery_fee").alias("_fee")), "rid", "left").join(sums, "rid", "left")
+    out = out.join(totals.select("rid", F.col("total_amount").alias("_label")), "rid", "left")
     priced = items.join(done["solutions"].select("rid", "paid"), "rid").filter("price = paid").groupBy("rid").agg(F.count("*").alias("_same"))
     out = out.join(priced, "rid", "left").join(counts.select("rid", F.col("amount").alias("paid"), F.col("n").alias("_printed")), ["rid", "paid"], "left")
     larger = evidence.repeated(counts).groupBy("rid").agg(F.max("amount").alias("_repeated"))
     stands = lines.select("rid", F.explode(M.numbers_in(F.col("text"))).alias("_claim")).distinct().withColumn("_stands", F.lit(True))
     out = out.join(larger, "rid", "left").join(stands, ["rid", "_claim"], "left")
-    zero, label, claim = _zero(), F.col("_label"), F.when(F.col("_claim") != 0, F.col("_claim"))
+    zero, label, claim = _zero(), F.col("_label"), F.col("_claim")
     discount = F.greatest(zero, F.coalesce("top", zero) + F.coalesce("added_discount", zero) - F.coalesce("moved_discount", zero))
     fee = F.coalesce("_fee", zero) + F.coalesce("added_fee", zero)
     out = out.withColumns({"discount": discount, "delivery_fee": fee})
@@ -235,8 +248,7 @@ def envelopes(merged: dict[str, DataFrame], pipeline: dict[str, str] | None = No
     options = merged["options"].groupBy("rid", "item_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub_no", "name", "price"))), lambda o: F.struct(o["name"].alias("name"), o["price"].alias("price"))).alias("sub_items"))
     none = F.array().cast("array<struct<name:string,price:bigint>>")
     items = merged["items"].drop("options").join(options, ["rid", "item_no"], "left")
-    place = F.coalesce("pos", F.when(F.col("from_ocr"), F.lit(1_000_000)).otherwise(F.col("item_no"))).cast("int").alias("at")
-    one = F.struct(place, "item_no", "name", "quantity", "price", "discount", F.coalesce("sub_items", none).alias("sub_items"))
+    one = F.struct("seq", "name", "quantity", "price", "discount", F.coalesce("sub_items", none).alias("sub_items"))
     lists = items.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(one)), lambda i: F.struct(*[i[c].alias(c) for c in ("name", "quantity", "price", "discount", "sub_items")])).alias("items"))
     audit = merged["corrections"].groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("field", "before", "after", "reason"))).alias("corrections"))
     out = merged["receipts"].join(lists, "rid", "left").join(audit, "rid", "left")

@@ -13,6 +13,7 @@ from slipwright.functions import labels as L
 from slipwright.functions import money as M
 from slipwright.functions import names as N
 from slipwright.operators import layout
+from slipwright.plans import accuracy as C
 from slipwright.plans.storage import stored, stored_together
 from slipwright.sources import adapter as A
 
@@ -678,7 +679,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The merge of a folder, run once in a session and written to the shared folder."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _merges:
-        lines, responses = stored_together((A.ocr_lines(spark, sf_dir), "lines"), (A.vlm_responses(spark, sf_dir), "responses"))
+        lines, responses = stored_together((A.ocr_lines(spark, sf_dir), "lines"), (A.answers(spark, sf_dir), "responses"))
         merged = jobs.merge(lines, responses, today="2024-06-01")
         wanted = ("receipts", "items", "options", "corrections")
         _merges[key] = dict(zip(wanted, stored_together(*[(merged[k], k) for k in wanted])))
@@ -704,18 +705,16 @@ def corrections_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many verified receipts have the true total, and the true sum of items, and how many printed options were
-    found (E21). Lines printed with an option mark are options in truth."""
+    """Measures of the merge against the true receipts (E21). Lines printed with an option mark are options in truth;
+    refunds are left out."""
     merged = _merged(spark, sf_dir)
     rid, k = F.col("rid"), F.col("item_no")
-    items = A.items(spark, sf_dir).withColumn("_option", ((rid * 3 + k) % 7 == 0) & (k > 1))
-    truth = items.groupBy("rid").agg(F.sum(F.col("price") - F.col("discount")).alias("_net"), F.count_if("_option").alias("true_options"))
-    totals = A.totals(spark, sf_dir).select("rid", "fee", "printed_total")
-    got = merged["items"].groupBy("rid").agg(F.sum(M.line_total(F.col("price"), F.col("options"), F.col("discount"))).alias("_got"))
-    wanted = items.filter("_option").select("rid", "price").join(merged["options"].select("rid", "price").distinct(), ["rid", "price"], "left_semi").groupBy("rid").agg(F.count("*").alias("_found"))
-    rows = merged["receipts"].join(truth, "rid", "left").join(totals, "rid", "left").join(got, "rid", "left").join(wanted, "rid", "left")
-    right = F.coalesce(F.col("_got") - F.col("discount") + F.col("delivery_fee") == F.col("_net") + F.col("fee"), F.lit(False))
-    return rows.groupBy("items_verified").agg(F.count("*").alias("receipts"), F.count_if(F.col("total_amount") == F.col("printed_total")).alias("right_totals"), F.count_if(right).alias("right_sums"), F.sum("true_options").alias("options"), F.coalesce(F.sum("_found"), F.lit(0)).alias("found_options"), F.sum("n_edits").alias("edits"))
+    items = A.items(spark, sf_dir).filter(rid % A.REFUND != 0)
+    wanted = items.filter(((rid * 3 + k) % 7 == 0) & (k > 1)).select("rid", "name", "price")
+    net = items.groupBy("rid").agg(F.sum(F.col("price") - F.col("discount")).alias("_net"))
+    truth = A.totals(spark, sf_dir).join(net, "rid").select("rid", F.col("printed_total").alias("total_amount"), (F.col("_net") + F.col("fee")).alias("net"))
+    sold = merged["receipts"].filter(rid % A.REFUND != 0)
+    return C.measures(C.by_receipt(sold, merged["items"], merged["options"].join(sold.select("rid"), "rid", "left_semi"), truth, wanted))
 
 
 @query(f"""WITH {ITEMS} SELECT rid, CAST(printed_total AS BIGINT) AS plain_total, CAST(printed_total - CASE WHEN rid % 7 = 0 THEN 500 ELSE 0 END AS BIGINT) AS tilted_total, rid % 2 = 0 AS plain_verified, rid % 3 = 0 AS tilted_verified, 0 AS plain_edits, 1 AS tilted_edits,

@@ -20,6 +20,8 @@ LABELS = [
     "부가세(VAT):", "면세물품", "총액", "샷추가: 1샷", "와우 무료배달", "배달팁(기본)", "- 샷추가", "+치즈", "001 몬스터", "옵션 면추가", "직원 에누리20%", "D/C 행사", "키 류: 삼성카드", "배달팁", "거자이체", "02) 국산콩", "배달비:", "특매 -",
 ]
 FEE = 3000
+#: Every so many receipts one is a refund, in ``answers``.
+REFUND = 29
 OCR = "rid bigint, line_no int, text string, confidence double, x1 int, y1 int, x2 int, y2 int"
 
 
@@ -107,6 +109,20 @@ def vlm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("rid", F.when(rid % 23 == 0, F.substring(json, 1, 25)).otherwise(fenced).alias("raw"))
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rid, raw): ``vlm_responses`` with more kinds of receipts: every 29th is a refund (its prices and total are below
+    0), every 31st has no total, every 37th a total of 0, and every sixth lists its lines from the last to the first."""
+    rid = F.col("rid")
+    kind = F.when(rid % REFUND == 0, "refund").when(rid % 31 == 0, "none").when(rid % 37 == 0, "zero")
+    below = F.regexp_replace(F.regexp_replace("raw", r'"price":([1-9])', r'"price":-$1'), r'"total_amount":([1-9])', r'"total_amount":-$1')
+    total = r'"total_amount":-?[0-9]+'
+    changed = F.when(kind == "refund", below).when(kind == "none", F.regexp_replace("raw", total, '"total_amount":null')).when(kind == "zero", F.regexp_replace("raw", total, '"total_amount":0')).otherwise(F.col("raw"))
+    listed = F.regexp_extract_all(F.col("raw"), F.lit(r'\{"name":[^{}]*\}'), F.lit(0))
+    turned = F.concat(F.regexp_extract("raw", r'^([^\[]*\[)', 1), F.array_join(F.reverse(listed), ","), F.regexp_extract("raw", r'(\][^\]]*)$', 1))
+    whole = F.col("raw").contains("total_amount") & (rid % 6 == 1) & kind.isNull()
+    return vlm_responses(spark, sf_dir).select("rid", F.when(whole, turned).otherwise(changed).alias("raw"))
+
+
 def claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rid, item_no, src_no, name, quantity, price, discount): what the model's JSON says, with the printed discount."""
     rid, k = F.col("rid"), F.col("item_no")

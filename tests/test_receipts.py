@@ -11,6 +11,7 @@ from slipwright.functions import money as M
 from slipwright.functions import names as N
 from slipwright.operators import layout
 from slipwright.operators import solve as S
+from slipwright.operators.items import RESTORED
 from slipwright.queries import ORACLES, QUERIES
 from slipwright.plans import jobs
 from slipwright.streaming import joins
@@ -139,7 +140,7 @@ def test_edits_add_up(spark):
     off = S.added_discounts(found, solutions)
     sums = after.groupBy("rid").agg(F.sum(line).alias("s")).join(off, "rid", "left").select("rid", F.col("s") - F.coalesce("added_discount", F.lit(0)))
     assert {r.rid: r.paid for r in solutions.collect()} == paid and {r[0]: r[1] for r in sums.collect()} == paid
-    assert {(r.item_no, r.name, r.from_ocr) for r in after.filter("rid = 'add'").collect()} == {(1, "참치김밥", False), (1004, "떡볶이", True)}
+    assert {(r.item_no, r.name, r.from_ocr) for r in after.filter("rid = 'add'").collect()} == {(1, "참치김밥", False), (RESTORED + 4, "떡볶이", True)}
 
 
 def test_discount_offers(spark):
