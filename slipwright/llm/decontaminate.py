@@ -35,6 +35,8 @@ from .common import free_names, stored, text_slices, texts_of
 N = 13
 ONE_IN = 20
 BLOCK_BYTES = 16 << 20
+#: Windows that are held as whole rows at a time.
+CHUNK = 100_000
 
 #: Byte by byte: A-Z to lower case, other ASCII but digits and letters to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -46,7 +48,10 @@ def words_of(text: str) -> list[bytes]:
 
 class Windows:
     """All windows of a block of benchmark items: their words as one array of numbers, and by window length the sorted
-    hashes with the place of each window in it."""
+    hashes of the distinct windows, where each stands in it, and the items that have it.
+
+    Equal windows are one, however many items share a passage or however often an item repeats a word, so a document's
+    word sequence is compared once."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int = N):
         self.vocabulary: dict[bytes, int] = {}
@@ -67,9 +72,17 @@ class Windows:
             starts = np.concatenate([np.arange(a, a + m - size + 1) for a, m, _ in found])
             owners = np.repeat(np.array([k for _, _, k in found], np.int32), [m - size + 1 for _, m, _ in found])
             views = np.lib.stride_tricks.sliding_window_view(self.words, size)
-            hashes = np.concatenate([self.hash(views[s].T) for s in np.array_split(starts, 1 + len(starts) // 100_000)])
+            hashes = np.concatenate([self.hash(views[s].T) for s in np.array_split(starts, 1 + len(starts) // CHUNK)])
             order = np.argsort(hashes, kind="stable")
-            self.sizes.append((size, hashes[order], starts[order].astype(np.int32), owners[order]))
+            hashes, starts, owners = hashes[order], starts[order], owners[order]
+            # a window is new if it isn't the one before; windows of one hash that differ may be listed more than once
+            same = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+            equal = [(views[starts[s]] == views[starts[s - 1]]).all(1) for s in np.array_split(same, 1 + len(same) // CHUNK)]
+            new = np.ones(len(hashes), bool)
+            new[same] = ~np.concatenate(equal)
+            window, owner = np.divmod(np.unique((np.cumsum(new) - 1) * len(self.names) + owners), len(self.names))
+            first = np.searchsorted(window, np.arange(int(new.sum()) + 1))
+            self.sizes.append((size, hashes[new], starts[new].astype(np.int32), first, owner.astype(np.int32)))
 
     def hash(self, columns: np.ndarray) -> np.ndarray:
         out = np.zeros(columns.shape[1], np.uint64)
@@ -85,29 +98,36 @@ class Windows:
             return [], set()
         edge = np.flatnonzero(np.diff(known) > 1)
         starts, ends = known[np.concatenate([[0], edge + 1])], known[np.concatenate([edge, [len(known) - 1]])] + 1
-        hits, items = [], set()
-        for size, hashes, places, owners in self.sizes:
+        opens, items = np.zeros(len(words) + 1, np.int64), []
+        for size, hashes, places, first, owners in self.sizes:
+            held = []
             for a, b in zip(starts[ends - starts >= size].tolist(), ends[ends - starts >= size].tolist()):
-                view = np.lib.stride_tricks.sliding_window_view(ids[a:b], size)
-                own = self.hash(view.T)
-                low = np.searchsorted(hashes, own)
-                for k in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own).tolist():
-                    first, last = int(low[k]), int(np.searchsorted(hashes, own[k], side="right"))
-                    same = (self.words[places[first:last, None] + np.arange(size)] == view[k]).all(1)
-                    if same.any():
-                        hits.append((a + k, a + k + size))
-                        items.update(self.names[j] for j in np.unique(owners[first:last][same]).tolist())
-        return united(hits), items
-
-
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+                for x in range(a, b - size + 1, CHUNK):
+                    at, windows = self._found(ids[x : min(b, x + CHUNK + size - 1)], size, hashes, places)
+                    np.add.at(opens, x + at, 1)
+                    np.add.at(opens, x + at + size, -1)
+                    held.append(np.unique(windows))
+            for w in np.unique(np.concatenate([np.zeros(0, np.int64), *held])).tolist():
+                items.append(owners[first[w] : first[w + 1]])
+        hit = np.concatenate([[False], np.cumsum(opens)[:-1] > 0, [False]])
+        turns = np.flatnonzero(hit[1:] != hit[:-1])
+        names = np.unique(np.concatenate(items)).tolist() if items else []
+        return list(zip(turns[::2].tolist(), turns[1::2].tolist())), {self.names[j] for j in names}
+
+    def _found(self, ids: np.ndarray, size: int, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` a window stands, and which: hashes nominate, words decide."""
+        view = np.lib.stride_tricks.sliding_window_view(ids, size)
+        own = self.hash(view.T)
+        low = np.searchsorted(hashes, own)
+        at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
+        low, found, which = low[at], [], []
+        while len(at):  # once, but for windows of one hash that differ
+            same = (self.words[places[low, None] + np.arange(size)] == view[at]).all(1)
+            found.append(at[same]), which.append(low[same])
+            low, more = low + 1, low + 1 < len(hashes)
+            more[more] = hashes[low[more]] == own[at[more]]
+            at, low = at[more], low[more]
+        return np.concatenate([np.zeros(0, np.int64), *found]), np.concatenate([np.zeros(0, np.int64), *which])
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
