@@ -34,7 +34,9 @@ from .common import ragged_take, sums_by_row, text_slices, texts_of
 
 CHUNK = 1 << 16
 ZONE = 1 << 11
-KEEP = 400_000
+#: What a worker's table of pieces may weigh, and an entry of it besides its piece and ids.
+KEEP_BYTES = 40 << 20
+ENTRY_BYTES = 250
 
 _loaded: dict = {}
 
@@ -51,14 +53,15 @@ def load(path: str, pattern: str):
 
 
 class PieceEncoder:
-    """Pre-tokenises by the pattern and encodes each distinct piece once."""
+    """Pre-tokenises by the pattern and encodes each distinct piece once; pieces that it has met weigh at most
+    ``keep_bytes``, and a piece beyond a hundredth of that isn't kept."""
 
-    def __init__(self, path: str, pattern: str, keep: int = KEEP):
+    def __init__(self, path: str, pattern: str, keep_bytes: int = KEEP_BYTES):
         import regex
 
         self.encoding = load(path, pattern)[0]
         self.pattern = regex.compile(pattern)
-        self.keep, self.known = keep, {}
+        self.keep_bytes, self.known, self.weight = keep_bytes, {}, 0
 
     def places(self, text: str) -> list[int]:
         """Where matches end that don't end with white space."""
@@ -73,9 +76,13 @@ class PieceEncoder:
         for piece in coded.dictionary.to_pylist():
             ids = self.known.get(piece)
             if ids is None:
-                if len(self.known) >= self.keep:
-                    self.known.clear()
-                ids = self.known[piece] = np.array(self.encoding.encode_ordinary(piece), "<i4").tobytes()
+                ids = np.array(self.encoding.encode_ordinary(piece), "<i4").tobytes()
+                weight = 4 * len(piece) + len(ids) + ENTRY_BYTES
+                if self.weight + weight > self.keep_bytes:
+                    self.known, self.weight = {}, 0
+                if 100 * weight <= self.keep_bytes:
+                    self.known[piece] = ids
+                    self.weight += weight
             found.append(ids)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         codes = coded.indices.to_numpy(zero_copy_only=False)
