@@ -49,6 +49,8 @@ CONTEXT = r"(?i)(?:(phone|tel|call|fax|mobile)|(card|visa|credit|account)|(mail|
 OWN_CONTEXT = {"phone": 1, "card": 2, "email": 3, "ip": 4, "secret": 5}
 N_CONTEXTS = 6
 CONTEXT_CHARS = 24
+#: Characters of a block of a text.
+BLOCK = 512
 PRECISION = 0.95
 FOLDS = 5
 
@@ -63,18 +65,35 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.char_length(gap).alias("gap")))
     both = F.filter(both, lambda x: x["m"].isNotNull())
-    none = F.lit(None).cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("done"), F.array().cast(_SPAN).alias("now"))
+    placed = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.char_length(x["m"])).alias("end"), x["m"].alias("found"))
+    lengths = lambda x: x["gap"] + F.char_length(x["m"])
+    places = F.flatten(F.transform(F.array(both), lambda b: F.zip_with(b, _running(F.transform(b, lengths), lambda x, y: x + y), placed)))
+    return F.coalesce(F.when(text.rlike(needs), places), F.array().cast(_SPAN))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        end = at + F.char_length(x["m"])
-        new = F.array(F.struct(at.alias("start"), end.alias("end"), x["m"].alias("found")))
-        full = F.size(acc["now"]) >= 256  # lists of lists: appending stays cheap for very many matches
-        return F.struct(end.alias("at"), F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(full, new).otherwise(F.concat(acc["now"], new)).alias("now"))
 
-    places = F.aggregate(both, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
-    return F.coalesce(F.when(text.rlike(needs), places), F.coalesce(none, F.array().cast(_SPAN)))
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _running(values: Column, combine) -> Column:
+    """For each place of an array of whole numbers its combination over all places before (0 at first). ``combine`` is
+    associative and 0 changes nothing. A fold copies its state at each step, so parts of 64 are folded apart, and their
+    totals between them."""
+
+    def fold(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("state"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, v: F.struct(combine(acc["state"], v).alias("state"), F.concat(acc["out"], F.array(acc["state"])).alias("out")), lambda acc: acc["out"])
+
+    def over(z: Column) -> Column:
+        totals = F.transform(z, lambda part: F.aggregate(part, F.lit(0), combine))
+        return F.flatten(F.zip_with(z, fold(totals, F.lit(0)), fold))
+
+    def parted(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int")), lambda k: F.slice(v, k * 64 + 1, F.lit(64)))
+        return F.when(F.size(v) > 0, cut).otherwise(F.array().cast("array<array<int>>"))
+
+    # an array that lambdas name is made once where it is an element of another
+    return F.flatten(F.transform(F.transform(F.array(values), parted), over))
 
 
 def _digits(found: Column) -> Column:
@@ -125,44 +144,85 @@ def _side(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).when(c.rlike(r"^\s$"), 1).when(c.rlike(r"^[\p{L}\p{N}_]$"), 2).when(c.rlike(r"^[\"'()\[\]]$"), 3).otherwise(4)
 
 
-def _described(text: Column, kind: int, spans: Column, base: bool) -> Column:
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text that is given in blocks: a substring of the whole text would
+    walk over all that comes before it."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, first), F.lit("")), F.when(last > first, F.coalesce(F.get(blocks, last), F.lit(""))).otherwise(F.lit("")))
+    part = F.when(last > first + 1, F.array_join(F.slice(blocks, first + 1, last - first + 1), "")).otherwise(two)
+    return F.substring(part, start - first * BLOCK + 1, end - start)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _described(blocks: Column, kind: int, spans: Column, base: bool) -> Column:
     """Candidates: spans of a base form or an extra generator, with their features and labels; base: it is of a base
     form that passes."""
+    low = lambda s: F.greatest(F.lit(0), s["start"] - CONTEXT_CHARS)
+    sided = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), _cut(blocks, low(s), s["start"]).alias("before"), _cut(blocks, s["end"], s["end"] + 1).alias("after")))
 
-    def describe(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT_CHARS + 1), F.least(F.lit(CONTEXT_CHARS), s["start"]))
+    def named(s: Column) -> Column:
         context = F.lit(0)
         for k in range(N_CONTEXTS, 0, -1):
-            context = F.when(F.regexp_extract(before, CONTEXT, k) != "", k).otherwise(context)
-        found = s["found"]
+            context = F.when(F.regexp_extract(s["before"], CONTEXT, k) != "", k).otherwise(context)
+        context = F.when(s["before"].rlike(CONTEXT), context).otherwise(F.lit(0))
+        return F.struct(*[s[c].alias(c) for c in ("start", "end", "found", "before", "after")], context.alias("context"))
+
+    def describe(s: Column) -> Column:
+        found, context = s["found"], s["context"]
         signs = F.length(F.regexp_replace(found, r"[^ ().@-]", ""))
         truth = _passes(KINDS[kind], found) if base else _likely(KINDS[kind], found, context)
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), (truth if base else F.lit(False)).alias("base"), truth.alias("truth"), F.lit(int(not base)).alias("more"),
             F.least(F.length(_digits(found)), F.lit(20)).alias("digits"), F.least(signs, F.lit(7)).alias("signs"), found.contains("(").cast("int").alias("bracket"), found.rlike("[A-Za-z]").cast("int").alias("letters"),
-            _side(F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1)))).alias("left"), _side(F.substring(text, s["end"] + 1, F.lit(1))).alias("right"), context.alias("context"),
+            _side(F.right(s["before"], F.lit(1))).alias("left"), _side(s["after"]).alias("right"), context.alias("context"),
         )
 
-    return F.transform(spans, describe).cast(_CANDIDATE)
+    return F.transform(F.transform(sided, named), describe).cast(_CANDIDATE)
 
 
 def candidates(text: Column) -> Column:
-    """All proposed spans of a text with their features, base forms that pass marked."""
-    parts = [_described(text, k, _matches(text, BASE[kind], NEEDS[kind]), True) for k, kind in enumerate(KINDS) if kind in BASE]
-    parts += [_described(text, k, _matches(text, MORE[kind], MORE_NEEDS[kind]), False) for k, kind in enumerate(KINDS) if kind in MORE]
-    return F.concat(*parts)
+    """All proposed spans of a text with their features, base forms that pass marked. Its cost is linear in the text and
+    its spans: a text is cut into blocks once, and what stands around a span is taken from its blocks."""
+    sources = [(k, BASE[kind], NEEDS[kind], True) for k, kind in enumerate(KINDS) if kind in BASE] + [(k, MORE[kind], MORE_NEEDS[kind], False) for k, kind in enumerate(KINDS) if kind in MORE]
+    spans = F.struct(*[_matches(text, pattern, needs).alias(f"s{i}") for i, (_, pattern, needs, _) in enumerate(sources)])
+
+    def with_blocks(z: Column) -> Column:
+        some = sum((F.size(z[f"s{i}"]) for i in range(len(sources))), F.lit(0)) > 0
+        return F.struct(z.alias("z"), F.when(some, _blocks(text)).otherwise(F.array().cast("array<string>")).alias("blocks"))
+
+    bound = F.transform(F.array(spans), with_blocks)
+    parts = lambda y: F.concat(*[_described(y["blocks"], k, y["z"][f"s{i}"], base) for i, (k, _, _, base) in enumerate(sources)])
+    return F.flatten(F.transform(bound, parts))
 
 
 # -- boosted trees over the cells of the feature table --------------------------------------------------------------
 
 
 def _uncovered(found: Column) -> Column:
-    """Candidates without those that aren't base spans and that a base span of their kind overlaps."""
+    """Candidates without those that aren't base spans and that a base span of their kind overlaps.
 
-    def kept(base: Column) -> Column:
-        return F.filter(found, lambda c: c["base"] | ~F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    Base spans of a kind are apart, so of those that begin before a span ends the one that ends last decides: base spans
+    by their starts and other spans by their ends, in order, with the largest end of a base span so far."""
 
-    return F.flatten(F.transform(F.array(F.filter(found, lambda c: c["base"])), kept))
+    def event(c: Column) -> Column:
+        return F.struct(F.when(c["base"], c["start"]).otherwise(c["end"]).alias("at"), c["base"].cast("int").alias("is"), c.alias("c"))
+
+    def clear(events: Column, kind: int) -> Column:
+        own = F.filter(events, lambda e: e["c"]["kind"] == kind)
+        ends = F.transform(own, lambda e: F.when(e["c"]["base"], e["c"]["end"]).otherwise(F.lit(0)))
+        kept = F.zip_with(own, _running(ends, _larger), lambda e, last: F.when(e["c"]["base"] | (last <= e["c"]["start"]), e["c"]))
+        return F.filter(kept, lambda c: c.isNotNull())
+
+    def walked(f: Column) -> Column:
+        mixed = F.exists(f, lambda c: c["base"]) & F.exists(f, lambda c: ~c["base"])
+        events = F.array_sort(F.transform(f, event))
+        return F.when(mixed, F.flatten(F.transform(F.array(events), lambda e: F.concat(*[clear(e, k) for k in range(len(KINDS))])))).otherwise(f)
+
+    return F.flatten(F.transform(F.array(found), walked))
 
 
 def cells(found: DataFrame, column: str = "_candidates") -> list[tuple[tuple[int, ...], int, int, int]]:
@@ -284,7 +344,7 @@ def selected(trees: list[Tree], thresholds: dict[tuple[int, int], float], column
         short = (c["kind"] == 2) & (c["digits"] < 12)
         return ~c["base"] & ~short & enough
 
-    return F.array_distinct(F.concat(base, F.filter(_uncovered(F.col(column)), wanted)))
+    return F.concat(base, F.filter(_uncovered(F.col(column)), wanted))
 
 
 def _listed(spans: Column) -> Column:
@@ -319,16 +379,16 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     trees = boost(table)
     spans = F.array_sort(F.transform(selected(trees, calibrate(table, precision), found), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tags[s["kind"]]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    # a span that begins before the end of one before it goes with that one
+    before = lambda spans: F.zip_with(spans, _running(F.transform(spans, lambda s: s["end"]), _larger), lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
 
-    def close(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
+    def replaced(z: Column) -> Column:
+        heads = F.filter(before(z["spans"]), lambda h: h["start"] >= h["at"])
+        parts = F.transform(heads, lambda h: F.concat(_cut(z["blocks"], h["at"], h["start"]), tags[h["kind"]]))
+        return F.concat(F.array_join(parts, ""), _cut(z["blocks"], F.array_max(F.transform(z["spans"], lambda s: s["end"])), F.char_length(text)))
 
     marked = marked.withColumn(places, spans)
-    clean = F.when(F.size(places) > 0, F.aggregate(places, start, step, close)).otherwise(F.col("text"))
+    bound = F.array(F.struct(F.col(places).alias("spans"), _blocks(text).alias("blocks")))
+    clean = F.when(F.size(places) > 0, F.transform(bound, replaced)[0]).otherwise(F.col("text"))
     out = marked.withColumn("text", clean).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
