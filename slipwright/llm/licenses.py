@@ -4,9 +4,11 @@ The index holds, for every word of the licence templates that isn't a stop word,
 postings are its words that the index knows, with their places. Document frequencies over all files give each word its
 IDF. For each template whose mandatory phrase stands in the file word by word, the file looks up all places of the
 ``top`` rarest of that template's words that it has: a pair of a place in the file and a place in the template votes for
-the difference of both, each word once for a difference. The template's score is the largest number of words that agree
-on one difference, of the ``top`` or all its words if it has fewer; it counts if the score reaches ``least``. A short
-stretch of a long notice has too few of its words, and words of other licences take no place from a template's own.
+the difference of both. Words put in or left out move all that follow, so neighbouring differences vote together: a band
+is two neighbouring ranges of ``BAND`` differences, which holds any that are at most ``BAND`` apart, and each word counts
+once in it. The template's score is the largest number of words in a band, of the ``top`` or all its words if it has
+fewer; it counts if the score reaches ``least``. A short stretch of a long notice has too few of its words, and words of
+other licences take no place from a template's own.
 
 Base phrases are labels of their own: every place where their words stand one after another.
 
@@ -42,6 +44,10 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("zlib", "without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("bsd-3-clause", "neither the name of", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mpl", "subject to the mozilla public license", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www mozilla org mpl software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights and limitations under the license"),
+    ("epl", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("gpl", "gnu general public license as published by", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa"),
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("cc0", "cc0 1 0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0 1 0 universal"),
@@ -51,7 +57,8 @@ TEMPLATES = [
 ]
 STOP = {"the", "a", "of", "to", "and", "or", "in", "is", "it", "this", "that", "you", "any", "not", "with", "as", "at", "for", "if", "was", "be", "are", "an", "on", "one", "can", "may"}
 TOP = 24
-LEAST = 0.6
+LEAST = 0.7
+BAND = 3
 
 #: Between words: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -116,24 +123,27 @@ def _lookup(text: str, top: int) -> Column:
 
 
 def _score(lookup: Column, text: str) -> Column:
-    """The most looked-up words that agree on one difference of places.
+    """The most looked-up words in one band of differences of places.
 
-    A vote is one number, the difference times ``many`` plus the number of the word: equal votes count once.
+    A vote is one number, the band times ``many`` plus the number of the word: equal votes count once. A difference lies
+    in two bands, so its votes are cast for both.
     """
     many = 1 << 10
     number, at = {}, {}
     for k, word in enumerate(text.split()):
         if word not in STOP:
-            at.setdefault(word, []).append(number.setdefault(word, len(number)) - k * many)
-    index = F.create_map(*[x for w, ks in sorted(at.items()) for x in (F.lit(w), F.array(*[F.lit(k).cast("long") for k in ks]))])
+            at.setdefault(word, []).append((number.setdefault(word, len(number)), k))
+    index = F.create_map(*[x for w, ks in sorted(at.items()) for x in (F.lit(w), F.array(*[F.lit(n - k * many).cast("long") for n, k in ks]))])
     none = F.array().cast("array<long>")
     votes = F.flatten(F.transform(lookup, lambda p: F.transform(F.coalesce(F.element_at(index, p["word"]), none), lambda o: p["at"].cast("long") * many + o)))
+    band = lambda v, side: (F.floor(F.floor(v / many) / BAND).cast("long") - side) * many + F.pmod(v, F.lit(many))
+    votes = F.flatten(F.transform(votes, lambda v: F.array(band(v, 0), band(v, 1))))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, vote: Column) -> Column:
-        difference = F.floor(vote / many).cast("long")
-        run = F.when(acc["last"] == difference, acc["run"] + 1).otherwise(1)
-        return F.struct(difference.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+        own = F.floor(vote / many).cast("long")
+        run = F.when(acc["last"] == own, acc["run"] + 1).otherwise(1)
+        return F.struct(own.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
     return F.aggregate(F.array_sort(F.array_distinct(votes)), start, step, lambda acc: acc["best"])
 

@@ -135,8 +135,9 @@ def _formed(kind: str, found: Column) -> Column:
         return found.rlike(r"(?:\.|[)\]]) ?[A-Za-z]{2,}$")
     if kind == "phone":  # no area or exchange begins with 0 or 1
         return _digits(found).rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
-    value = F.regexp_extract(found, "[A-Za-z0-9_/+-]+$", 0)  # random keys mix letters and digits, words don't
-    return (F.length(_digits(value)) >= 3) & value.rlike("[A-Za-z]")
+    # random keys go from letters to digits and back, words and numbers in words don't; no feature says so
+    value = F.regexp_extract(found, "[A-Za-z0-9_/+-]+$", 0)
+    return F.size(F.regexp_extract_all(value, F.lit("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"), F.lit(0))) >= 3
 
 
 def _side(c: Column) -> Column:
