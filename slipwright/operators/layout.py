@@ -27,33 +27,34 @@ def oversized(boxed: DataFrame) -> DataFrame:
     return boxed.groupBy("rid").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_TOKENS)
 
 
-def _middle(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    return (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor(n / 2 + 1).cast("int"))) / 2
-
-
 def group_rows(boxed: DataFrame) -> DataFrame:
     """Printed rows (L1): from top to bottom a token joins the open row if it is nearer to the row's mean height than
     0.6 of the smaller of the row's median box height and its own. (rid, row_no, x1, y_center, text, compact, tokens).
 
-    One aggregation by rid; a fold over the receipt's tokens, whose number is bounded by a receipt's print (``oversized``
-    receipts are to be taken out before, else they fail loudly rather than fill memory).
+    One aggregation by rid, and a fold over the receipt's tokens. Its state is small, as a fold copies it at each step: of
+    the open row the number of tokens, the sum of their heights on the page and their box heights in order, and of all
+    rows where they begin.
     """
     one = F.struct("y", "line_no", "x1", "x2", "height", "text", "confidence")
     packed = boxed.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    packed = packed.withColumn("all", F.when(F.size("all") <= MAX_TOKENS, F.col("all")).otherwise(F.raise_error(F.lit("a receipt has too many boxes"))))
-    start = F.struct(F.array().cast(f"array<array<{TOKEN}>>").alias("done"), F.array().cast(f"array<{TOKEN}>").alias("open"))
+    nothing = F.array().cast("array<double>")
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), nothing.alias("heights"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc: Column, t: Column) -> Column:
-        n = F.size(acc["open"])
-        mean = F.aggregate(acc["open"], F.lit(0.0), lambda s, o: s + o["y"]) / n
-        height = _middle(F.transform(acc["open"], lambda o: o["height"]))
-        near = (n > 0) & (F.abs(t["y"] - mean) < 0.6 * F.least(height, t["height"]))
-        closed = F.when(n > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        return F.struct(F.when(near, acc["done"]).otherwise(closed).alias("done"), F.when(near, F.concat(acc["open"], F.array(t))).otherwise(F.array(t)).alias("open"))
-
-    folded = F.aggregate("all", start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+        half = F.floor((acc["n"] + 1) / 2).cast("int")
+        median = (F.get(acc["heights"], half - 1) + F.get(acc["heights"], F.floor(acc["n"] / 2).cast("int"))) / 2
+        near = F.coalesce((acc["n"] > 0) & (F.abs(t["y"] - acc["sum"] / acc["n"]) < 0.6 * F.least(median, t["height"])), F.lit(False))
+        h = t["height"].cast("double")
+        put = F.concat(F.filter(acc["heights"], lambda x: x <= h), F.array(h), F.filter(acc["heights"], lambda x: x > h))
+        return F.struct(
+            (acc["k"] + 1).alias("k"), F.when(near, acc["n"] + 1).otherwise(1).alias("n"), F.when(near, acc["sum"] + t["y"]).otherwise(F.lit(0.0) + t["y"]).alias("sum"),
+            F.when(near, put).otherwise(F.array(h)).alias("heights"), F.when(near, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(acc["k"]))).alias("begins"),
+        )
+
+    begins = F.aggregate("all", start, step, lambda acc: acc["begins"])
+    ends = lambda b: F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size("all")))
+    cut = lambda b: F.zip_with(b, ends(b), lambda x, y: F.slice("all", x + 1, y - x))
+    folded = F.flatten(F.transform(F.array(begins), cut))  # an array of one: the fold is run once
     by_x = lambda row: F.transform(F.array_sort(F.transform(row, lambda t: F.struct(t["x1"].alias("x1"), t["y"].alias("y"), t["line_no"].alias("line_no"), t.alias("t")))), lambda s: s["t"])
     rows = packed.select("rid", F.posexplode(folded).alias("row_no", "tokens")).withColumn("tokens", by_x(F.col("tokens")))
     text = F.array_join(F.transform("tokens", lambda t: t["text"]), " ")
