@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipwright.functions import labels as L
@@ -38,8 +38,9 @@ def read_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_answers(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(receipts, items, options) of the model's reading, receipts with its own ``delivery_fee``. JSON is parsed once. A
-    ``total_amount`` that is no number is null, which is not the same as 0 (E16)."""
-    parsed = stored(parsed_responses(responses), "parsed")
+    ``total_amount`` that is no number is null, which is not the same as 0 (E16). Responses are (rid, raw), or parsed
+    already."""
+    parsed = responses if "vlm" in responses.columns else stored(parsed_responses(responses), "parsed")
     receipts = parsed.select("rid", "ok", "error", F.col("vlm.store_name").alias("store_name"), F.col("vlm.payment_method").alias("payment_method"), F.col("vlm.purchased_at").alias("purchased_at"), M.number_or_none(F.col("vlm.total_amount")).alias("total_amount"), M.as_won(F.col("vlm.delivery_fee")).alias("delivery_fee"))
     receipts = receipts.withColumns({c: L.without_placeholder(c) for c in ("store_name", "payment_method", "purchased_at")})
     text = lambda c: F.try_variant_get(c, "$", "string").alias("name")
@@ -258,9 +259,27 @@ def envelopes(merged: dict[str, DataFrame], pipeline: dict[str, str] | None = No
     return out.select("rid", F.regexp_extract(F.coalesce("purchased_at", F.lit("")), "^([0-9]{4}-[0-9]{2})", 1).alias("month"), envelope.alias("envelope")).withColumn("month", F.when(F.col("month") != "", F.col("month")))
 
 
+def run_name(pipeline: dict[str, str] | None) -> str:
+    """What a run of these settings is called: equal settings, equal names."""
+    return ",".join(f"{k}={v}" for k, v in sorted((pipeline or {}).items())) or "plain"
+
+
 def write_envelopes(merged: dict[str, DataFrame], path: str, pipeline: dict[str, str] | None = None) -> None:
-    """Envelopes as JSON lines in a folder a month."""
-    envelopes(merged, pipeline).write.partitionBy("month").json(path)
+    """Envelopes as JSON lines in a folder a run and month (S4). Runs are told apart by their settings; a run that is
+    written again replaces its months that it has receipts of, and leaves other runs and months as they are."""
+    out = envelopes(merged, pipeline).withColumn("run", F.lit(run_name(pipeline)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "month").json(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Receipts of the runs that ``write_envelopes`` wrote: by name, (rid, total_amount, items_verified, n_edits: audit
+    rows of the balance). The names come to the driver: one for each setting that was tried."""
+    stored_ = spark.read.schema("rid bigint, envelope string, run string, month string").json(path)
+    parsed = stored_.withColumn("e", F.from_json("envelope", "result struct<total_amount: bigint, items_verified: boolean>, corrections array<struct<reason: string>>"))
+    balanced = F.size(F.filter("e.corrections", lambda c: c["reason"] == "reconciled"))
+    rows = parsed.select("run", "rid", "e.result.total_amount", "e.result.items_verified", balanced.alias("n_edits"))
+    names = [r.run for r in stored_.select("run").distinct().orderBy("run").collect()]
+    return {name: rows.filter(F.col("run") == name).drop("run") for name in names}
 
 
 def compare_runs(runs: dict[str, DataFrame], truth: DataFrame | None = None) -> DataFrame:

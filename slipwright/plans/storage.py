@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -15,6 +17,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     can read, and don't grow with what came before. A folder of this machine is used only where none is set and the
     session runs on one machine."""
     spark = df.sparkSession
+    path = f"{shared_dir(spark)}{spark.conf.get(FOLDER, '')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Names the folder below the shared one that a ``passing`` block writes to.
+FOLDER = "slipwright.folder"
+
+
+def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,9 +34,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="slipwright-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return base.rstrip("/")
+
+
+@contextmanager
+def passing(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables stored in this block go to a folder of its own, which is removed behind it: they must have been used up."""
+    before, folder = spark.conf.get(FOLDER, ""), f"/{name}-{uuid.uuid4().hex}"
+    spark.conf.set(FOLDER, before + folder)
+    try:
+        yield
+    finally:
+        spark.conf.set(FOLDER, before) if before else spark.conf.unset(FOLDER)
+        path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark) + before + folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipwright.plans import jobs
-from slipwright.plans.storage import stored
+from slipwright.plans.storage import passing, stored
 from slipwright.sources.tables import parsed_responses
 
 #: The model's answer is waited for this long.
@@ -38,18 +38,22 @@ def dead_letters(answers: DataFrame) -> DataFrame:
 def merge_stream(readings: DataFrame, path: str, checkpoint: str, today: str | None = None) -> None:
     """The streaming merge (T1): joined readings, ``lines`` an array of boxes, go through the whole merge batch by batch.
 
-    The merge needs all rows of a receipt together and has them, as a receipt arrives as one row. A batch writes its
-    envelopes and dead letters to folders of its number, so a batch that is run again replaces what it wrote.
+    What needs one row alone, reading the answer's JSON, is part of the stream's own plan. The merge needs all rows of a
+    receipt together and has them, as a receipt arrives as one row. A batch writes its envelopes and dead letters to
+    folders of its number, so a batch that is run again replaces what it wrote, and removes its scratch tables.
     """
+    answers = parsed_responses(readings.select("rid", "lines", "raw"), keep=("lines",))
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = stored(batch.select("rid", "lines", "raw"), "readings")
-        lines = rows.select("rid", F.explode("lines").alias("l")).select("rid", "l.*")
-        merged = jobs.merge(lines, rows.select("rid", "raw"), today)
-        jobs.envelopes(merged, {"batch": str(number)}).write.mode("overwrite").json(f"{path}/envelopes/batch={number}")
-        dead_letters(parsed(rows)).write.mode("overwrite").json(f"{path}/dead_letters/batch={number}")
-
-    readings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        spark = batch.sparkSession
+        with passing(spark, f"batch-{number}"):
+            rows = stored(batch, "readings")
+            lines = rows.select("rid", F.explode("lines").alias("l")).select("rid", "l.*")
+            merged = jobs.merge(lines, rows.drop("lines"), today)
+            jobs.envelopes(merged, {"batch": str(number)}).write.mode("overwrite").json(f"{path}/envelopes/batch={number}")
+            dead_letters(rows).write.mode("overwrite").json(f"{path}/dead_letters/batch={number}")
+
+    answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:

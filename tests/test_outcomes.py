@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from slipwright.operators import items as I
 from slipwright.plans import accuracy as C
+from slipwright.plans import jobs
+from slipwright.plans.storage import passing, shared_dir, stored
 from slipwright.outcome_queries import query  # noqa: F401  (registers its queries)
 from slipwright.queries import ORACLES, QUERIES
 
@@ -114,7 +116,49 @@ def test_measures_of_nothing(spark):
     assert C.measures(rows).first().asDict() == {"receipts": 0, "totals_verified": 0, "total_precision": None, "items_verified": 0, "items_precision": None, "true_options": 0, "found_options": 0, "option_recall": None, "with_options": 0, "with_all_options": 0}
 
 
-@pytest.mark.parametrize("name", ["items_in_order", "verdict_branches", "audit_rollup", "accuracy_measures"])
+def run(spark, *receipts):
+    """A small merged run of (rid, day, total, verified)."""
+    columns = "rid long, ok boolean, error string, store_name string, purchased_at string, payment_method string, total_amount long, discount long, delivery_fee long, total_verified boolean, items_verified boolean"
+    rows = [(rid, True, None, None, day, None, total, 0, 0, good, good) for rid, day, total, good in receipts]
+    items = [(rid, 1, "김밥", 1, total, 0, 0, 1) for rid, _, total, _ in receipts]
+    audit = [(rid, "total_amount", "0", str(total), "reconciled") for rid, _, total, good in receipts if not good]
+    return {
+        "receipts": spark.createDataFrame(rows, columns),
+        "items": spark.createDataFrame(items, "rid long, item_no int, name string, quantity int, price long, discount long, options long, seq int"),
+        "options": spark.createDataFrame([], "rid long, item_no int, sub_no int, name string, price long"),
+        "corrections": spark.createDataFrame(audit, "rid long, field string, before string, after string, reason string"),
+    }
+
+
+def test_runs_are_written_again_and_compared(spark, tmp_path):
+    path = f"{tmp_path}/runs"
+    first = run(spark, (1, "2024-03-05", 100, True), (2, "2024-04-01", 200, True), (3, None, 300, True))
+    jobs.write_envelopes(first, path, {"prompt": "v1"})
+    jobs.write_envelopes(run(spark, (1, "2024-03-05", 100, True), (2, "2024-04-01", 250, False)), path, {"prompt": "v2"})
+    # March of the first run once more: its other months and the other run stay
+    jobs.write_envelopes(run(spark, (1, "2024-03-05", 110, False), (4, "2024-03-09", 400, True)), path, {"prompt": "v1"})
+    runs = jobs.read_runs(spark, path)
+    assert list(runs) == ["prompt=v1", "prompt=v2"]
+    got = {tuple(r) for r in runs["prompt=v1"].collect()}
+    assert got == {(1, 110, False, 1), (4, 400, True, 0), (2, 200, True, 0), (3, 300, True, 0)}
+    both = {r.rid: r for r in jobs.compare_runs(runs).collect()}
+    assert not both[1].agree and not both[2].agree and both[2]["prompt=v2_edits"] == 1 and both[4]["prompt=v2_total"] is None
+
+
+def test_passing_tables_are_removed(spark):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with passing(spark, "batch"):
+        assert stored(spark.range(5), "numbers").count() == 5 and len(set(os.listdir(folder)) - before) == 1
+        with passing(spark, "inner"):
+            stored(spark.range(2), "numbers")
+    assert set(os.listdir(folder)) == before
+    assert "/batch" not in stored(spark.range(5), "numbers").inputFiles()[0]
+
+
+@pytest.mark.parametrize("name", ["items_in_order", "verdict_branches", "audit_rollup", "accuracy_measures", "word_paths"])
 def test_outcome_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for table in ("orders", "lineitem", "part"):
