@@ -49,7 +49,6 @@ BUCKET = 1024
 HELD = 8192
 HELD_TERMS = 4_000_000
 WIDER = 1 + 1e-6
-NULL_ID = -(1 << 63)
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -87,7 +86,7 @@ class Block:
 class Vectors:
     """Documents of a task as sparse vectors over the block's vocabulary, ordered by length, longest first."""
 
-    def __init__(self, ids: list[int], rows: list[dict[int, int]], m: list[int], weights: np.ndarray):
+    def __init__(self, ids: list[int | None], rows: list[dict[int, int]], m: list[int], weights: np.ndarray):
         sizes = np.array([len(r) for r in rows])
         term = np.fromiter((t for r in rows for t in r), np.int64, int(sizes.sum()))
         tf = np.fromiter((c for r in rows for c in r.values()), np.int64, int(sizes.sum()))
@@ -97,7 +96,8 @@ class Vectors:
         order = np.argsort(-norm, kind="stable")
         place = np.empty(len(rows), np.int64)
         place[order] = np.arange(len(rows))
-        self.norm, self.ids = norm[order], np.array(ids, np.int64)[order]
+        self.norm, self.ids = norm[order], np.array([d or 0 for d in ids], np.int64)[order]
+        self.named = np.array([d is not None for d in ids], bool)[order]
         # impacts by bucket, then term, then document
         doc = place[doc]
         bucket = doc // BUCKET
@@ -105,8 +105,8 @@ class Vectors:
         self.doc, self.term, self.impact = doc[by], term[by], impact[by]
         self.edges = np.searchsorted(bucket[by], np.arange(-(-len(rows) // BUCKET) + 1))
 
-    def search(self, terms: np.ndarray, q: np.ndarray, weights: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
-        """The ``k`` best of (score, doc_id) in ``best`` and these documents."""
+    def search(self, terms: np.ndarray, q: np.ndarray, weights: np.ndarray, best: list[tuple], k: int) -> list[tuple]:
+        """The ``k`` best of (score, doc_id is not null, doc_id) in ``best`` and these documents."""
         length = math.sqrt(float((q.astype(np.float64) ** 2 / weights[terms]).sum()))
         for b in range(len(self.edges) - 1):
             least = best[-1][0] if len(best) == k else 0
@@ -115,7 +115,7 @@ class Vectors:
             best = self._bucket(b, terms, q, best, least, k)
         return best
 
-    def _bucket(self, b: int, terms: np.ndarray, q: np.ndarray, best: list, least: int, k: int) -> list[tuple[int, int]]:
+    def _bucket(self, b: int, terms: np.ndarray, q: np.ndarray, best: list, least: int, k: int) -> list[tuple]:
         lo, hi = self.edges[b], self.edges[b + 1]
         own = self.term[lo:hi]
         first, last = lo + np.searchsorted(own, terms), lo + np.searchsorted(own, terms, side="right")
@@ -143,8 +143,9 @@ class Vectors:
             return best
         if len(found) > k:  # all that reach the k-th best score
             found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
-        best = best + list(zip(score[found].tolist(), self.ids[b * BUCKET + found].tolist()))
-        return sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+        at = b * BUCKET + found
+        best = best + list(zip(score[found].tolist(), self.named[at].tolist(), self.ids[at].tolist()))
+        return sorted(best, key=lambda x: (-x[0], *x[1:]))[:k]
 
 
 _built: dict[str, Block] = {}
@@ -195,14 +196,14 @@ def _searcher(shared, counts, k: int):
                 known = Counter(map(get, terms))
                 known.pop(None, None)
                 if known:
-                    ids.append(NULL_ID if doc_id is None else doc_id), rows.append(known), m.append(length_norm(len(terms), n_docs, n_terms))
+                    ids.append(doc_id), rows.append(known), m.append(length_norm(len(terms), n_docs, n_terms))
                     held += len(known)
                 if len(ids) >= HELD or held >= HELD_TERMS:
                     flush()
                     held = 0
         if ids:
             flush()
-        found = [(key, d, s) for key, pairs in best.items() for s, d in pairs]
+        found = [(key, d if named else None, s) for key, pairs in best.items() for s, named, d in pairs]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["item", "doc_id", "score"])
 
@@ -239,12 +240,12 @@ def search(docs: DataFrame, benchmark: DataFrame, k: int = K, block_bytes: int =
         known = spark.sparkContext.broadcast((n_docs, n_terms, weights))
         found = bare.mapInArrow(_searcher(shared, known, k), "item long, doc_id long, score long")
         # a task's best, then those of a 64th of the tasks, then of all
-        order = [F.col("score").desc(), F.col("doc_id").asc()]
+        order = [F.col("score").desc(), F.col("doc_id").asc_nulls_first()]
         found = found.withColumn("lot", F.spark_partition_id() % 64)
         found = found.withColumn("rank", F.row_number().over(W.partitionBy("item", "lot").orderBy(*order))).filter(F.col("rank") <= k)
         found = found.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(*order))).filter(F.col("rank") <= k)
         ids = spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"own long, item_id {kind}")
-        out = stored(found.join(ids, F.col("item") == F.col("own")).select("item_id", "rank", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "score"), "ranked")
+        out = stored(found.join(ids, F.col("item") == F.col("own")).select("item_id", "rank", "doc_id", "score"), "ranked")
         parts.append(out)
         shared.unpersist(), known.unpersist()
     empty = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
