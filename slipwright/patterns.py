@@ -96,4 +96,3 @@ SKEW_MIN_DX, SKEW_BAND, SKEW_MIN_SUPPORT, SKEW_MIN_SHARE, SKEW_MIN_DEG, SKEW_MAX
 ITEM_MARKER = r"^[▶►▸>›»└+*~]\s*|^-\s+"
 OCR_OPTION_ROW = r"^\s*(?:[ㄴ└#+>›»▶►▸※]|L(?=[가-힣(\[]))\s*(.+)$"
 NAME_MARKER = r"^[#ㄴ└+>›»▶►▸※\s]+"
-# Option marks as they are read on printed rows, and before names.
