@@ -17,7 +17,7 @@ from slipwright.operators import lexicon as X
 from slipwright.operators import options as O
 from slipwright.sources.tables import parsed_responses
 
-from .storage import stored, stored_together
+from .storage import at_once, stored, stored_together
 
 
 def read_layout(lines: DataFrame) -> dict[str, DataFrame]:
@@ -70,6 +70,41 @@ def _sum_of_options(options: DataFrame) -> DataFrame:
     return options.groupBy("rid", "item_no").agg(F.sum(F.coalesce("price", _zero())).alias("options"))
 
 
+def receipt_discounts(receipts: DataFrame, printed: DataFrame, told: DataFrame, items: DataFrame) -> DataFrame:
+    """(rid, top): a receipt's own discount (E17): the larger of the printed sum (rid, summary_discount) and of what stood
+    among its options (rid, amount), less what its items have; never below 0."""
+    off = items.groupBy("rid").agg(F.sum("discount").alias("_items"))
+    rows = receipts.join(printed.select("rid", "summary_discount"), "rid", "left").join(told.select("rid", F.col("amount").alias("_told")), "rid", "left").join(off, "rid", "left")
+    most = F.greatest(F.coalesce("summary_discount", _zero()), F.coalesce("_told", _zero()))
+    return rows.select("rid", F.greatest(_zero(), most - F.coalesce("_items", _zero())).alias("top"))
+
+
+def _printed_tables(lines: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What the merge needs of print alone: the layout, its lines without their numbers, flags, amounts and evidence."""
+    printed = read_layout(lines)
+    numbered = I.has_line_numbers(printed["items"].withColumnRenamed("item_id", "item_no")).filter("numbered").select("rid", F.lit(True).alias("_numbered"))
+    shown = printed["items"].withColumnRenamed("item_id", "p_no").join(numbered, "rid", "left").withColumn("name", F.when(F.col("_numbered"), L.without_line_number(F.col("name"))).otherwise(F.col("name"))).drop("_numbered")
+    shown = shown.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False))).withColumn("p_no", F.col("p_no").cast("int"))
+    flags = evidence.flags(printed["rows"], lines).join(evidence.stray_fees(printed["rows"]), "rid", "left")
+    counts = evidence.amount_counts(printed["rows"])
+    found = lambda: stored(evidence.evidence(printed["rows"]), "evidence")
+    return printed, *at_once(lines.sparkSession, lambda: stored(shown, "shown"), lambda: stored(flags, "flags"), lambda: stored(counts, "counts"), found)
+
+
+def _answered_tables(lines: DataFrame, responses: DataFrame, today: str | None) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(receipts, items, options, audits) of the answers, before they meet what is printed on their lines."""
+    receipts, seen, options = read_answers(responses)
+    receipts, dropped = D.drop_midnights(receipts, lines)
+    audits = [dropped]
+    if today is not None:
+        receipts, dated = D.fix_dates(receipts, lines, today)
+        receipts, dated = stored_together((receipts, "receipts"), (dated, "audit"))
+        audits.append(dated)
+    seen = I.pair_barcode_prices(seen.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False)))).withColumn("discount", _zero())
+    options = options.join(seen.select("rid", "item_no"), ["rid", "item_no"], "left_semi")
+    return receipts, *stored_together((seen, "seen"), (options, "options")), audits
+
+
 def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexicon: DataFrame | None = None) -> dict[str, DataFrame]:
     """The merge of both readings (E19): receipts, their items and options, an audit table, edits and solutions.
 
@@ -80,22 +115,10 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     Receipts with a negative total are refunds: from the balance on their items, options and discount go round every step
     and are left as they are (P10). An unread answer has no items.
     """
-    printed = read_layout(lines)
-    audits = [printed["oversized"].select(*I.correction("ocr_lines", F.col("n"), F.lit("(not laid out)"), "too_many_boxes"))]
-    receipts, seen, options = read_answers(responses)
-    midnight = lines.groupBy("rid").agg(F.bool_or(F.coalesce(L.prints_midnight(F.col("text")), F.lit(False))).alias("_midnight"))
-    receipts = receipts.join(midnight, "rid", "left").withColumn("_was", F.col("purchased_at")).withColumn("purchased_at", L.without_invented_midnight(F.col("purchased_at"), F.col("_midnight")))
-    receipts = stored(receipts.drop("_midnight"), "receipts")
-    audits.append(receipts.filter("_was <> purchased_at").select(*I.correction("purchased_at", F.col("_was"), F.col("purchased_at"), "midnight_dropped")))
-    receipts = receipts.drop("_was")
-    if today is not None:
-        receipts, dated = D.fix_dates(receipts, lines, today)
-        audits.append(dated)
-
-    seen = I.pair_barcode_prices(seen.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False)))).withColumn("discount", _zero())
-    options = options.join(seen.select("rid", "item_no"), ["rid", "item_no"], "left_semi")
+    spark = lines.sparkSession
+    (printed, shown, flags, counts, found), (receipts, seen, options, audits) = at_once(spark, lambda: _printed_tables(lines), lambda: _answered_tables(lines, responses, today))
+    audits.append(printed["oversized"].select(*I.correction("ocr_lines", F.col("n"), F.lit("(not laid out)"), "too_many_boxes")))
     claimed_fee = receipts.filter("ok").select("rid", "delivery_fee")
-    seen, options = stored_together((seen, "seen"), (options, "options"))
     seen, options, fee, a = O.take_fees(seen, options, printed["fees"], claimed_fee)
     seen, options, fee, a = stored_together((seen, "seen"), (options, "options"), (fee, "fee"), (a, "audit"))
     seen, options, b = O.merge_wrapped_names(seen, options)
@@ -111,9 +134,6 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
         seen, options = renamed(seen, of_items, ["rid", "item_no"]), renamed(options, of_options, ["rid", "item_no", "sub_no"])
 
     # the printed hierarchy
-    numbered = I.has_line_numbers(printed["items"].withColumnRenamed("item_id", "item_no")).filter("numbered").select("rid", F.lit(True).alias("_numbered"))
-    shown = printed["items"].withColumnRenamed("item_id", "p_no").join(numbered, "rid", "left").withColumn("name", F.when(F.col("_numbered"), L.without_line_number(F.col("name"))).otherwise(F.col("name"))).drop("_numbered")
-    shown = stored(shown.filter(~F.coalesce(L.summary_line(F.col("name")), F.lit(False))).withColumn("p_no", F.col("p_no").cast("int")), "shown")
     below = shown.select("rid", "p_no", F.posexplode("options").alias("k", "o")).select("rid", "p_no", (F.col("k") + 1).alias("sub_no"), "o.name", "o.price", "o.mark", "o.strong")
     seen, options, a = O.promote_options(*stored_together((seen, "seen"), (options, "options")), shown)
     seen, options, a = stored_together((seen, "seen"), (options, "options"), (a, "audit"))
@@ -158,12 +178,10 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     fixed, options, told, a = O.fold_discounts(fixed, options, counted)
     fixed, options, told, a = stored_together((fixed, "fixed"), (options, "options"), (told, "told"), (a, "audit"))
     audits.append(a)
-    items_off = fixed.groupBy("rid").agg(F.sum("discount").alias("_items"))
-    top = answered.join(printed["discounts"].select("rid", "summary_discount"), "rid", "left").join(told.select("rid", F.col("amount").alias("_told")), "rid", "left").join(items_off, "rid", "left")
-    top = stored(top.select("rid", F.greatest(_zero(), F.greatest(F.coalesce("summary_discount", _zero()), F.coalesce("_told", _zero())) - F.coalesce("_items", _zero())).alias("top")), "top")
+    top = receipt_discounts(answered, printed["discounts"], told, fixed)
 
     # the balance; refunds go round it
-    refunds = stored(receipts.filter("total_amount < 0").select("rid"), "refunds")
+    top, refunds = stored_together((top, "top"), (receipts.filter("total_amount < 0").select("rid"), "refunds"))
     refunded, refunded_options, refunded_top = (t.join(refunds, "rid", "left_semi") for t in (fixed, options, top))
     fixed, options, top = (t.join(refunds, "rid", "left_anti") for t in (fixed, options, top))
     kept, a = I.drop_label_rows(fixed)
@@ -171,29 +189,28 @@ def merge(lines: DataFrame, responses: DataFrame, today: str | None = None, lexi
     had = kept.filter("discount > 0").select("rid", F.col("discount").alias("amount")).union(top.filter("top > 0").select("rid", F.col("top").alias("amount")))
     kept, cuts, c = I.without_negatives(kept, options, had.groupBy("rid", "amount").agg(F.count("*").alias("n")))
     top = top.join(cuts, "rid", "left").select("rid", (F.col("top") + F.coalesce("amount", _zero())).alias("top"))
-    flags = evidence.flags(printed["rows"], lines).join(evidence.stray_fees(printed["rows"]), "rid", "left")
-    kept, options, top, flags, a, b, c = stored_together((kept, "kept"), (options, "options"), (top, "top"), (flags, "flags"), (a, "audit"), (b, "audit"), (c, "audit"))
+    kept, options, top, a, b, c = stored_together((kept, "kept"), (options, "options"), (top, "top"), (a, "audit"), (b, "audit"), (c, "audit"))
     kept, options, d = O.demote_printed(kept, options, printed["rows"], flags.filter("delivery").select("rid"))
     kept, options, d = stored_together((kept, "kept"), (options, "options"), (d, "audit"))
     audits += [a, b, c, d]
     with_sums = lambda rows: rows.join(_sum_of_options(options), ["rid", "item_no"], "left").withColumn("options", F.coalesce("options", _zero()))
     claims = receipts.filter("ok").select("rid", "total_amount").join(refunds, "rid", "left_anti")
-    counts, found, claims = stored_together((evidence.amount_counts(printed["rows"]), "counts"), (evidence.evidence(printed["rows"]), "evidence"), (claims, "claims"))
+    claims = stored(claims, "claims")
     candidates = stored(evidence.paid_candidates(found, counts, printed["totals"], claims).join(claims.select("rid"), "rid", "left_semi"), "candidates")
     totals = candidates.filter("tier < 2").select("rid", F.col("value").alias("amount"))
     whole, options = I.renumbered(I.drop_total_echoes(with_sums(kept), totals), options)
     whole, options = stored_together((whole, "whole"), (options, "options"))
     used = whole.filter("discount > 0").select("rid", F.col("discount").alias("amount")).union(top.filter("top > 0").select("rid", F.col("top").alias("amount")))
-    unused = stored(evidence.unused_discounts(found, used), "unused")
     worth = M.line_total(F.col("price"), F.col("options"), F.col("discount"))
     base = whole.groupBy("rid").agg(F.sum(worth).alias("_items")).join(top, "rid").join(fee, "rid", "left")
-    base = stored(base.select("rid", (F.col("_items") - F.col("top") + F.coalesce("delivery_fee", _zero())).alias("computed"), "top", F.coalesce("delivery_fee", _zero()).alias("delivery_fee")), "computed")
+    base = base.select("rid", (F.col("_items") - F.col("top") + F.coalesce("delivery_fee", _zero())).alias("computed"), "top", F.coalesce("delivery_fee", _zero()).alias("delivery_fee"))
     restorable = I.restorable_in(missing, seen, matches).select("rid", F.col("item_no").cast("int").alias("ref"), "name", "quantity", "price", "discount", F.col("item_no").alias("pos"))
+    unused, base, restorable = stored_together((evidence.unused_discounts(found, used), "unused"), (base, "computed"), (restorable, "restorable"))
     # prices of options are line amounts, no discounts
     no_cuts = options.select("rid", F.col("price").alias("amount"), F.lit("unlabelled").alias("kind")).union(below.select("rid", F.col("price").alias("amount"), F.lit("unlabelled").alias("kind"))).distinct()
     fees = base.filter("delivery_fee = 0").select("rid").join(flags, "rid").join(printed["fees"].select("rid"), "rid", "left_anti")
     fees = fees.select("rid", F.col("fee_unread").alias("unread"), F.when(F.col("delivery"), F.coalesce("stray", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")).alias("stray"))
-    done = reconcile(whole, base.select("rid", "computed", "top"), candidates, counts, unused, stored(restorable, "restorable"), found.join(no_cuts, ["rid", "kind", "amount"], "left_anti"), top.select("rid", F.col("top").alias("amount")), options, evidence.summary_keys(printed["rows"]), flags.filter("unit_price_header").select("rid"), stored(fees, "fees"))
+    done = reconcile(whole, base.select("rid", "computed", "top"), candidates, counts, unused, restorable, found.join(no_cuts, ["rid", "kind", "amount"], "left_anti"), top.select("rid", F.col("top").alias("amount")), options, evidence.summary_keys(printed["rows"]), flags.filter("unit_price_header").select("rid"), stored(fees, "fees"))
     audits.append(done["audit"])
     sums = refunded_options.groupBy("rid", "item_no").agg(F.sum(F.coalesce("price", _zero())).alias("options"))
     refunded = refunded.join(sums, ["rid", "item_no"], "left").withColumn("options", F.coalesce("options", _zero()))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import partial
+from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read again: later plans begin at a table, which any executor
@@ -50,11 +54,15 @@ def passing(spark: SparkSession, name: str) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
-    """``stored`` for tables that don't need each other: their jobs run at the same time, so small ones don't leave the
-    cluster idle while the next is planned."""
-    if not tables:
+def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
+    """Results of steps that don't need each other: their plans and jobs are made at the same time, so small ones don't
+    leave the cluster idle while the next is planned. Steps may call this again."""
+    if not steps:
         return []
-    spark = tables[0][0].sparkSession
-    with ThreadPoolExecutor(min(4, len(tables))) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(lambda t: stored(*t)), tables))
+    with ThreadPoolExecutor(min(4, len(steps))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda step: step()), steps))
+
+
+def stored_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """``stored`` for tables that don't need each other."""
+    return at_once(tables[0][0].sparkSession, *[partial(stored, *t) for t in tables]) if tables else []

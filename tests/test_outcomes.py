@@ -10,7 +10,7 @@ from slipwright.operators import items as I
 from slipwright.plans import accuracy as C
 from slipwright.plans import jobs
 from slipwright.plans.storage import passing, shared_dir, stored
-from slipwright.outcome_queries import query  # noqa: F401  (registers its queries)
+from slipwright import outcome_queries, print_queries  # noqa: F401  (they register their queries)
 from slipwright.queries import ORACLES, QUERIES
 
 NAMES = ["김밥", "참치김밥", "치즈김밥", "우동", "김치우동", "떡볶이", "라면", "콜라", None, ""]
@@ -158,7 +158,7 @@ def test_passing_tables_are_removed(spark):
     assert "/batch" not in stored(spark.range(5), "numbers").inputFiles()[0]
 
 
-@pytest.mark.parametrize("name", ["items_in_order", "verdict_branches", "audit_rollup", "accuracy_measures", "word_paths"])
+@pytest.mark.parametrize("name", ["items_in_order", "verdict_branches", "audit_rollup", "accuracy_measures", "word_paths", "midnights_dropped", "payment_sections", "stray_fee_amounts", "receipt_discounts", "restorable_lines", "option_line_prices"])
 def test_outcome_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for table in ("orders", "lineitem", "part"):
