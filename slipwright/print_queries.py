@@ -3,7 +3,7 @@ receipt, unit prices of options, and lines that may be restored; with their SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipwright.operators import dates as D
@@ -17,7 +17,7 @@ from slipwright.queries import CLAIMED, ITEMS, query
 from slipwright.sources import adapter as A
 
 
-def _line(line_no: int, text, x: int, y) -> F.Column:
+def _line(line_no: int, text: str | Column, x: int, y: int | Column) -> Column:
     return A._box(F.lit(line_no), F.lit(text) if isinstance(text, str) else text, F.lit(0.95), x, y if not isinstance(y, int) else F.lit(y))
 
 
