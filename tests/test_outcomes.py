@@ -86,6 +86,24 @@ def test_wrapped_name_adds_no_item(spark):
     assert I.unmatched(printed, matches).count() == 0
 
 
+def test_lines_without_an_item_of_their_own(spark):
+    schema = "rid long, item_no int, name string, price long"
+    # 1: the second line is like the taken item; 2: a line takes by price the item that a later line is named like
+    seen = spark.createDataFrame([(1, 1, "참치김밥", 3000), (2, 1, "떡볶이", 2000), (3, 1, "우동", 1000), (3, 2, "우동", 1000)], schema)
+    printed = spark.createDataFrame([(1, 1, "참치김밥", 3000), (1, 2, "치즈김밥", 2500), (2, 1, "콜라", 2000), (2, 2, "떡볶이", 2000), (3, 1, "우동", 1000), (3, 2, "우동", 1000)], schema).withColumn("name_conf", F.lit(0.95))
+    matches = I.match_items(seen, printed)
+    assert matches.count() == 6 and I.unmatched(printed, matches).count() == 0
+    assert sorted((r.rid, r.item_no) for r in I.unmatched(printed, I.own_lines(matches)).collect()) == [(1, 2), (2, 2)]
+
+
+def test_recovered_items_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    for table in ("orders", "lineitem", "part"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    got = QUERIES["recovered_items"](spark, sf_dir).select("rid", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(ORACLES["recovered_items"]).fetchall()) and len(got) > 300
+
+
 def test_partners_take_the_first_discount_and_the_last_sure_price(spark):
     seen = spark.createDataFrame([(1, 1, "참치김밥", 3000)], "rid long, item_no int, name string, price long")
     lines = [(1, 1, "참치김밥", 3000, 0, []), (1, 2, "참치김밥", 3500, 200, [200]), (1, 3, "참치김밥", 0, 300, [100, 200])]
