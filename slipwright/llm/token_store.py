@@ -63,7 +63,7 @@ class UnitEncoder:
     """Encodes texts by the tokenizers library, each distinct stretch of text once.
 
     A byte-level pre-tokenizer never joins a non-space to a space behind it, so a text may be cut before each run of
-    white space and the parts encoded alone. Parts repeat a lot; the ids of the last ``keep`` of them are remembered,
+    white space and the parts encoded alone; a line break between two non-spaces is a token of its own. Parts repeat a lot; the ids of the last ``keep`` of them are remembered,
     and those that come back stay. A part of letters, with signs behind it or none, is two pre-tokens at most and goes
     to the library's merges at once. All this holds only for the file layout that ``cuts_at_spaces`` checks; with any
     other file the library gets whole texts.
@@ -80,6 +80,7 @@ class UnitEncoder:
         breaks = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
         self.line_break = breaks[1] if len(breaks) == 3 else -1
         self.uneven = f"^ | $|[{SPACES}] | [{SPACES}]"
+        self.blank = f"[{SPACES}]\n|\n[{SPACES}]"
         self.parts = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.word = re.compile(f"( ?[{LETTERS}]+)([{SIGNS}]*)").fullmatch
         self.shown = byte_letters()
@@ -116,9 +117,12 @@ class UnitEncoder:
             else:
                 fresh[word] = None
         written = "\n".join(fresh).encode("utf-8").decode("latin-1").translate(self.shown).split(self.shown[10])
-        for word, text in zip(fresh, written):
-            ids = [t.id for t in merge(text)]
-            found[word] = struct.pack(f"<{len(ids)}I", *ids)
+        ids, ends = [], [0]
+        for text in written if fresh else ():
+            ids += [t.id for t in merge(text)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        found.update((word, raw[a:b]) for word, a, b in zip(fresh, ends, ends[1:]))
         for whole, word, signs, ids in tails:
             end = self.signs.get(signs)
             if end is None:
@@ -149,7 +153,7 @@ class UnitEncoder:
         coded = pc.dictionary_encode(units)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + spaced
         used = np.flatnonzero(np.bincount(code, minlength=2 * len(coded.dictionary)))
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = self.ids_of([" " + words[c >> 1] if c & 1 else words[c >> 1] for c in used.tolist()])
         place = np.zeros(2 * len(words), np.int64)
         place[used] = np.arange(len(used))
@@ -167,12 +171,18 @@ class UnitEncoder:
         even, odd = np.flatnonzero(~uneven), np.flatnonzero(uneven)
         counts, parts = np.zeros(n, np.int64), []
         if len(even):
-            lists = pc.split_pattern(texts.take(pa.array(even)), " ")
+            whole = texts.take(pa.array(even))
+            if self.line_break >= 0:  # single line breaks are cut out, too
+                whole = pc.if_else(pc.match_substring_regex(whole, self.blank), whole, pc.replace_substring(whole, "\n", " \n "))
+            lists = pc.split_pattern(whole, " ")
             rows = lists.offsets.to_numpy().astype(np.int64)
             rows -= rows[0]
-            spaced = np.ones(rows[-1], np.int64)
+            units, spaced = lists.flatten(), np.ones(rows[-1], np.int64)
+            if self.line_break >= 0:
+                lines = np.flatnonzero(pc.equal(units, "\n").to_numpy(zero_copy_only=False))
+                spaced[lines] = spaced[lines + 1] = 0  # the cut leaves a unit behind each, if an empty one
             spaced[rows[:-1]] = 0
-            ids, counts[even] = self._encode(lists.flatten(), spaced, rows)
+            ids, counts[even] = self._encode(units, spaced, rows)
             parts.append((even, ids))
         if len(odd):
             units = [self.parts.findall(t) for t in texts.take(pa.array(odd)).to_pylist()]

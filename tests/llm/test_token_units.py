@@ -1,5 +1,6 @@
 """Ids by units against the library on whole texts, and the fall-back for other tokenizer files."""
 
+import itertools
 import json
 import random
 
@@ -31,6 +32,26 @@ def test_units_equal_whole_texts():
             same(encoder, Tokenizer.from_file(BPE), texts[k : k + 5000])
 
 
+def test_lines_are_cut_at_their_breaks():
+    rng = random.Random(11)
+    parts = ["the", "größer", "слово", "漢字", "'s", "it's", ".", "...", "<|endoftext|>", "12", "\x1c", "\u0085", "\t", "\x00", "-"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", "\n", "\n\n", "\r\n", ""]) for _ in range(rng.randint(0, 20))) for _ in range(10_000)]
+    texts += [rng.choice(["", "\n"]) + rng.choice([" ", "\n"]).join(rng.choice(parts[:10]) for _ in range(rng.randint(0, 20))) + rng.choice(["", "\n"]) for _ in range(10_000)]
+    texts += ["\n", "\n\n", "\na", "a\n", "a\n\n", "\n\na", "a\n\n\nb", "a \nb", "a\n b"]
+    encoder = token_store.UnitEncoder(BPE)
+    same(encoder, Tokenizer.from_file(BPE), texts)
+    same(encoder, Tokenizer.from_file(BPE), ["\n"])
+    encoder.line_break = -1  # where a break is no token of its own, none is cut
+    same(encoder, Tokenizer.from_file(BPE), texts)
+
+
+def test_words_round_a_line_break_are_met_apart():
+    encoder = token_store.UnitEncoder(BPE)
+    words = ["".join(x) for x in itertools.product("abcd", "eiou", "rstn")]
+    same(encoder, Tokenizer.from_file(BPE), [f"so {a}.\n{b} it" for a in words for b in words])
+    assert len(encoder.known) < 4 * len(words)  # not one for each pair of words
+
+
 def test_other_files_get_whole_texts(tmp_path):
     layout = json.load(open(BPE, encoding="utf-8"))
     assert token_store.cuts_at_spaces(layout)
