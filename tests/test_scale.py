@@ -4,7 +4,7 @@ that give what the long ones give."""
 from pyspark.sql import functions as F
 
 from slipwright.operators import evidence as E
-from slipwright.operators import layout
+from slipwright.operators import layout, lexicon
 from slipwright.plans import jobs
 from slipwright.queries import QUERIES
 from slipwright.sources import adapter as A
@@ -39,3 +39,12 @@ def test_rows_far_apart_need_no_fold(spark, sf_dir, monkeypatch):
     quick = sorted(layout.group_rows(boxed).select("rid", "row_no", "y_center", "text").collect(), key=lambda r: (r.rid, r.row_no))
     monkeypatch.setattr(layout, "SLACK", 1e9)  # no receipt is plain
     assert quick == sorted(layout.group_rows(boxed).select("rid", "row_no", "y_center", "text").collect(), key=lambda r: (r.rid, r.row_no))
+
+
+def test_nearest_tokens_move_each_side_once(spark):
+    runs = spark.createDataFrame([(1, "잠치"), (1, "구운란"), (2, "김밥")], "rid long, run string")
+    lines = spark.createDataFrame([(1, 3, "참치 한줄"), (1, 2, "구운란"), (2, 1, "3,000")], "rid long, line_no int, text string")
+    found = lexicon.nearest_tokens(runs, lines)
+    assert {(r.rid, r.run, r.token) for r in found.collect()} == {(1, "잠치", "참치"), (1, "구운란", "구운란")}
+    fresh = lexicon.nearest_tokens(runs, lines)._jdf.queryExecution().executedPlan().toString()
+    assert fresh.count("Exchange") == 2
